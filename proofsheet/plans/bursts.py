@@ -11,7 +11,7 @@ from proofsheet.plans.views import PHOTO_SQL, photos
 
 GAP_S = 14400
 
-BURST_SQL = f"""{PHOTO_SQL}, flagged AS (SELECT *, CASE WHEN lag(scene) OVER w = scene AND epoch_us(ts) - epoch_us(lag(ts) OVER w) <= {GAP_S} * 1000000 THEN 0 ELSE 1 END AS brk
+BURST_SQL = f"""{PHOTO_SQL}, flagged AS (SELECT *, CASE WHEN lag(scene) OVER w = scene AND epoch_us(ts) - epoch_us(lag(ts) OVER w) <= {GAP_S * 1000000} THEN 0 ELSE 1 END AS brk
  FROM v_photo WINDOW w AS (PARTITION BY run_id ORDER BY ts, photo_id)),
  burst AS (SELECT * EXCLUDE (brk), sum(brk) OVER (PARTITION BY run_id ORDER BY ts, photo_id) - 1 AS cluster_id FROM flagged)"""
 
