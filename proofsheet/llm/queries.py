@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import tokencount
+from proofsheet.llm import hostrules, secrets, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +30,19 @@ def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@_query
+def op2_host_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return hostrules.host_rules(_table(spark, sf, "documents")).select(*hostrules.QUERY_COLUMNS)
+
+
+SQL["op2_host_rules"] = hostrules.SQL
+
+
+@_query
+def op9_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.digest(secrets.secret_spans(_table(spark, sf, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
