@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import hostrules, secrets, tokencount
+from proofsheet.llm import hostrules, partenum, secrets, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op9_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(_table(spark, sf, "documents").select("doc_id", "text")))
 
 
+@_query
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return partenum.jaccard_components(_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

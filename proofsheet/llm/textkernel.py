@@ -90,13 +90,41 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Bytes hashed at once: bounds the working memory, whatever the length of a text.
+PIECE = 1 << 20
+
+
+def _pieces(raw: np.ndarray, at: np.ndarray):
+    """Byte ranges of about PIECE that end between words or rows; one longer word makes a longer range."""
+    start = 0
+    while start < len(raw):
+        end = min(start + PIECE, len(raw))
+        if end < len(raw):
+            row = int(at[np.searchsorted(at, end, "right") - 1])
+            blank = np.flatnonzero(_SPACE[raw[start:end]])
+            cut = max(row, start + int(blank[-1]) + 1 if len(blank) else 0)
+            while cut <= start:  # a word longer than the range
+                blank = np.flatnonzero(_SPACE[raw[end : end + PIECE]])
+                row = int(at[np.searchsorted(at, end, "left")])
+                cut = min(row, end + int(blank[0])) if len(blank) else (row if row <= end + PIECE else start)
+                end = min(end + PIECE, len(raw))
+                cut = len(raw) if cut <= start and end == len(raw) else cut
+            end = cut
+        yield start, end
+        start = end
+
+
 def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of each row, in order, and the number of words of each row."""
     raw, at = buffers(column)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(at) - 1, np.int64)
-    starts, ends, rows = words(raw, at)
-    return span_hashes(raw, starts, ends, lower), np.bincount(rows, minlength=len(at) - 1).astype(np.int64)
+    found, counts = [np.zeros(0, np.uint64)], np.zeros(len(at) - 1, np.int64)
+    for start, end in _pieces(raw, at):
+        first, last = np.searchsorted(at, start, "right") - 1, np.searchsorted(at, end, "left")
+        part, own = raw[start:end], np.clip(at[first : last + 1], start, end) - start
+        starts, ends, rows = words(part, own)
+        found.append(span_hashes(part, starts, ends, lower))
+        counts[first:last] += np.bincount(rows, minlength=last - first)
+    return np.concatenate(found), counts
 
 
 #: A shingle keeps this many bits, so that it sorts in one word with the number of its row among SLICE rows.
