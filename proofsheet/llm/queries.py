@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import hostrules, partenum, secrets, tokencount
+from proofsheet.llm import hostrules, ordinal, partenum, secrets, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,6 +48,18 @@ def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return partenum.jaccard_components(_table(spark, sf, "documents"))
 
 
+def rated_grade():
+    """Grades of the labels table: 0 toxic, 1 low quality, 2 neither."""
+    return F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality").isNotNull(), 2)
+
+
+@_query
+def op3_quality_grades(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    model = ordinal.train(docs, _table(spark, sf, "labels"), rated_grade())
+    return ordinal.graded(docs, model).select("doc_id", "expected_grade", "tail_probability", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -116,13 +116,17 @@ def _pieces(raw: np.ndarray, at: np.ndarray):
 
 def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of each row, in order, and the number of words of each row."""
-    raw, at = buffers(column)
+    return hashes_of(*buffers(column), lower)
+
+
+def hashes_of(raw: np.ndarray, at: np.ndarray, lower: bool = True, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As word_hashes, of bytes and row offsets; prefix: only so many bytes of each word."""
     found, counts = [np.zeros(0, np.uint64)], np.zeros(len(at) - 1, np.int64)
     for start, end in _pieces(raw, at):
         first, last = np.searchsorted(at, start, "right") - 1, np.searchsorted(at, end, "left")
         part, own = raw[start:end], np.clip(at[first : last + 1], start, end) - start
         starts, ends, rows = words(part, own)
-        found.append(span_hashes(part, starts, ends, lower))
+        found.append(span_hashes(part, starts, ends if prefix is None else np.minimum(ends, starts + prefix), lower))
         counts[first:last] += np.bincount(rows, minlength=last - first)
     return np.concatenate(found), counts
 
