@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import hostrules, ordinal, partenum, secrets, tokencount
+from proofsheet.llm import hostrules, ordinal, partenum, secrets, templates, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,6 +60,11 @@ def op3_quality_grades(spark: SparkSession, sf: str) -> DataFrame:
     return ordinal.graded(docs, model).select("doc_id", "expected_grade", "tail_probability", "kept")
 
 
+@_query
+def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return templates.leaked(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
