@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import hostrules, ordinal, partenum, secrets, templates, tokencount
+from proofsheet.llm import hostrules, mixing, ordinal, partenum, secrets, templates, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,6 +65,11 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return templates.leaked(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+@_query
+def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf, "documents").select("doc_id", "text", "source")).drop("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
