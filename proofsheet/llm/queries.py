@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import hostrules, mixing, ordinal, partenum, secrets, templates, tokencount
+from proofsheet.llm import hostrules, mixing, ordinal, partenum, secrets, templates, tokencount, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,6 +70,14 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf, "documents").select("doc_id", "text", "source")).drop("source")
 
 
+@_query
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op4_warc"] = warc.SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
