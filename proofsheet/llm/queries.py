@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import hostrules, mixing, ordinal, partenum, secrets, templates, tokencount, warc
+from proofsheet.llm import hostrules, licences, mixing, ordinal, partenum, secrets, templates, tokencount, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,6 +78,15 @@ def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
 SQL["op4_warc"] = warc.SQL
 
 
+@_query
+def op7_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return licences.licence_scan(docs.select("doc_id", "text", licences.document_path().alias("path")))
+
+
+SQL["op7_licence_scan"] = licences.SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
