@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder: cuts the lineage so that each round reads only the last one's edges."""
+#: Edges of one file of a round's table.
+EDGES = 500_000
+
+
+def _kept(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """A table in the shared folder, of about `rows` rows: cuts the lineage so that each round reads only the last one's edges."""
+    df = df if rows is None else df.coalesce(rows // EDGES + 1)
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -40,6 +45,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        now = _kept(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
+        now = _kept(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges", state["n"])
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
