@@ -22,8 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+#: Rows of one file of a narrow table.
+ROWS = 100_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, and survives lost executors.
+
+    rows: about how many rows it has, if that is known, so that a small table gets few files.
+    """
+    df = df if rows is None else df.coalesce(rows // ROWS + 1)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
