@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import hostrules, licences, mixing, ordinal, partenum, secrets, templates, tokencount, warc
+from proofsheet.llm import bloomlm, hostrules, licences, mixing, ordinal, partenum, secrets, templates, tokencount, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,6 +87,11 @@ def op7_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
 SQL["op7_licence_scan"] = licences.SQL
 
 
+@_query
+def op6_language_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return bloomlm.language_scores(_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
