@@ -25,7 +25,7 @@ def burst_sessions(spark, sf):
     return bursts(spark, sf).select("run_id", "photo_id", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
-PEAK = "0.40 * sharp + 0.25 * score_final + 0.20 + 0.15 * sharp"
+PEAK = "0.40 * score_final + 0.25 * sharp + 0.20"
 
 
 def peaks(spark, sf):
