@@ -45,6 +45,8 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Words too common to look for.
+COMMON = set("a all and any are as be by can code conditions extent following for form free has in is it may not of on or person public source terms that the this to under use with without work you".split())
 TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
 LEAST, LINES = 0.85, 3
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)"
@@ -74,7 +76,7 @@ def triggers() -> list[str]:
     left = {i: {w: v for j, _, w, v in rows if j == i} for i in range(len(TEMPLATES))}
     found: list[str] = []
     while open_ := [b for b in left.values() if sum(v * v for v in b.values()) >= LEAST * LEAST]:
-        words = sorted({w for b in open_ for w in b})
+        words = sorted({w for b in open_ for w in b} - COMMON)
         best = max(words, key=lambda w: (sum(w in b for b in open_), sum(b.get(w, 0) for b in open_)))
         found.append(best)
         for b in left.values():
@@ -82,6 +84,10 @@ def triggers() -> list[str]:
     return found
 
 
+def trigger_pattern() -> str:
+    return "(?i)(^|[^a-z0-9])(" + "|".join(re.escape(w) for w in triggers()) + ")([^a-z0-9]|$)"
+
+
 def _low(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -90,8 +96,7 @@ def notices(files: DataFrame, key: str = "doc_id", path: str = "path", text: str
     """(key, path, licence, cosine) of the best notice of each file that has one."""
     idf, rows = weights()
     spark = files.sparkSession
-    words = "|".join(re.escape(w) for w in triggers())
-    has = lambda c: c.rlike(f"(?i)({words})")
+    has = lambda c: c.rlike(trigger_pattern())
     near = files.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.col(text).alias("text")).filter(has(F.col("text")))
     lines = near.select("key", "path", F.split("text", "\n").alias("l"))
     # segments of 1 to LINES lines that begin at a line, where one of them has a trigger
@@ -164,7 +169,7 @@ def document_path() -> Column:
 def _sql() -> str:
     values = ", ".join(f"({i}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate(TEMPLATES))
     token = TOKEN
-    trigger = "|".join(re.escape(w) for w in triggers())
+    trigger = trigger_pattern()
     n = len(TEMPLATES)
     return f"""WITH tpl(i, licence, t) AS (VALUES {values}),
 tt AS (SELECT i, licence, unnest(regexp_extract_all(lower(t), '{token}')) AS w FROM tpl),
@@ -173,9 +178,9 @@ idf AS (SELECT w, ln({1 + n}.0 / (1 + count(DISTINCT i))) + 1 AS idf FROM tf GRO
 raw AS (SELECT tf.i, tf.licence, tf.w, c * idf AS v FROM tf JOIN idf ON tf.w = idf.w),
 share AS (SELECT i, licence, w, v / sqrt(sum(v * v) OVER (PARTITION BY i)) AS share FROM raw),
 f AS (SELECT doc_id, text, concat_ws('/', source, lang || CAST(CAST(floor(doc_id / 500) AS BIGINT) AS VARCHAR), CASE WHEN length(coalesce(text, '')) < 600 THEN 'LICENSE-' ELSE 'file-' END || doc_id) AS path FROM documents),
-l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM f WHERE regexp_matches(text, '(?i)({trigger})')),
+l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM f WHERE regexp_matches(text, '{trigger}')),
 s AS (SELECT doc_id, a, k, array_to_string(l[a : a + k - 1], ' ') AS seg FROM (SELECT doc_id, l, k, unnest(range(1, len(l) - k + 2)) AS a FROM l, (SELECT unnest([1, 2, 3]) AS k))),
-u AS (SELECT doc_id, a, k, unnest(regexp_extract_all(lower(seg), '{token}')) AS w FROM s WHERE regexp_matches(seg, '(?i)({trigger})')),
+u AS (SELECT doc_id, a, k, unnest(regexp_extract_all(lower(seg), '{token}')) AS w FROM s WHERE regexp_matches(seg, '{trigger}')),
 c AS (SELECT doc_id, a, k, w, count(*) AS c FROM u GROUP BY ALL),
 cw AS (SELECT doc_id, a, k, c.w, c * coalesce(idf, ln({1 + n}.0) + 1) AS v FROM c LEFT JOIN idf ON c.w = idf.w),
 len AS (SELECT doc_id, a, k, sqrt(sum(v * v)) AS n FROM cw GROUP BY ALL),
