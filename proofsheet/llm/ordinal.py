@@ -29,11 +29,11 @@ from proofsheet.llm import textkernel as tk
 from proofsheet.llm.common import documents
 
 #: Labelled documents of the fit, at most.
-SAMPLE = 10_000
+SAMPLE = 8_000
 #: Buckets of features (as bits), and documents of the sample that must show a feature.
 BITS, LEAST = 22, 4
 #: Penalties on squared weights, of words and of other features; steps of the fit and their first length.
-WORD_RIDGE, RIDGE, STEPS, RATE = 2e-4, 1e-4, 200, 0.2
+WORD_RIDGE, RIDGE, STEPS, RATE = 6e-4, 1e-4, 200, 0.2
 #: Bytes of a word's beginning, a feature of its own.
 PREFIX = 5
 #: Documents are kept if the top grade has at least this probability.
@@ -122,11 +122,11 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, word: np.ndarray, grade: np.ndarray) -> Model:
     """Weights and thresholds of the sample's rows 0 .. len(grade) - 1."""
     grades, y = np.unique(grade, return_inverse=True)
-    known, index = np.unique(bucket, return_inverse=True)
-    often = np.bincount(index) >= LEAST
-    use = often[index]
-    row, index, value, word = row[use], (np.cumsum(often) - 1)[index[use]], value[use], word[use]
-    known, n, k = known[often], len(grade), len(grades)
+    seen = np.bincount(bucket, minlength=1 << BITS)
+    known = np.flatnonzero(seen >= LEAST)
+    use = seen[bucket] >= LEAST
+    row, index, value, word = row[use].astype(np.int32), np.searchsorted(known, bucket[use]).astype(np.int32), value[use].astype(np.float32), word[use]
+    n, k = len(grade), len(grades)
     is_word = np.zeros(len(known), bool)
     is_word[index[word]] = True
     if k < 2:
