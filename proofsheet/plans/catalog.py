@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from proofsheet.plans import bursts, quality, scoring  # noqa: F401
+    from proofsheet.plans import bursts, frames, logs, quality, scoring  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
