@@ -71,7 +71,7 @@ def slid(spark, sf):
     return rows.groupBy("clip_id", "window_no").agg(F.count("*").alias("n"), F.avg("score_final").alias("mean_final"), F.max("sharp").alias("peak"), W.confidence("score_final", "sharp", F.lit(1.0)).alias("confidence"), F.min("scene").alias("scene"))
 
 
-@query(f"""WITH {FRAME_SQL}, c AS (SELECT *, 1.0 + k % 4 AS dur FROM v_frame) SELECT clip_id, frame, dur FROM (SELECT *, coalesce(sum(dur) OVER (PARTITION BY clip_id ORDER BY score_final DESC, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY clip_id ORDER BY score_final DESC, frame) AS rn FROM c) WHERE before < 12 AND rn <= 6""")
+@query(f"""WITH {FRAME_SQL}, c AS (SELECT *, CAST(1 + k % 4 AS DOUBLE) AS dur FROM v_frame) SELECT clip_id, frame, dur FROM (SELECT *, coalesce(sum(dur) OVER (PARTITION BY clip_id ORDER BY score_final DESC, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY clip_id ORDER BY score_final DESC, frame) AS rn FROM c) WHERE before < 12 AND rn <= 6""")
 def assembly_prefix(spark, sf):
     f = frames(spark, sf).withColumn("dur", 1.0 + F.col("k") % 4)
     keep = W.prefix_until(KEYS, [F.desc("score_final"), "frame"], "dur", 12.0, 6)
