@@ -39,6 +39,8 @@ PREFIX = 5
 #: Documents are kept if the top grade has at least this probability.
 TAIL = 0.5
 SLICE = 2048
+#: Features of the sample that a step of the fit takes at once.
+PART = 1 << 19
 
 _U = np.uint64
 _PUNCTUATION = np.zeros(256, bool)
@@ -122,10 +124,13 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, word: np.ndarray, grade: np.ndarray) -> Model:
     """Weights and thresholds of the sample's rows 0 .. len(grade) - 1."""
     grades, y = np.unique(grade, return_inverse=True)
-    seen = np.bincount(bucket, minlength=1 << BITS)
-    known = np.flatnonzero(seen >= LEAST)
-    use = seen[bucket] >= LEAST
-    row, index, value, word = row[use].astype(np.int32), np.searchsorted(known, bucket[use]).astype(np.int32), value[use].astype(np.float32), word[use]
+    known = np.flatnonzero(np.bincount(bucket, minlength=1 << BITS) >= LEAST)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    index = place[bucket]
+    use = index >= 0
+    row, index, value, word = row[use], index[use], value[use], word[use]
+    parts = [slice(i, i + PART) for i in range(0, len(row), PART)]
     n, k = len(grade), len(grades)
     is_word = np.zeros(len(known), bool)
     is_word[index[word]] = True
@@ -140,7 +145,9 @@ def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, word: np.ndarray
         return np.concatenate([t[:1], t[0] + np.cumsum(np.exp(t[1:]))])
 
     def gradient(w, t):
-        score = np.bincount(row, weights=w[index] * value, minlength=n)
+        score = np.zeros(n)
+        for p in parts:
+            score += np.bincount(row[p], weights=w[index[p]] * value[p], minlength=n)
         c = cuts(t)
         hi = np.append(c, np.inf)[y] - score
         lo = np.append(-np.inf, c)[y] - score
@@ -152,7 +159,10 @@ def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, word: np.ndarray
         np.add.at(dc, np.minimum(y, k - 2), np.where(y < k - 1, -da, 0))
         np.add.at(dc, np.maximum(y - 1, 0), np.where(y > 0, db, 0))
         gt = np.array([dc.sum(), *[np.exp(t[j]) * dc[j:].sum() for j in range(1, k - 1)]])
-        return np.bincount(index, weights=(da - db)[row] * value, minlength=len(known)) / n, gt / n
+        gw, d = np.zeros(len(known)), da - db
+        for q in parts:
+            gw += np.bincount(index[q], weights=d[row[q]] * value[q], minlength=len(known))
+        return gw / n, gt / n
 
     penalty = np.where(is_word, WORD_RIDGE, RIDGE)
     x, m, v = np.concatenate([w, t]), 0.0, 0.0
@@ -183,9 +193,18 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id
 
     found = rows.mapInArrow(run, "doc_id bigint, grade int, bucket array<int>, value array<float>, word array<boolean>").toArrow()
     found = found.sort_by("doc_id").combine_chunks()
-    row = np.repeat(np.arange(found.num_rows), found.column("bucket").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)) if found.num_rows else np.zeros(0, np.int64)
-    bucket, value, word = (found.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) if found.num_rows else np.zeros(0, t) for c, t in (("bucket", np.int64), ("value", np.float64), ("word", bool)))
-    return fit(row, bucket.astype(np.int64), value.astype(np.float64), word.astype(bool), found.column("grade").to_numpy())
+    grades = found.column("grade").to_numpy().copy()
+    row = np.repeat(np.arange(len(grades), dtype=np.int32), _flat(found, "bucket", True))
+    bucket, value, word = (_flat(found, c) for c in ("bucket", "value", "word"))
+    del found
+    pa.default_memory_pool().release_unused()
+    return fit(row, bucket, value, word, grades)
+
+
+def _flat(table: pa.Table, name: str, lengths: bool = False) -> np.ndarray:
+    """The values of a column of lists, or the lists' lengths, apart from the table's memory."""
+    chunks = [(c.value_lengths() if lengths else c.flatten()).to_numpy(zero_copy_only=False) for c in table.column(name).chunks]
+    return np.concatenate([*chunks, np.zeros(0, chunks[0].dtype if chunks else np.int32)])
 
 
 def graded(docs: DataFrame, model: Model, text: str = "text", tail: float = TAIL) -> DataFrame:
