@@ -7,13 +7,13 @@ entry per group, however frequent. The same exchange sends each group the exact
 Model. A count c is kept as its level, 1 + floor(log2 c). The filter holds (n-gram, 1), ..., (n-gram, level); a count is read
 by probing level after level until one is missing, so errors are one-sided and fall off exponentially with their size.
 P(w | v) = (c(v w) + MU P(w)) / (c(v) + MU), with P(w) = (c(w) + 1) / (N + V + 1) from the filter too: backing off where a
-bigram was not seen. Bigrams seen once are left to that.
+bigram was not seen. Bigrams seen less than `least` times are left to that; with 1 none is, and so the query runs.
 
-Size. The filter has BITS bits per entry, so it grows with the corpus, up to LARGEST bytes, the bound of what is broadcast.
-Where entries would need more, rare levels are left out, of bigrams first: the lowest level that is held rises. It is built
-in SEGMENTS by hash, each in a task of its own.
+Size. The filter has BITS bits per entry and holds all levels, so it grows with the corpus. Each part of the hash space is a
+segment of its own, built and probed in one task: groups send the distinct n-grams of all their texts with their counts,
+and get back the levels that the segment gives. So nothing is broadcast or gathered on the driver at any size.
 
-Scoring. Texts meet the counts of their group, sorted in front of them in the same partition, and stream past them.
+Scoring. Texts meet the counts and levels of their group, sorted in front of them in the same partition, and stream past them.
 
 Defined results: a null or empty text is one end; a null key counts as the text '' when documents are held out; repeated rows
 are learnt and scored row by row; with nothing to learn from, N = V = 0 and base scores are 0; an empty table gives an empty
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from proofsheet.llm import textkernel as tk
 from proofsheet.llm.common import documents, partitions, written
 
-#: Keys of one group (also the most documents that are counted together), and bytes of text scored at once.
+#: Keys of one group (also the most documents that are counted together), and rows scored at once.
 GROUP, SLICE = 4096, 1024
+#: A filter has SEGMENTS * 1024 bytes at least. LARGEST: see lowest_levels.
 BITS, PROBES, SEGMENTS, LARGEST = 12, 4, 64, 64 << 20
 MU = 5.0
 
@@ -87,7 +88,7 @@ def _by_part(part: np.ndarray, columns: list) -> tuple[np.ndarray, list]:
 
 
 def count_rows(docs: DataFrame, parts: int) -> DataFrame:
-    """docs: grp, train, text. Counts of one group's words (subs null) and bigrams (words null), by part."""
+    """docs: grp, train, text. Training counts of the words (subs null) and bigrams (words null) of all of a group's texts, by part."""
 
     def counted(grp: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         h, n = tokens(part.column("text"))
@@ -96,10 +97,11 @@ def count_rows(docs: DataFrame, parts: int) -> DataFrame:
         own, lists = _by_part((words % _U(parts)).astype(np.int32), [(words.view(np.int64), pa.int64()), (np.bincount(at, weights=train, minlength=len(words)).astype(np.int32), pa.int32())])
         null = lambda t: pa.nulls(len(own), t)
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.full(len(own), grp), pa.int64()), lists[0], null(pa.list_(pa.int32())), lists[1]], ["part", "grp", "words", "subs", "counts"])
-        pair, times = np.unique(_pairs(h, n)[train], return_counts=True)
+        pair, at = np.unique(_pairs(h, n), return_inverse=True)
+        times = np.bincount(at, weights=train, minlength=len(pair))
         if len(pair):
             own, lists = _by_part((pair % _U(parts)).astype(np.int32), [((pair >> _U(32)).astype(np.uint32).view(np.int32), pa.int32()), (times.astype(np.int32), pa.int32())])
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.list_(pa.int64())), lists[0], lists[1]], ["part", "grp", "words", "subs", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.full(len(own), grp), pa.int64()), pa.nulls(len(own), pa.list_(pa.int64())), lists[0], lists[1]], ["part", "grp", "words", "subs", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,44 +114,57 @@ def count_rows(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, COUNTED)
 
 
-SUMMED = "kind int, grp bigint, keys array<bigint>, counts array<bigint>"
-
-
-def summed(rows: DataFrame, parts: int) -> DataFrame:
-    """kind 0: the words of a group with their counts in all training texts; 1: all words; 2: all bigrams seen twice or more."""
-
-    def totals(part: int, held: list) -> Iterator[dict]:
-        own = [(g, w.view(np.uint64), c) for g, w, s, c in held if w is not None]
-        if own:
-            words, at = np.unique(np.concatenate([w for _, w, _ in own]), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate([c for _, _, c in own]), minlength=len(words)).astype(np.int64)
+SUMMED = "kind int, grp bigint, part int, keys array<bigint>, subs array<int>, counts array<int>, levels array<tinyint>, v bigint, n bigint"
+
+
+def summed(rows: DataFrame, parts: int, least: int) -> DataFrame:
+    """kind 0: the words of a group with their counts in all training texts and levels; 1: number and sum of all words of a part; 2: the bigrams of a group with their levels."""
+
+    def totals(part: int, held: list) -> Iterator[pa.RecordBatch]:
+        word_rows = [(g, w.view(np.uint64), c) for g, w, s, c in held if w is not None]
+        pair_rows = [(g, s, c) for g, w, s, c in held if w is None]
+        grams, total, at, pair_at = [], None, None, None
+        if word_rows:
+            words, at = np.unique(np.concatenate([w for _, w, _ in word_rows]), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate([c for _, _, c in word_rows]), minlength=len(words)).astype(np.int64)
+            grams.append((0, words, level(total)))
+        if pair_rows:
+            subs, pair_at = np.unique(np.concatenate([s for _, s, _ in pair_rows]).view(np.uint32), return_inverse=True)
+            times = np.bincount(pair_at, weights=np.concatenate([c for _, _, c in pair_rows]), minlength=len(subs)).astype(np.int64)
+            grams.append((1, tk.mix((_U(part) << _U(32)) | subs.astype(np.uint64)) | _U(1), level(np.where(times >= least, times, 0))))
+        own = segment(grams)
+        read = {o: own.levels(key, o).astype(np.int8) for o, key, _ in grams}
+        if word_rows:
+            yield out(1, part, v=int((total > 0).sum()), n=int(total.sum()))
             begin = 0
-            for g, w, _ in own:
-                yield {"kind": 0, "grp": g, "keys": w.view(np.int64), "counts": total[at[begin : begin + len(w)]]}
+            for g, w, _ in word_rows:
+                use = at[begin : begin + len(w)]
+                yield out(0, part, g, keys=w.view(np.int64), counts=np.minimum(total[use], 2**31 - 1).astype(np.int32), levels=read[0][use])
                 begin += len(w)
-            yield {"kind": 1, "grp": None, "keys": words[total > 0].view(np.int64), "counts": total[total > 0]}
-        own = [(s, c) for _, w, s, c in held if w is None]
-        if own:
-            subs, at = np.unique(np.concatenate([s for s, _ in own]).view(np.uint32), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate([c for _, c in own]), minlength=len(subs)).astype(np.int64)
-            key = tk.mix((_U(part) << _U(32)) | subs.astype(np.uint64)) | _U(1)
-            yield {"kind": 2, "grp": None, "keys": key[total > 1].view(np.int64), "counts": total[total > 1]}
-
-    def batch_of(r: dict) -> pa.RecordBatch:
-        off = pa.array([0, len(r["keys"])], pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([r["kind"]], pa.int32()), pa.array([r["grp"]], pa.int64()), *(pa.ListArray.from_arrays(off, pa.array(r[c], pa.int64())) for c in ("keys", "counts"))], ["kind", "grp", "keys", "counts"])
+        begin = 0
+        for g, s, _ in pair_rows:
+            yield out(2, part, g, subs=s, levels=read[1][pair_at[begin : begin + len(s)]])
+            begin += len(s)
+
+    def out(kind: int, part: int, grp: int | None = None, v: int | None = None, n: int | None = None, **lists: np.ndarray) -> pa.RecordBatch:
+        def array(name: str, t: pa.DataType) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(lists[name])], pa.int32()), pa.array(lists[name], t)) if name in lists else pa.nulls(1, pa.list_(t))
+
+        one = lambda x, t: pa.array([x], t)
+        columns = [one(kind, pa.int32()), one(grp, pa.int64()), one(part, pa.int32()), array("keys", pa.int64()), array("subs", pa.int32()), array("counts", pa.int32()), array("levels", pa.int8()), one(v, pa.int64()), one(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "grp", "part", "keys", "subs", "counts", "levels", "v", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             for i, part in enumerate(batch.column("part").to_pylist()):
                 if part != now:
-                    yield from map(batch_of, totals(now, held) if held else [])
+                    yield from totals(now, held) if held else []
                     now, held = part, []
                 array = lambda c: None if (x := batch.column(c)[i]).values is None else x.values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 held.append((batch.column("grp")[i].as_py(), array("words"), array("subs"), array("counts")))
         if held:
-            yield from map(batch_of, totals(now, held))
+            yield from totals(now, held)
 
     return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, SUMMED)
 
@@ -158,10 +173,10 @@ def summed(rows: DataFrame, parts: int) -> DataFrame:
 
 
 class Filter:
-    """Bits of the segments, and the lowest level held of unigrams and bigrams."""
+    """Bits of one or several segments by key, and the lowest level held of unigrams and bigrams."""
 
     def __init__(self, bits: np.ndarray, lowest: tuple[int, int]):
-        self.bits, self.lowest = bits, lowest  # bits: SEGMENTS rows of bytes
+        self.bits, self.lowest = bits, lowest  # bits: a row of bytes for each segment
 
     @staticmethod
     def _hash(key: np.ndarray, at: np.ndarray | int) -> np.ndarray:
@@ -179,19 +194,23 @@ class Filter:
         return np.stack([cls._place(a, i, size) for i in range(PROBES)])
 
     def counts(self, key: np.ndarray, order: int) -> np.ndarray:
-        """The counts of n-grams, by probing level after level, each as long as its bits are set."""
+        """The counts that the levels of n-grams stand for."""
+        return value(self.levels(key, order))
+
+    def levels(self, key: np.ndarray, order: int) -> np.ndarray:
+        """The levels of n-grams, by probing one after the other, each as long as its bits are set."""
         levels, todo, at = np.zeros(len(key), np.int64), np.arange(len(key)), self.lowest[order]
         size, flat = self.bits.shape[1] * 8, self.bits.ravel()
         while len(todo):
             a = self._hash(key[todo], at + 64 * order)
-            begin = (key[todo] % _U(SEGMENTS)).astype(np.int64) * self.bits.shape[1]
+            begin = (key[todo] % _U(len(self.bits))).astype(np.int64) * self.bits.shape[1]
             for i in range(PROBES):
                 place = self._place(a, i, size)
                 hit = np.flatnonzero((flat[begin + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1)
                 todo, a, begin = todo[hit], a[hit], begin[hit]
             levels[todo] = at
             at += 1
-        return value(levels)
+        return levels
 
 
 class Words:
@@ -212,7 +231,10 @@ class Words:
 
 
 def lowest_levels(histogram: dict[tuple[int, int], int]) -> tuple[tuple[int, int], int]:
-    """Lowest levels held and entries, from the n-grams by (order, level): as low as LARGEST allows, bigrams rising first."""
+    """Lowest levels and entries that a filter of LARGEST bytes could hold, from the n-grams by (order, level): bigrams rise first.
+
+    Not used for scores, which need all levels.
+    """
     low = [1, 1]
     entries = lambda: sum(n * (q - low[o] + 1) for (o, q), n in histogram.items() if q >= low[o])
     while entries() * BITS > LARGEST * 8:
@@ -220,51 +242,15 @@ def lowest_levels(histogram: dict[tuple[int, int], int]) -> tuple[tuple[int, int
     return (low[0], low[1]), entries()
 
 
-def build(table: DataFrame) -> Filter:
-    """The filter of the n-grams in a summed table."""
-
-    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, kind in enumerate(batch.column("kind").to_pylist()):
-                n = np.bincount(level(batch.column("counts")[i].values.to_numpy()))
-                yield pa.RecordBatch.from_arrays([pa.array([kind - 1] * len(n), pa.int32()), pa.array(range(len(n)), pa.int32()), pa.array(n, pa.int64())], ["o", "q", "n"])
-
-    grams = table.filter("kind > 0")
-    found = grams.mapInArrow(levels, "o int, q int, n bigint").groupBy("o", "q").agg(F.sum("n").alias("n")).filter("n > 0").collect()
-    lowest, entries = lowest_levels({(r["o"], r["q"]): r["n"] for r in found})
-    size = max(1024, -(-entries * BITS // (8 * SEGMENTS)))
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, kind in enumerate(batch.column("kind").to_pylist()):
-                key = batch.column("keys")[i].values.to_numpy().view(np.uint64)
-                q = level(batch.column("counts")[i].values.to_numpy())
-                use = q >= lowest[kind - 1]
-                key, q = key[use], q[use]
-                seg, lists = _by_part((key % _U(SEGMENTS)).astype(np.int32), [(key.view(np.int64), pa.int64()), (q.astype(np.int8), pa.int8())])
-                yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array([kind - 1] * len(seg), pa.int32()), *lists], ["seg", "o", "keys", "q"])
-
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = None, None
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
-        for batch in batches:
-            for i, seg in enumerate(batch.column("seg").to_pylist()):
-                if seg != now:
-                    if bits is not None:
-                        yield out()
-                    now, bits = seg, np.zeros(size * 8, bool)
-                key, q, o = batch.column("keys")[i].values.to_numpy().view(np.uint64), batch.column("q")[i].values.to_numpy().astype(np.int64), batch.column("o")[i].as_py()
-                for at in range(lowest[o], int(q.max(initial=0)) + 1):
-                    own = key[q >= at]
-                    bits[Filter.places(own, np.full(len(own), at + 64 * o), size * 8).astype(np.int64).ravel()] = True
-        if bits is not None:
-            yield out()
-
-    rows = grams.mapInArrow(dealt, "seg int, o int, keys array<bigint>, q array<tinyint>").repartition(SEGMENTS, "seg").sortWithinPartitions("seg")
-    bits = np.zeros((SEGMENTS, size), np.uint8)
-    for r in rows.mapInArrow(filled, "seg int, bits binary").collect():  # LARGEST bytes at most
-        bits[r["seg"]] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(bits, lowest)
+def segment(grams: list[tuple[int, np.ndarray, np.ndarray]]) -> Filter:
+    """The filter of all levels of some n-grams: (order, keys, levels)."""
+    size = max(SEGMENTS * 1024, -(-sum(int(q.sum()) for _, _, q in grams) * BITS // 8))
+    bits = np.zeros(size * 8, bool)
+    for o, key, q in grams:
+        for at in range(1, int(q.max(initial=0)) + 1):
+            own = key[q >= at]
+            bits[Filter.places(own, np.full(len(own), at + 64 * o), size * 8).ravel()] = True
+    return Filter(np.packbits(bits, bitorder="little")[None, :], (1, 1))
 
 
 # -- scores ---------------------------------------------------------------------------------------------------------------
@@ -272,50 +258,56 @@ def build(table: DataFrame) -> Filter:
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def model_scores(model: Filter, one: np.ndarray, h: np.ndarray, n: np.ndarray, parts: int, total: int, distinct: int) -> np.ndarray:
-    """log10 probability of each row's tokens; one: the filter's counts of them."""
-    two = model.counts(_bigram_key(_pairs(h, n), parts), 1)
-    first = np.zeros(len(h), bool)
+def model_scores(one: np.ndarray, two: np.ndarray, end: float, n: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 probability of each row's tokens; one, two, end: the filter's counts of them, of their bigrams and of the end."""
+    first = np.zeros(len(one), bool)
     first[np.cumsum(n) - n] = True
     before = np.append(0.0, one[:-1])
-    before[first] = model.counts(np.array([END]), 0)[0]  # texts begin as often as they end
+    before[first] = end  # texts begin as often as they end
     before = np.maximum(before, two)
     p = (two + MU * (one + 1) / (total + distinct + 1)) / (before + MU)
     return np.add.reduceat(np.log10(np.minimum(p, 1.0)), np.cumsum(n) - n)
 
 
-def language_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", out: Column | None = None) -> DataFrame:
-    """Scores of all rows, learnt from those that are not held out."""
+def language_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", out: Column | None = None, least: int = 2) -> DataFrame:
+    """Scores of all rows, learnt from those that are not held out; bigrams count from `least` times on (1: all)."""
     spark = docs.sparkSession
     parts = partitions(spark)
     rows = documents(docs, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("train", ~(held_out(F.col("doc_id")) if out is None else out)).withColumn("grp", F.coalesce(F.floor(F.col("doc_id") / GROUP), F.lit(-1)).cast("long"))
-    table = written(summed(count_rows(rows.select("grp", "train", "text"), parts), parts), "lm-counts")
-    size = table.filter("kind = 1").select(F.size("keys").cast("long").alias("v"), F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
+    table = written(summed(count_rows(rows.select("grp", "train", "text"), parts), parts, least), "lm-counts")
+    size = table.filter("kind = 1").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     total, distinct = size["n"] or 0, size["v"] or 0
-    model = spark.sparkContext.broadcast(build(table))
 
     none = lambda t: F.lit(None).cast(t)
-    known = table.filter("kind = 0").select("grp", F.lit(0).alias("kind"), none("bigint").alias("doc_id"), none("boolean").alias("train"), none("string").alias("text"), "keys", F.transform("counts", lambda x: F.least(x, F.lit(2**31 - 1)).cast("int")).alias("counts"))
-    texts = rows.select("grp", F.lit(1).alias("kind"), "doc_id", "train", "text", none("array<bigint>").alias("keys"), none("array<int>").alias("counts"))
+    lists = {"part": "int", "keys": "array<bigint>", "subs": "array<int>", "counts": "array<int>", "levels": "array<tinyint>"}
+    known = table.filter("kind != 1").select("grp", F.lit(0).alias("kind"), none("bigint").alias("doc_id"), none("boolean").alias("train"), none("string").alias("text"), *lists)
+    texts = rows.select("grp", F.lit(1).alias("kind"), "doc_id", "train", "text", *[none(t).alias(c) for c, t in lists.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts_of, words, counts, seen = object(), [], None, None, None
+        now, word_rows, pair_rows, words = object(), [], [], None
         for batch in batches:
             grp, kind = batch.column("grp").to_pylist(), batch.column("kind").to_pylist()
+            array = lambda c, i: batch.column(c)[i].values.to_numpy()  # noqa: B023, E731
             i = 0
             while i < len(grp):
                 if grp[i] != now:
-                    now, parts_of, words = grp[i], [], None
+                    now, word_rows, pair_rows, words = grp[i], [], [], None
                 if kind[i] == 0:
-                    parts_of.append((batch.column("keys")[i].values.to_numpy(), batch.column("counts")[i].values.to_numpy()))
+                    if batch.column("keys")[i].is_valid:
+                        word_rows.append((array("keys", i).view(np.uint64), array("counts", i), array("levels", i)))
+                    else:
+                        key = (_U(batch.column("part")[i].as_py()) << _U(32)) | array("subs", i).view(np.uint32).astype(np.uint64)
+                        pair_rows.append((tk.mix(key) | _U(1), array("levels", i)))
                     i += 1
                     continue
                 if words is None:
-                    words = np.concatenate([w for w, _ in parts_of]).view(np.uint64)
-                    order = np.argsort(words)
-                    words, counts = Words(words[order]), np.concatenate([c for _, c in parts_of])[order].astype(np.int64)
-                    seen = model.value.counts(words.table[:-1], 0)
+                    table_, first = np.unique(np.concatenate([w for w, _, _ in word_rows]), return_index=True)
+                    words, counts = Words(table_), np.concatenate([c for _, c, _ in word_rows])[first].astype(np.int64)
+                    seen = value(np.concatenate([q for _, _, q in word_rows])[first].astype(np.int64))
+                    table_, first = np.unique(np.concatenate([p for p, _ in pair_rows]), return_index=True)
+                    pairs, pair_levels = Words(table_), np.concatenate([q for _, q in pair_rows])[first]
+                    word_rows, pair_rows = [], []
                 j = i
                 while j < len(grp) and grp[j] == now and j - i < SLICE:
                     j += 1
@@ -325,7 +317,8 @@ def language_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ou
                 c = counts[where]
                 at = np.cumsum(n) - n
                 base = np.add.reduceat(np.log10(c + 1.0), at) - n * np.log10(total + distinct + 1.0)
-                score = model_scores(model.value, seen[where], h, n, parts, total, distinct)
+                two = value(pair_levels[pairs.find(_bigram_key(_pairs(h, n), parts))].astype(np.int64))
+                score = model_scores(seen[where], two, float(seen[words.find(np.array([END]))][0]), n, total, distinct)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(~part.column("train").to_numpy(zero_copy_only=False)), pa.array(n, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(n), total), pa.int64()), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
                 i = j
 

@@ -89,7 +89,7 @@ SQL["op7_licence_scan"] = licences.SQL
 
 @_query
 def op6_language_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return bloomlm.language_scores(_table(spark, sf, "documents"))
+    return bloomlm.language_scores(_table(spark, sf, "documents"), least=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

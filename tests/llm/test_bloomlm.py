@@ -93,3 +93,29 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in queries()["op6_language_scores"](spark, sf).collect())
     assert got == [w[:6] for w in brute(rows)]
+
+
+def test_single_bigrams_and_all_levels_count_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(op, "LARGEST", 100)  # far less than the entries need
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rnd.expovariate(0.05))}" for _ in range(rnd.randrange(1, 60)))) for i in range(200)]
+    got = {r.doc_id: r.score for r in op.language_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), least=1).collect()}
+    out = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows}
+    train = [split(t) for k, t in rows if not out[k]]
+    one, two = Counter(w for d in train for w in d), Counter(p for d in train for p in zip(["<b>", *d], d, strict=False))
+    total, distinct = sum(one.values()), len(one)
+    q = lambda c: float(op.value(op.level(np.array([c])))[0]) if c else 0.0
+    for k, t in rows:
+        score, v = 0.0, "<b>"
+        for w in split(t):
+            c2 = q(two[v, w])
+            c1 = max(q(one[None] if v == "<b>" else one[v]), c2)
+            score += math.log10(min(1.0, (c2 + op.MU * (q(one[w]) + 1) / (total + distinct + 1)) / (c1 + op.MU)))
+            v = w
+        assert abs(got[k] - score) <= 0.02 * abs(score) + 0.5, (k, got[k], score)
+
+
+def test_query_counts_single_bigrams(spark):
+    sf = "/root/testdata/sf0.001"
+    whole = op.language_scores(spark.read.parquet(f"{sf}/documents.parquet"), least=1).agg({"score": "sum"}).first()[0]
+    assert abs(queries()["op6_language_scores"](spark, sf).agg({"score": "sum"}).first()[0] - whole) < 1e-3
