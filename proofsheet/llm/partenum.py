@@ -17,7 +17,8 @@ Groups of copies. Equal sets become one node before anything else. A signature s
 which links its members to one pivot (first within a slice of documents, then over slices), so buckets give as many pairs
 as members, not as their square, and a task gets at most one row per slice for a signature. Pairs are verified against the
 whole sets, after a bound has sent most false ones away: each set has a parity sketch, a few bits per shingle, and two
-sketches differ in at most as many bits as the sets in shingles. Where a member fails against its pivot, the bucket's other pairs may still link. The nodes of such mixed buckets
+sketches differ in at most as many bits as the sets in shingles. Where a member fails against its pivot, the bucket's other pairs may still link. A node is first held against
+its PIVOTS likeliest pivots only; in buckets of two that this leaves mixed the one pair is verified next. The nodes of larger mixed buckets
 are grouped (buckets that share nodes together, unless that would make a group of more than LARGE) and compared in blocks
 of BLOCK nodes, each pair of blocks in a task of its own: sketches first, then the sets of pairs that they allow, unless a
 link found before has joined the two components. So no link between different components is lost, components are exact,
@@ -422,8 +423,15 @@ def all_links(found: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     labels = connected_components(links, "pivot", "node")
     members = found.select("bucket", "node").union(found.select("bucket", F.col("pivot").alias("node"))).distinct()
     members = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
-    mixed = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2").select("bucket")
-    mixed = written(mixed, "mixed", size)
+    mixed = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min("node").alias("a"), F.max("node").alias("b")).filter("lo < hi")
+    mixed = written(mixed.select("bucket", "size", "a", "b"), "mixed", size)
+    # those of two have one pair, which was held against each other unless the pivot ranked too low
+    rest = mixed.filter("size = 2").select(F.col("a").alias("pivot"), F.col("b").alias("node")).distinct().join(pairs, ["pivot", "node"], "left_anti")
+    rest = written(rest, "rest", size)
+    count = rest.count()
+    if count:
+        links = links.union(verified(rest, rows, sets, count).filter("ok").select("pivot", "node"))
+    mixed = mixed.filter("size > 2").select("bucket")
     if not mixed.limit(1).count():
         return links
     edges = found.join(mixed, "bucket", "left_semi").select("pivot", "node").distinct()

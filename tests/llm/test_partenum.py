@@ -139,3 +139,31 @@ def test_sketches_never_differ_more_than_the_sets():
         while len(y) > len(x):
             y = y[: len(y) // 2] ^ y[len(y) // 2 :]
         assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_pairs_of_pivots_that_rank_low(spark, monkeypatch):
+    """A node with many pivots in buckets of two: those that it shares fewest buckets with are the ones that link."""
+    monkeypatch.setattr(op, "PIVOTS", 1)
+    rnd, nodes, found = random.Random(7), {}, []
+    for at in range(0, 400, 10):
+        base = rnd.sample(range(1 << 40), 100)
+        nodes[at + 9] = base
+        for i in range(rnd.choice([2, 4, 7])):
+            own = base[: rnd.choice([20, 60, 88, 95])]
+            nodes[at + i] = own + rnd.sample(range(1 << 40), 100 - len(own))
+            linked = len(own) >= 88
+            found += [(len(found) + k, at + i, at + 9) for k in range(1 if linked else rnd.choice([2, 5]))]
+    sizes = np.array([len(x) for x in nodes.values()])
+    values = [np.sort(np.array(x, np.uint64)) for x in nodes.values()]
+    flat, width = op.sketches(np.concatenate(values), sizes)
+    ends = np.cumsum(width)
+    rows = spark.createDataFrame([(k, 100, flat[e - w : e].tolist()) for k, e, w in zip(nodes, ends, width, strict=True)], "node bigint, n bigint, sketch array<bigint>")
+    held = spark.createDataFrame([(k, v.view(np.int64).tolist()) for k, v in zip(nodes, values, strict=True)], "node bigint, shingles array<bigint>")
+    got = op.all_links(spark.createDataFrame(found, "bucket bigint, pivot bigint, node bigint"), rows, held).collect()
+    want = {(p, n) for _, p, n in found if 100 * len(set(nodes[p]) & set(nodes[n])) >= 75 * len(set(nodes[p]) | set(nodes[n]))}
+    assert any(sum(q[2] == n and q[1] != p for q in found) > 1 for p, n in want) and {(r.pivot, r.node) for r in got} == want
+
+
+def test_against_brute_force_with_one_pivot(spark, monkeypatch):
+    monkeypatch.setattr(op, "PIVOTS", 1)
+    test_against_brute_force(spark)
