@@ -57,6 +57,13 @@ def heroes(df: DataFrame, groups: DataFrame, key: str, score: str) -> DataFrame:
     return rows.groupBy("group_id").agg(F.max_by(key, F.struct(F.coalesce(score, F.lit(0.0)), -F.col(key))).alias("hero"), F.count("*").alias("n"))
 
 
+def member_similarities(df: DataFrame, label: str, key: str, vector: str, blocks: int = 8) -> DataFrame:
+    """(label, key, cos) of each member with each other one of its label. Members are dealt to blocks, so that a large label is several tasks."""
+    members = df.select(label, key, vector, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"))
+    others = df.select(label, F.col(key).alias("_other"), F.col(vector).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    return members.join(others, [label, "_block"]).filter(F.col(key) != F.col("_other")).select(label, key, dot(F.col(vector), F.col("_v")).alias("cos"))
+
+
 def top_matches(df: DataFrame, query: list[float], key: str, vector: str, k: int) -> DataFrame:
     """The k rows most similar to a vector, all rows compared."""
     q = F.array(*[F.lit(float(x)) for x in query])
