@@ -57,6 +57,15 @@ def merge_runs(runs: list[tuple[str, DataFrame]], name: str = "filename", cluste
     return out.withColumn(name, F.col("_name")).withColumnRenamed("_run", "source_run").drop("_name", "_pos")
 
 
+def merge_log(log: DataFrame, run: str = "run_id", name: str = "filename", cluster: str = "cluster_id", prefix: str = "run") -> DataFrame:
+    """All runs of a log as one, in one job, as merge_runs does with a list: the smallest run keeps a name."""
+    of = F.concat(F.lit(prefix), F.col(run).cast("string"))
+    taken = F.row_number().over(Window.partitionBy(name).orderBy(run)) > 1
+    rows = log.withColumns({"source_run": of, "_taken": taken})
+    renamed = F.when(F.col("_taken"), F.concat("source_run", F.lit("__"), F.col(name))).otherwise(F.col(name))
+    return rows.withColumns({name: renamed, cluster: F.concat(F.col("source_run"), F.lit(":"), F.col(cluster).cast("string"))}).drop(run, "_taken")
+
+
 def normalized_edits(log: DataFrame, now_ms: int) -> DataFrame:
     """Edits with a file name, text cut to its limits, and a time: the client's, the log's, or now."""
     text = lambda c, n=512: F.substring(F.col(c), 1, n).alias(c)

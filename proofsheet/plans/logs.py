@@ -51,6 +51,15 @@ def merge_runs(spark, sf):
     return G.merge_runs(runs).select("source_run", "filename", "cluster_id")
 
 
+@query(f"""WITH {EDIT_SQL}, c AS (SELECT run_id, filename, line_no FROM v_edit QUALIFY row_number() OVER (PARTITION BY run_id, filename ORDER BY line_no DESC) = 1),
+ m AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY run_id) AS rn FROM c)
+ SELECT 'run' || run_id AS source_run, CASE WHEN rn > 1 THEN 'run' || run_id || '__' || filename ELSE filename END AS filename, 'run' || run_id || ':' || (line_no % 9) AS cluster_id FROM m""")
+def merge_all_runs(spark, sf):
+    """merge_runs has the three runs that its SQL states; this has all runs of the log."""
+    e = G.latest(edits(spark, sf), ["run_id", "filename"], ["line_no"])
+    return G.merge_log(e.select("run_id", "filename", (F.col("line_no") % 9).alias("cluster_id"))).select("source_run", "filename", "cluster_id")
+
+
 @query(f"""WITH {EDIT_SQL}, {METRICS_SQL}, c AS (SELECT filename, decision FROM v_edit QUALIFY {_LAST}) SELECT photo_id, c.filename, c.decision, score_final FROM v_metrics m JOIN c ON c.filename = 'f' || (m.photo_id % 1000)""")
 def annotate_join(spark, sf):
     m = metrics(spark, sf).withColumn("filename", F.concat(F.lit("f"), F.col("photo_id") % 1000))
