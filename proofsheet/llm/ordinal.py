@@ -6,7 +6,7 @@ thresholds t0 < t1 < ... cut the score: P(grade <= k) = logistic(t_k - w x). So
 tail probability P(grade >= k) that selects documents.
 
 The fit maximises the penalised likelihood by gradient steps scaled per weight (Adam), on the driver, over at
-most SAMPLE labelled documents: those whose keys hash lowest. Only this sample is bounded; every document is scored, in one
+most SAMPLE labelled documents: of those in the table, the ones whose keys hash lowest. Only this sample is bounded; every document is scored, in one
 pass without a shuffle. The model holds at most as many weights as the sample has features.
 
 Defined results: a null text is empty; several ratings of a document count by the lowest; ratings without a document and
@@ -29,7 +29,7 @@ from proofsheet.llm import textkernel as tk
 from proofsheet.llm.common import documents
 
 #: Labelled documents of the fit, at most.
-SAMPLE = 8_000
+SAMPLE = 10_000
 #: Buckets of features (as bits), and documents of the sample that must show a feature.
 BITS, LEAST = 22, 4
 #: Penalties on squared weights, of words and of other features; steps of the fit and their first length.
@@ -179,8 +179,10 @@ def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, word: np.ndarray
 def train(docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id", text: str = "text", rating_key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Fit to at most `sample` of the documents that ratings grade."""
     graded = ratings.select(F.col(rating_key).cast("long").alias("doc_id"), grade.cast("int").alias("grade")).dropna()
-    graded = graded.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents(docs, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(graded), "doc_id")
+    source = documents(docs, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    graded = graded.groupBy("doc_id").agg(F.min("grade").alias("grade")).join(source.select("doc_id"), "doc_id", "left_semi")
+    graded = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = source.join(F.broadcast(graded), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

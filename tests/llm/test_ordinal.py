@@ -49,3 +49,12 @@ def test_odd_cases(spark):
 def test_query(spark):
     out = queries()["op3_quality_grades"](spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "expected_grade", "tail_probability", "kept"] and out.count() == 200
+
+
+def test_ratings_without_a_document_use_up_no_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op, "fit", lambda row, bucket, value, word, grade: seen.append(len(grade)))
+    docs, labels = tables(spark, 60)
+    marks = [*labels, *[(10_000 + i, 1, 0) for i in range(3000)]]
+    op.train(spark.createDataFrame(docs, "doc_id bigint, text string, kept int"), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"), rated_grade(), sample=50)
+    assert seen == [50] and op.SAMPLE == 10_000
