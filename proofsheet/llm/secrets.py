@@ -43,6 +43,8 @@ ENCODINGS = [
     ("base64_url", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", UPPER + UPPER.lower() + DIGITS + "-_"),
 ]
 
+#: Matches of a text that are placed one by one, before their array joins the others.
+RUN_OF = 256
 #: Share of false discoveries among accepted runs, and the steps of the histogram of p values.
 FDR, STEPS = 0.1, 50
 
@@ -50,18 +52,25 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def _placed(text: Column, pattern: str, kind: int, group: int | None = None) -> Column:
-    """Leftmost non-overlapping matches: array of (start, kind, end, hit), and hit the group's text."""
+    """Leftmost non-overlapping matches: array of (start, kind, end, hit), and hit the group's text.
+
+    Matches are placed in runs of RUN_OF, each an array of its own, so that a text of n matches copies RUN_OF n values, not n * n.
+    """
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = hits if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    one = "array<struct<start:int,kind:int,end:int,hit:string>>"
 
     def place(h: Column) -> Column:
         rows = F.arrays_zip(h.alias("h"), F.slice(gaps, 1, F.size(h)).alias("g"), values.alias("v"))
-        none = F.from_json(F.lit("[]"), "array<struct<start:int,kind:int,end:int,hit:string>>")
         step = lambda acc, x: F.struct(
             (acc["at"] + F.length(x["g"]) + F.length(x["h"])).alias("at"),
             F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.length(x["g"]) + F.length(x["h"])).alias("end"), x["v"].alias("hit")))).alias("out"),
         )
-        return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        run = lambda r, acc, k: F.aggregate(F.slice(r, k * RUN_OF + 1, F.lit(RUN_OF)), F.struct(acc["at"].alias("at"), F.array().cast(one).alias("out")), step)
+        more = lambda acc, x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"))
+        runs = F.sequence(F.lit(0), F.floor((F.size(h) - 1) / RUN_OF).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{one}>").alias("out"))
+        return let(rows, lambda r: F.flatten(F.aggregate(runs, start, lambda acc, k: let(run(r, acc, k), lambda x: more(acc, x)), lambda acc: acc["out"])))
 
     return F.when(F.size(hits) > 0, let(hits, place))
 
@@ -85,47 +94,54 @@ def _above(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
 
 
-def p_random(s: Column, alphabet: str) -> Column:
+def p_random(s: Column, alphabet: Column | str) -> Column:
     """Fisher's combination of the three tests of s against uniform draws from the alphabet."""
-    size = float(len(alphabet))
+    alphabet = F.lit(alphabet) if isinstance(alphabet, str) else alphabet
 
-    def battery(v: Column) -> Column:
-        n = F.size(v).cast("double")
+    def battery(v: Column, size: Column) -> Column:
+        n, k = F.size(v).cast("double"), size - 1
         squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(v, lambda y: y == c)).cast("double"), F.lit(2.0)))
-        k = size - 1
         chi = F.greatest(size / n * squares - n, F.lit(0.0))
         # variance 2k (n - 1) / n instead of 2k; cube root of Wilson and Hilferty
         scaled = F.greatest(k + (chi - k) / F.sqrt((n - 1) / n), F.lit(0.0))
-        p_chi = _above((F.pow(scaled / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / (2 / (9 * k)) ** 0.5)
-        high = F.transform(v, lambda y: y >= size / 2)
-        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        n1 = F.size(F.filter(high, lambda y: y)).cast("double")
+        p_chi = _above((F.pow(scaled / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k)))
+        # one walk over neighbours: changes of side, and the sum of products about the middle
+        centre = k / 2
+        pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(((a > centre) != (b > centre)).cast("int").alias("turn"), ((a - centre) * (b - centre)).alias("product")))
+        start = F.struct(F.lit(0).alias("turns"), F.lit(0.0).alias("sum"))
+        walk = F.aggregate(pairs, start, lambda a, q: F.struct((a["turns"] + q["turn"]).alias("turns"), (a["sum"] + q["product"]).alias("sum")))
+        n1 = F.size(F.filter(v, lambda y: y > centre)).cast("double")
         mean = 2 * n1 * (n - n1) / n + 1
-        runs = 1 + F.size(F.filter(pairs, lambda q: (q["a"] >= size / 2) != (q["b"] >= size / 2)))
         spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(0.25))
-        p_runs = 2 * _above(F.abs(runs - mean) / F.sqrt(spread))
-        centre = (size - 1) / 2
-        serial = F.aggregate(pairs, F.lit(0.0), lambda a, q: a + (q["a"] - centre) * (q["b"] - centre)) / ((size * size - 1) / 12)
-        p_serial = 2 * _above(F.abs(serial) / F.sqrt(n - 1))
-        half = -F.ln(F.greatest(p_chi, F.lit(1e-12))) - F.ln(F.greatest(p_runs, F.lit(1e-12))) - F.ln(F.greatest(p_serial, F.lit(1e-12)))
-        return F.exp(-half) * (1 + half + half * half / 2)
 
-    values = F.transform(F.split(s, ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("int"))
-    return let(values, battery)
+        def combined(w: Column) -> Column:
+            p_runs = 2 * _above(F.abs(1 + w["turns"] - mean) / F.sqrt(spread))
+            p_serial = 2 * _above(F.abs(w["sum"] / ((size * size - 1) / 12)) / F.sqrt(n - 1))
+            return let(-sum(F.ln(F.greatest(p, F.lit(1e-12))) for p in (p_chi, p_runs, p_serial)), lambda half: F.exp(-half) * (1 + half + half * half / 2))
+
+        return let(walk, combined)
+
+    values = F.transform(F.split(s, ""), lambda c: F.instr(alphabet, c) - 1)
+    return let(values, lambda v: let(F.length(alphabet).cast("double"), lambda size: battery(v, size)))
 
 
 def candidates(text: Column) -> Column:
-    """Runs that are an encoding: start, end, encoding, length class and p value."""
+    """Runs that are an encoding: start, end, encoding, length class and p value. One battery tests all, with the alphabet looked up."""
+    encoding = F.lit(None).cast("int")
+    alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
 
-    def tested(x: Column) -> Column:
-        name, p = F.lit(None).cast("int"), F.lit(None).cast("double")
+    def encoded(x: Column) -> Column:
+        e = encoding
         for i in reversed(range(len(ENCODINGS))):
-            fits = x["hit"].rlike(ENCODINGS[i][1])
-            name, p = F.when(fits, i).otherwise(name), F.when(fits, p_random(x["hit"], ENCODINGS[i][2])).otherwise(p)
-        return F.struct(x["start"], x["kind"], x["end"], name.alias("encoding"), F.floor(F.log2(x["end"] - x["start"])).cast("int").alias("size"), p.alias("p"))
+            e = F.when(x["hit"].rlike(ENCODINGS[i][1]), i).otherwise(e)
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["hit"].alias("hit"), e.alias("encoding"))
+
+    def tested(x: Column) -> Column:
+        p = p_random(x["hit"], F.element_at(alphabets, x["encoding"] + 1))
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["encoding"].alias("encoding"), F.floor(F.log2(x["end"] - x["start"])).cast("int").alias("size"), p.alias("p"))
 
     likely = F.filter(_placed(text, RUN, 3), lambda x: x["hit"].rlike("[0-9]"))
-    return F.filter(F.transform(likely, tested), lambda x: x["encoding"].isNotNull())
+    return F.transform(F.filter(F.transform(likely, encoded), lambda x: x["encoding"].isNotNull()), tested)
 
 
 def bounds(docs: DataFrame, text: str = "text") -> dict[tuple[int, int], float]:
