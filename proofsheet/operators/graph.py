@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofsheet.session import shared_folder
+
 
 #: Edges of one file of a round's table.
 EDGES = 500_000
@@ -17,16 +18,12 @@ def _kept(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """A table in the shared folder, of about `rows` rows: cuts the lineage so that each round reads only the last one's edges."""
     df = df if rows is None else df.coalesce(rows // EDGES + 1)
     spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="proofsheet-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): component is the smallest node that can be reached. Nodes are those of the edges.
 
     Each round links every neighbour of a node that is larger than it to the node's smallest neighbour, then every
@@ -35,7 +32,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """
     now = _kept(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:  # each round either moves an edge nearer to its smallest node or ends the loop
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if not state["n"] or state == last:
             break

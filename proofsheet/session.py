@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +27,22 @@ def session(master: str | None = None, app: str = "proofsheet", **more: str) ->
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for intermediate tables: spark.checkpoint.dir, read from the session.
+
+    Where it is unset, a local session (tests) gets a folder of its own; on a cluster that is an error, since executors could not see it.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master.startswith("local-cluster") or not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="proofsheet-"))
+    return _OWN[0]
