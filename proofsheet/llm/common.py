@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofsheet.session import shared_folder
+
 #: A word, and what stands between words.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="proofsheet-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, only a local session may go on, in a folder of its own."""
+    return shared_folder(spark)
 
 
 #: Rows of one file of a narrow table.
@@ -37,8 +34,13 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, n: int) -> bool:
+    """Whether df has at most n rows: the size check in front of a broadcast. Counts; no row comes to the driver."""
+    return df.limit(n + 1).count() <= n
+
+
 def at_most(df: DataFrame, n: int) -> list | None:
-    """The rows of df, or None if there are more than n: the size check in front of a broadcast."""
+    """The rows of df, or None if there are more than n: for tables that the driver works on."""
     rows = df.limit(n + 1).collect()
     return rows if len(rows) <= n else None
 

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofsheet.llm.common import GAP, at_most, written
+from proofsheet.llm.common import GAP, few, written
 
 #: A document with fewer words, or a larger share of words in repeated 3-word windows, fails the base rules.
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
@@ -99,7 +99,7 @@ def host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: s
     """Each document's counts and flags, with host_failed, host_docs and kept."""
     counts = written(rule_counts(docs, key, text, host), "rule-counts")
     bad = written(host_verdicts(counts).filter("host_rejected").select("host", F.lit(True).alias("bad")), "bad-hosts")
-    if at_most(bad, FEW_HOSTS) is not None:
+    if few(bad, FEW_HOSTS):
         joined = counts.join(F.broadcast(bad.withColumnRenamed("host", "bad_host")), F.col("host").eqNullSafe(F.col("bad_host")), "left")
     else:
         salted = bad.select(F.col("host").alias("bad_host"), "bad", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("bad_salt"))

@@ -25,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofsheet.llm.common import at_most, written
+from proofsheet.llm.common import few, written
 
 #: Notices of public licences.
 TEMPLATES = [
@@ -150,7 +150,7 @@ def licence_scan(files: DataFrame, key: str = "doc_id", path: str = "path", text
     above = marked.filter("own is null and dir is not null").select("dir").distinct().select("dir", F.posexplode(ancestors(F.col("dir"))).alias("up", "from_dir"))
     resolved = above.join(licensed, "from_dir").groupBy("dir").agg(F.min_by(F.struct("granted", "from_dir"), "up").alias("g")).select(F.col("dir").alias("dir_"), "g.granted", "g.from_dir")
     resolved = written(resolved, "directories")
-    if at_most(resolved, FEW_DIRS) is not None:
+    if few(resolved, FEW_DIRS):
         out = marked.join(F.broadcast(resolved), F.col("dir") == F.col("dir_"), "left")
     else:
         salted = resolved.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

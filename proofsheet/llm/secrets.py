@@ -165,21 +165,21 @@ def lowest_bound(histogram: list[int]) -> float | None:
     return None
 
 
-def secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with base_spans and spans (all of them), each by start and then kind, as (start, kind, end)."""
+def secret_spans(docs: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "spans") -> DataFrame:
+    """docs with columns base and spans (all of them), each by start and then kind, as (start, kind, end)."""
     value = F.coalesce(F.col(text), F.lit(""))
     found = bounds(docs, text)
-    with_base = docs.drop("base_spans", "spans").withColumn("base_spans", base_spans(value))
+    with_base = docs.drop(base, spans).withColumn(base, base_spans(value))
     if not found:
-        return with_base.withColumn("spans", F.col("base_spans"))
+        return with_base.withColumn(spans, F.col(base))
     bound = F.create_map(*[F.lit(x) for (e, s), b in sorted(found.items()) for x in (e * 64 + s, b)])
 
-    def accepted(base: Column) -> Column:
-        free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    def accepted(own: Column) -> Column:
+        free = lambda x: ~F.exists(own, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
         more = F.filter(candidates(value), lambda x: F.coalesce(x["p"] >= F.element_at(bound, x["encoding"] * 64 + x["size"]), F.lit(False)) & free(x))
-        return F.sort_array(F.concat(base, _bare(more)))
+        return F.sort_array(F.concat(own, _bare(more)))
 
-    return with_base.withColumn("spans", accepted(F.col("base_spans")))
+    return with_base.withColumn(spans, accepted(F.col(base)))
 
 
 def spelled(spans: Column) -> Column:

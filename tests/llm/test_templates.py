@@ -13,39 +13,53 @@ def tokens(text):
     out, last, t = [], None, text or ""
     for m in re.finditer(r"[^\x20\x09-\x0D]+", t):
         w = m[0]
-        bare = re.sub("[A-Z]", lambda x: x[0].lower(), "".join(c for c in w if c not in string.punctuation))
         raw = "".join(c for c in w if c not in string.punctuation)
+        bare = re.sub("[A-Z]", lambda x: x[0].lower(), raw)
         opens = last is None or last[1][-1] in ".!?:;" or "\n" in t[last[0] : m.start()]
         last = (m.end(), w)
         if not raw:
             continue
-        kind = op.NUMBER if re.search("[0-9]", w) else op.UNIT if bare in op.UNITS else op.NAME if raw[0] in string.ascii_uppercase and not opens else op.LITERAL
+        kind = op.NUMBER if re.search("[0-9]", w) else op.UNIT if bare in op.UNITS else op.LITERAL if raw[0] not in string.ascii_uppercase else op.OPENING if opens else op.NAME
         out.append((kind, bare))
     return out
 
 
+FREE = (op.LITERAL, op.OPENING)
+
+
 def brute(docs, items):
     out = []
     for d, text in docs:
         t = tokens(text)
         for i, item in items:
-            q = tokens(item)
-            size = min(op.WINDOW, len(q))
-            key = lambda x: (x[0], x[1] if x[0] == op.LITERAL else "")
+            plain = tokens(item)
+            named = [(op.NAME, plain[0][1]), *plain[1:]] if plain and plain[0][0] == op.OPENING else plain
+            n = len(plain)
+            size = min(op.WINDOW, n)
+            key = lambda x: ("", x[1]) if x[0] in FREE else (x[0], "")
             lines = {}
             for a in range(len(t) - size + 1 if size else 0):
-                for b in range(len(q) - size + 1):
-                    w = q[b : b + size]
-                    if [key(x) for x in t[a : a + size]] == [key(x) for x in w] and 2 * sum(x[0] == op.LITERAL for x in w) >= size:
-                        lines.setdefault(a - b, set()).update((a + k, b + k) for k in range(size))
+                for b in range(n - size + 1):
+                    lines.setdefault(a - b, [])
+                    there = t[a : a + size]
+                    if [x[1] for x in there] == [x[1] for x in plain[b : b + size]]:
+                        lines[a - b].append((True, a, b, plain))
+                    for q in (plain, named)[: 1 + (b == 0 and named is not plain)]:
+                        w = q[b : b + size]
+                        if list(map(key, there)) == list(map(key, w)) and 2 * sum(x[0] in FREE for x in w) >= size:
+                            lines[a - b].append((False, a, b, q))
             covered, changed = set(), False
-            for places in lines.values():
-                slots = {}
-                if all(slots.setdefault(q[b], t[a][1]) == t[a][1] for a, b in places if q[b][0] != op.LITERAL):
-                    covered |= {b for _, b in places}
-                    changed |= any(k[1] != v for k, v in slots.items())
-            if covered and len(covered) >= op.COVER * len(q):
-                out.append((d, i, round(len(covered) / len(q), 6), changed))
+            for windows in lines.values():
+                pairs = {(q[b + k], t[a + k][1]) for p, a, b, q in windows if not p for k in range(size) if q[b + k][0] not in FREE}
+                same = len({x for x, _ in pairs}) == len(pairs)
+                strict = {(x, y) for x, y in pairs if x[0] != op.NUMBER}
+                same &= len({(x[0], y) for x, y in strict}) == len(strict)
+                for p, _, b, _ in windows:
+                    covered |= set(range(b, b + size)) if p or same else set()
+                changed |= same and any(x[1] != y for x, y in pairs)
+            run = max((len(r) for r in "".join("x" if k in covered else " " for k in range(n)).split()), default=0)
+            if covered and (len(covered) >= op.COVER * n or run >= op.RUN):
+                out.append((d, i, round(len(covered) / n, 6), run, changed))
     return sorted(out, key=str)
 
 
@@ -57,6 +71,9 @@ ITEMS = [
     (5, ""),
     (6, None),
     (7, "the quick brown fox jumps over the lazy dog while the sleepy cat watches from the warm window sill every single morning"),
+    (8, "Anna 5 km Peter 7 km Maria 9 km Carl 11 km Rome 12 h Paris 13 h Oslo 14 h"),
+    (9, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))),
+    (10, "Given plain words that open an item"),
 ]
 DOCS = [
     (1, "Intro. " + ITEMS[0][1] + " Outro"),
@@ -65,27 +82,43 @@ DOCS = [
     (4, "So Anna has 9 apples and gives Carl 3 apples. How many apples does Anna keep if Carl returns 4?"),
     (5, None), (6, ""), (7, "SHORT, item *** of six\nplain words!"), (8, "1 2 3 4 5 6 7 8 9"),
     (9, "the quick brown fox jumps over the lazy dog while the sleepy cat sits"), (None, ITEMS[6][1]), (10, ITEMS[6][1]), (10, ITEMS[6][1]),
-    (11, "filler words " * 5000 + ITEMS[1][1]),
+    (11, "filler words " * 5000 + ITEMS[1][1]), (12, "as asked: " + ITEMS[7][1]), (13, "they ask " + ITEMS[7][1].lower().replace(" ", "\n")),
+    (14, "in a book " + " ".join(ITEMS[8][1].split()[30:56]) + " and no more"), (15, " ".join(ITEMS[8][1].split()[30:50])), (16, "x " + ITEMS[9][1] + " y"),
+    (17, "x A train leaves Rome at 70 mi per hour and another leaves Rome at 90 mi per hour; when do they meet if Rome is 200 mi away?"),
 ]
 
 
-@pytest.mark.parametrize(("block", "piece"), [(500_000, 1 << 20), (20, 7)])
-def test_against_brute_force(spark, monkeypatch, block, piece):
-    monkeypatch.setattr(op, "BLOCK", block)
+@pytest.mark.parametrize(("few", "piece"), [(500_000, 1 << 20), (0, 7)])
+def test_against_brute_force(spark, monkeypatch, few, piece):
+    monkeypatch.setattr(op, "FEW", few)
     monkeypatch.setattr(op.tk, "PIECE", piece)
     rnd = random.Random(2)
     vocabulary = ["Rome", "km", "5", "the", "a", "Bo", "x1", "cat", "|", "end.", "\n"]
     items = ITEMS + [(100 + i, " ".join(rnd.choice(vocabulary) for _ in range(8))) for i in range(20)]
     docs = DOCS + [(100 + i, " ".join(rnd.choice(vocabulary) for _ in range(150))) for i in range(20)]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, leaks int")
-    got = op.leaked(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()
-    assert sorted(((r.doc_id, r.item_id, round(r.covered, 6), r.changed) for r in got), key=str) == brute(docs, items)
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    got = op.leaked(d, b).collect()
+    want = brute(docs, items)
+    assert sorted(((r.doc_id, r.item_id, round(r.covered, 6), r.longest_run, r.changed) for r in got), key=str) == want
+    whole = op.with_leaks(d, b)
+    assert whole.columns == ["doc_id", "text", "leaks"] and whole.count() == len(docs)
+    assert sorted(((r.doc_id, x.item_id) for r in whole.collect() for x in r.leaks), key=str) == sorted([w[:2] for w in want], key=str)
+    assert sorted(map(str, (r.doc_id for r in op.clean(d, b).collect()))) == sorted(str(k) for k, t in docs if not any(w[0] == k for w in brute([(k, t)], items)))
+
+
+def test_the_filter_hash_is_the_engine_s(spark):
+    import numpy as np
+    values = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "h bigint").selectExpr("xxhash64(h)").collect()]
+    assert op._xxhash64(np.array(values, np.int64).view(np.uint64)).view(np.int64).tolist() == got
 
 
 def test_slots_must_be_consistent(spark):
     d = spark.createDataFrame(DOCS, "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.changed for r in op.leaked(d, spark.createDataFrame(ITEMS, "item_id bigint, text string")).collect()}
-    assert got[1, 1] is False and got[2, 1] is True and (3, 1) not in got and got[4, 2] is True and (8, 4) not in got
+    assert got[1, 1] is False and got[2, 1] is True and (3, 1) not in got and got[4, 2] is True and got[8, 4] is False
+    assert got[12, 8] is False and got[13, 8] is False and (14, 9) in got and (15, 9) not in got and (16, 10) in got and (17, 1) not in got
 
 
 def test_empty_tables(spark):
