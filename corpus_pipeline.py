@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofsheet.llm import mixing, ordinal, partenum, secrets, templates
-from proofsheet.llm.common import at_most, written
+from proofsheet.llm.common import few, written
 from proofsheet.llm.queries import rated_grade
 
 #: Document ids that may be broadcast.
@@ -18,7 +18,10 @@ FEW = 2_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the ordinal classifier, trained on the labelled documents, gives the top grade."""
+    """Keep what the ordinal classifier, trained on the labelled documents, gives the top grade.
+
+    Null texts are graded as empty ones, repeated rows and null keys row by row; without labels, or without documents, all stay.
+    """
     model = ordinal.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), rated_grade())
     return ordinal.graded(docs, model).filter("kept").select(*docs.columns)
 
@@ -31,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = written(partenum.jaccard_components(docs), "components")
     out = docs.filter("doc_id is not null")
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    out = out.join(F.broadcast(gone) if at_most(gone, FEW) is not None else gone, "doc_id", "left_anti")
+    out = out.join(F.broadcast(gone) if few(gone, FEW) else gone, "doc_id", "left_anti")
     again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.limit(1).count():
         out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -41,21 +44,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, re-parameterised or not."""
-    found = templates.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+    """Drop documents that hold a benchmark item, re-parameterised or not.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty benchmark drops nothing.
+    """
+    return templates.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace each secret in the texts by a mark; n_chars follows. No document goes."""
-    found = secrets.secret_spans(docs)
-    text = F.when(F.col("text").isNotNull(), secrets.redacted(F.col("text"), F.col("spans")))
-    changed = found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text")))
-    return changed.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Replace each secret in the texts by a mark; n_chars, if there is such a column, follows. No document goes.
+
+    Null texts stay null, empty ones empty; repeated rows and null keys are handled row by row.
+    """
+    changed = secrets.secret_spans(docs, spans="found_").withColumn("text", secrets.redacted(F.col("text"), F.col("found_")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed = changed.withColumn("n_chars", F.when(F.size("found_") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes.
+
+    Null texts have no words and are never taken, null sources are one source, repeated rows and null keys rows of their own.
+    """
     return mixing.mixed(docs)
 
 
