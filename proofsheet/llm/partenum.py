@@ -1,28 +1,33 @@
 """Operator 5: exact n-gram Jaccard join with PartEnum signatures.
 
 Two documents link when 100 |A & B| >= 75 |A | B| for their sets of 5-word shingles. Then they differ in at most
-d = (|A| + |B|) / 7 shingles. PartEnum cuts the shingles' hash domain into n partitions and enumerates the subsets of
-partitions that a document may show to a partner: with more partitions than d, at least one partition holds the same
-shingles in both, so the subsets of one partition suffice, and each gives a signature. (Larger subsets of a second level
-give 1.5 to 2 times as many signatures at equal guarantees; here the order below does the selecting instead.) d grows with
-size, so sizes are cut into bands, each a power of two wide with its own n; a document also signs for the next band if a
-partner may be in it.
-
-Of its n signatures a document needs only the first d + 1 in one order common to all: if at most d of them differ from the
-partner's, the first that both share is among the first d + 1 of either. Any order is right; ours puts signatures made only
-of frequent shingles last (common passages make no buckets) and larger projections first. The frequent shingles are counted
-over all documents.
+d = (|A| + |B|) / 7 shingles. d grows with size, so sizes are cut into bands, each a power of two wide with its own d; a
+document also signs for the next band if a partner may be in it.
+
+PartEnum has two levels. The shingles' hash domain is cut into n groups, each of three partitions. With n > d / 2, some group
+holds at most one differing shingle, so two of its three partitions hold the same shingles in both documents: the three
+subsets of two partitions of each group are enumerated, and each is a signature. (Leaving one partition of three out gives
+projections of d / 2 groups: 1.6 times the signatures of single partitions, but of twice as many shingles, so documents that
+share only a passage hardly ever meet. Deeper enumerations multiply signatures faster than they lengthen projections.)
+Bands under SMALL shingles, where such projections would often be empty, use the subsets of one partition of many.
+
+Not all signatures are needed. d differing shingles spoil at most m = min(2d, n + d) of the 3n signatures (d of single
+partitions), so the first m + 1 in one order common to all suffice: the first that both share is among them. Any order is
+right; ours puts signatures made only of frequent shingles, and empty ones, last (common passages make no buckets), and
+larger projections first. n = 0.6 d + 1 leaves room for that. The frequent shingles are counted over all documents.
 
 Groups of copies. Equal sets become one node before anything else. A signature shared by several nodes makes a bucket,
 which links its members to one pivot (first within a slice of documents, then over slices), so buckets give as many pairs
 as members, not as their square, and a task gets at most one row per slice for a signature. Pairs are verified against the
-whole sets, after a bound has sent most false ones away: each set has a parity sketch, a few bits per shingle, and two
-sketches differ in at most as many bits as the sets in shingles. Where a member fails against its pivot, the bucket's other pairs may still link. A node is first held against
-its PIVOTS likeliest pivots only; in buckets of two that this leaves mixed the one pair is verified next. The nodes of larger mixed buckets
-are grouped (buckets that share nodes together, unless that would make a group of more than LARGE) and compared in blocks
-of BLOCK nodes, each pair of blocks in a task of its own: sketches first, then the sets of pairs that they allow, unless a
-link found before has joined the two components. So no link between different components is lost, components are exact,
-and no table has all pairs of a group.
+whole sets, after a bound has sent false ones away: each set has a parity sketch, a few bits per shingle, and two sketches
+differ in at most as many bits as the sets in shingles. Only the sets of pairs that pass are read, from the texts again.
+
+Where a member fails against its pivot, the bucket's other pairs may still link. A node is first held against its PIVOTS
+likeliest pivots only; in buckets of two that this leaves mixed the one pair is verified next. The nodes of larger mixed
+buckets are grouped (buckets that share nodes together, unless that would make a group of more than LARGE) and compared in
+blocks of BLOCK nodes by their sketches, each pair of blocks in a task of its own. A task proposes only pairs that would join
+two components of those that it knows; they are verified; tasks of which a proposal failed go on without it until none fails.
+So no link between different components is lost, components are exact, and no table has all pairs of a group.
 
 Shingles have 52 bits and nodes 64 bits of hash.
 
@@ -41,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.llm import textkernel as tk
-from proofsheet.llm.common import documents, partitions, written
+from proofsheet.llm.common import documents, few, partitions, written
 from proofsheet.operators.graph import connected_components
 
 #: Jaccard similarity of at least NUM / DEN.
@@ -54,14 +59,16 @@ SLICE, COUNTED = 512, 4096
 PART_BITS = 22
 #: A shingle is listed as frequent if some COUNTED documents have it this often; of these the FREQUENT most frequent are kept.
 OFTEN, FREQUENT = 4, 1 << 16
-#: Nodes or document keys that may be sent to all workers (8 bytes each).
-FEW = 4_000_000
+#: Rows of two numbers (nodes, or keys of documents) that may be broadcast.
+FEW = 500_000
 #: Pivots that a node is first held against.
 PIVOTS = 2
 #: Nodes of a block, and of a group of mixed buckets that is compared as a whole.
-BLOCK, LARGE = 256, 20_000
-#: Shingles of a block.
-BLOCK_SHINGLES = 4_000_000
+BLOCK, LARGE = 1024, 20_000
+#: Shingles that a block's sketches stand for.
+BLOCK_SHINGLES = 32_000_000
+#: Bands whose largest set is smaller enumerate single partitions; groups of the others for each differing shingle.
+SMALL, GROUPS = 64, 0.6
 
 _U = np.uint64
 
@@ -87,13 +94,11 @@ def sketches(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int):
-    """(keys, valid, shingle values, sizes) of at most `rows` documents at a time."""
+    """(batch, shingle values, sizes) of at most `rows` documents at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            keys = part.column("doc_id")
-            values, sizes = tk.shingle_sets(*tk.word_hashes(part.column("text")), WORDS)
-            yield keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_valid().to_numpy(zero_copy_only=False), values, sizes
+            yield part, *tk.shingle_sets(*tk.word_hashes(part.column("text")), WORDS)
 
 
 def _list(values: np.ndarray, offsets: np.ndarray, kind) -> pa.ListArray:
@@ -104,32 +109,38 @@ def _list(values: np.ndarray, offsets: np.ndarray, kind) -> pa.ListArray:
 
 
 def nodes_and_frequent(docs: DataFrame) -> DataFrame:
-    """One row per document (frequent false: doc_id, node, n, sketch) and one per locally frequent shingle (true: node, n its count)."""
+    """One row per document (frequent false: doc_id, th, node, n, sketch) and one per locally frequent shingle (true: node, n its count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, valid, values, sizes in _slices(batches, COUNTED):
+        for part, values, sizes in _slices(batches, COUNTED):
             nodes = set_sizes_and_nodes(values, sizes).view(np.int64)
             words, lengths = sketches(values, sizes)
             shingles, often = np.unique(values, return_counts=True)
             shingles, often = shingles[often >= OFTEN], often[often >= OFTEN]
+            none = pa.nulls(len(shingles), pa.int64())
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat([False, True], [len(keys), len(shingles)])),
-                pa.array(np.concatenate([keys, np.zeros(len(shingles), np.int64)]), mask=np.concatenate([~valid, np.zeros(len(shingles), bool)])),
+                pa.array(np.repeat([False, True], [len(sizes), len(shingles)])),
+                *[pa.concat_arrays([part.column(c), none]) for c in ("doc_id", "th")],
                 pa.array(np.concatenate([nodes, shingles.view(np.int64)])),
                 pa.array(np.concatenate([sizes, often]).astype(np.int64)),
                 _list(words, np.append(0, np.cumsum(np.append(lengths, np.zeros(len(shingles), np.int64)))), pa.int64()),
-            ], ["frequent", "doc_id", "node", "n", "sketch"])
+            ], ["frequent", "doc_id", "th", "node", "n", "sketch"])
 
-    return docs.mapInArrow(run, "frequent boolean, doc_id bigint, node bigint, n bigint, sketch array<bigint>")
+    return docs.mapInArrow(run, "frequent boolean, doc_id bigint, th bigint, node bigint, n bigint, sketch array<bigint>")
 
 
 # -- signatures -----------------------------------------------------------------------------------------------------------
 
 
+def top_of(band: int) -> int:
+    """The largest size of a band: sizes 2**band to 2**(band + 1) - 1."""
+    return (2 << band) - 1
+
+
 def partition_count(band: int) -> int:
-    """Partitions of the domain for pairs whose larger set has 2**band to 2**(band + 1) - 1 shingles."""
-    top = (2 << band) - 1
-    return 2 * top if top < 64 else (top + 1) // 2
+    """Partitions of the domain for pairs whose larger set is in this band: single ones, or three for each group."""
+    top = top_of(band)
+    return 2 * top if top < SMALL else 3 * (int(GROUPS * (2 * top * (DEN - NUM) // (DEN + NUM))) + 1)
 
 
 def differing(size: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -144,7 +155,7 @@ def bucket_of(sig: np.ndarray, parts: int) -> np.ndarray:
 
 
 def signatures(values: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signature (47 bits) and row of each document's first d + 1 signatures, in each band it signs for.
+    """Signature (47 bits) and row of the signatures that each document needs, in each band it signs for.
 
     frequent: shingles (ascending) whose signatures come late in the order.
     """
@@ -160,8 +171,13 @@ def signatures(values: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) -> t
     role_row = np.concatenate([rows, rows[up]])
     role_band = np.concatenate([band, band[up] + 1])
     role_d = np.concatenate([differing(s, np.minimum(largest, top)), differing(s[up], largest[up])])
+    some = role_d > 0  # sets without a difference are one node
+    role_row, role_band, role_d = role_row[some], role_band[some], role_d[some]
+    if not len(role_row):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     counts = sizes[role_row]
     parts = np.array([partition_count(b) for b in range(int(role_band.max()) + 1)], np.uint64)[role_band]
+    single = (np.int64(2) << role_band) - 1 < SMALL
 
     begin = np.cumsum(sizes) - sizes
     role = np.repeat(np.arange(len(role_row), dtype=np.uint64), counts)
@@ -183,22 +199,18 @@ def signatures(values: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) -> t
         order = np.lexsort((low, part, role))
         role, part, low = role[order], part[order], low[order]
     starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (role[1:] != role[:-1])]))
-    content = np.add.reduceat(tk.mix(low), starts)
+    of, which = role[starts].astype(np.int64), part[starts]
+    place = tk.mix(which * _U(0x9E3779B97F4A7C15) + role_band[of].astype(np.uint64))
+    content = tk.mix(np.add.reduceat(tk.mix(low), starts) + place)
     rare = np.add.reduceat((low < _U(1 << 31)).astype(np.int64), starts)
     held = np.diff(np.append(starts, total))
-    of, which = role[starts].astype(np.int64), part[starts]
-    sig = tk.mix(content + tk.mix(which * _U(0x9E3779B97F4A7C15) + role_band[of].astype(np.uint64)))
 
-    filled = np.bincount(of, minlength=len(role_row))
-    lacking = np.flatnonzero(filled <= role_d)
-    if len(lacking):  # so few partitions are filled that a partner may share only empty ones: those are signatures too
-        extra_of, extra_sig = [], []
-        for r in lacking:
-            empty = np.setdiff1d(np.arange(int(parts[r]), dtype=np.uint64), which[of == r])[: int(role_d[r]) + 1 - int(filled[r])]
-            extra_of.append(np.full(len(empty), r))
-            extra_sig.append(tk.mix(tk.mix(empty * _U(0x9E3779B97F4A7C15) + _U(int(role_band[r])))))
-        of, sig = np.concatenate([of, *extra_of]), np.concatenate([sig, *extra_sig])
-        rare, held = np.append(rare, np.zeros(len(of) - len(rare), np.int64)), np.append(held, np.zeros(len(of) - len(held), np.int64))
+    one = single[of]
+    found = [_singles(of[one], which[one], content[one], rare[one], held[one], role_d, role_band, parts, single)]
+    if not single.all():
+        found.append(_subsets(of[~one], which[~one], content[~one], rare[~one], held[~one], role_band, parts, single))
+    of, sig, rare, held = (np.concatenate([f[i] for f in found]) for i in range(4))
+    need = np.where(single, role_d, np.minimum(2 * role_d, parts.astype(np.int64) // 3 + role_d))
 
     # the common order: signatures with a rare shingle first, larger projections first, then by hash
     rank = ((rare == 0).astype(np.uint64) << _U(5)) | (_U(31) - np.minimum(held, 31).astype(np.uint64))
@@ -207,33 +219,52 @@ def signatures(values: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) -> t
     packed.sort()
     of = (packed >> _U(54)).astype(np.int64)
     place = np.arange(len(packed)) - np.searchsorted(of, of)
-    keep = place <= role_d[of]
+    keep = place <= need[of]
     return packed[keep] & _U((1 << 47) - 1), role_row[of[keep]]
 
 
-def signature_rows(docs: DataFrame, frequent: np.ndarray, copies: np.ndarray | None, parts: int) -> DataFrame:
+def _singles(of, which, content, rare, held, role_d, role_band, parts, single):
+    """Role, signature, rare shingles and shingles of each filled partition."""
+    sig = content
+    filled = np.bincount(of, minlength=len(role_d))
+    lacking = np.flatnonzero(single & (filled <= role_d))
+    if len(lacking):  # so few partitions are filled that a partner may share only empty ones: those are signatures too
+        extra_of, extra_sig = [], []
+        for r in lacking:
+            empty = np.setdiff1d(np.arange(int(parts[r]), dtype=np.uint64), which[of == r])[: int(role_d[r]) + 1 - int(filled[r])]
+            extra_of.append(np.full(len(empty), r))
+            extra_sig.append(tk.mix(tk.mix(empty * _U(0x9E3779B97F4A7C15) + _U(int(role_band[r])))))
+        of, sig = np.concatenate([of, *extra_of]), np.concatenate([sig, *extra_sig])
+        rare, held = np.append(rare, np.zeros(len(of) - len(rare), np.int64)), np.append(held, np.zeros(len(of) - len(held), np.int64))
+    return of, sig, rare, held
+
+
+def _subsets(of, which, content, rare, held, role_band, parts, single):
+    """Role, signature, rare shingles and shingles of each subset of two of a group's three partitions, empty ones too."""
+    n = np.where(single, 0, parts.astype(np.int64))
+    base = np.cumsum(n) - n
+    total = int(n.sum())
+    at = base[of] + which.astype(np.int64)
+    role = np.repeat(np.arange(len(n)), n)
+    index = (np.arange(total) - base[role]).astype(np.uint64)
+    mine, r, h = np.zeros(total, np.uint64), np.zeros(total, np.int64), np.zeros(total, np.int64)
+    mine[at], r[at], h[at] = content, rare, held
+    both = lambda x: (x.reshape(-1, 3).sum(axis=1, dtype=x.dtype)[:, None] - x.reshape(-1, 3)).ravel()
+    left_out = tk.mix(index * _U(0xC2B2AE3D27D4EB4F) + role_band[role].astype(np.uint64) + _U(7))
+    return role, tk.mix(both(mine) + left_out), both(r), both(h)
+
+
+def signature_rows(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
     """(part, sigs, nodes, pivots): the signatures of a slice by part of the signature space, with pivots within the slice."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((frequent, copies))  # both bounded: FREQUENT and FEW
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT of them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, known = shared.value
-        for keys, valid, values, sizes in _slices(batches, SLICE):
+        often = shared.value
+        for _, values, sizes in _slices(batches, SLICE):
             nodes = set_sizes_and_nodes(values, sizes)
-            skip = sizes == 0
-            if known is not None and len(known):
-                own = tk.mix(keys.view(np.uint64) ^ tk.mix(nodes))
-                skip |= valid & (known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
-            _, first = np.unique(nodes, return_index=True)
-            once = np.zeros(len(nodes), bool)
-            once[first] = True
-            if skip.any() or not once.all():  # a set is signed once
-                _, first = np.unique(np.where(skip, _U(0), nodes), return_index=True)
-                use = np.zeros(len(nodes), bool)
-                use[first] = True
-                use &= ~skip
-                values, sizes = values[np.repeat(use, sizes)], np.where(use, sizes, 0)
-            signed = _signed(values, sizes, nodes, often, parts)
+            use = np.zeros(len(nodes), bool)
+            use[np.unique(nodes, return_index=True)[1]] = True  # a set is signed once
+            signed = _signed(values[np.repeat(use, sizes)], np.where(use, sizes, 0), nodes, often, parts)
             if signed is not None:
                 yield signed
 
@@ -301,31 +332,24 @@ def buckets(rows: DataFrame, parts: int) -> DataFrame:
 # -- verification ---------------------------------------------------------------------------------------------------------
 
 
-def shingle_table(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """(node, shingles) of the documents whose set is wanted (None: of all); equal sets of different slices repeat."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def shingle_table(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes, read from one document of each; equal rows repeat."""
+    one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d"))
+    one = written(one.select(F.col("d.doc_id").alias("k_"), F.col("d.th").alias("t_")), "wanted")
+    same = F.col("doc_id").eqNullSafe(F.col("k_")) & (F.col("th") == F.col("t_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wish = shared.value
-        for _, _, values, sizes in _slices(batches, SLICE):
+        for _, values, sizes in _slices(batches, SLICE):
             nodes = set_sizes_and_nodes(values, sizes).view(np.int64)
-            use = sizes > 0
-            if wish is not None:
-                use &= (wish[np.minimum(np.searchsorted(wish, nodes), len(wish) - 1)] == nodes) if len(wish) else False
-            _, first = np.unique(nodes, return_index=True)
-            once = np.zeros(len(nodes), bool)
-            once[first] = True
-            use &= once
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[use]), _list(values[np.repeat(use, sizes)].view(np.int64), np.append(0, np.cumsum(sizes[use])), pa.int64())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), _list(values.view(np.int64), np.append(0, np.cumsum(sizes)), pa.int64())], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "node bigint, shingles array<bigint>")
+    found = docs.join(F.broadcast(one) if few(one, FEW) else one, same, "left_semi").select("text")
+    return written(found.mapInArrow(run, "node bigint, shingles array<bigint>"), "sets")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
-    """pairs (pivot, node), about `size` of them, with ok: by sizes and sketches first, then by the sets of those that may link."""
-    ends = pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct()
-    known = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
-    both = pairs.join(known, "node").join(known.select(F.col("node").alias("pivot"), F.col("n").alias("na"), F.col("s").alias("ka")), "pivot")
+def likely(pairs: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """Those of about `size` pairs (pivot, node) that sizes and sketches allow to link. known: node, n, sketch."""
+    both = pairs.join(known.select("node", "n", F.col("sketch").alias("s")), "node").join(known.select(F.col("node").alias("pivot"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "pivot")
 
     def folded(k: str) -> Column:
         half = (F.size(k) / 2).cast("int")
@@ -336,57 +360,47 @@ def verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, size: int) -> D
     apart = F.aggregate(F.zip_with(ka, kb, lambda x, y: F.bit_count(F.coalesce(x, F.lit(0)).bitwiseXOR(F.coalesce(y, F.lit(0))))), F.lit(0), lambda t, x: t + x)
     near = DEN * F.least("na", "n") >= NUM * F.greatest("na", "n")
     maybe = F.when(near, (DEN + NUM) * apart <= (DEN - NUM) * (F.col("na") + F.col("n"))).otherwise(False)
-    likely = written(both.select("pivot", "node", maybe.alias("maybe")), "likely", size)
-    some = likely.filter("maybe").select("pivot", "node")
-    if some.count() <= FEW // 4:  # sets of no other nodes are moved
-        some = F.broadcast(some)
-    b = sets.select("node", F.col("shingles").alias("sb")).join(some, "node")
-    a = sets.join(F.broadcast(likely.filter("maybe").select(F.col("pivot").alias("node")).distinct()) if size <= FEW else likely.filter("maybe").select(F.col("pivot").alias("node")).distinct(), "node", "left_semi")
-    both = b.join(a.select(F.col("node").alias("pivot"), F.col("shingles").alias("sa")), "pivot")
-    common = F.size(F.array_intersect("sa", "sb"))
-    linked = both.filter(DEN * common >= NUM * (F.size("sa") + F.size("sb") - common)).select("pivot", "node").distinct()
-    linked = written(linked, "linked", size).withColumn("yes", F.lit(True))
-    return likely.join(linked, ["pivot", "node"], "left").select("pivot", "node", F.coalesce("yes", F.lit(False)).alias("ok"))
+    return written(both.filter(maybe).select("pivot", "node"), "likely", size)
 
 
-def block_links(members: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
-    """(pivot, node) of links between components of a unit. members: unit, node, c (component); known: node, n, sketch.
+def verified(pairs: DataFrame, sets) -> DataFrame:
+    """Those of the pairs (pivot, node) whose whole sets link. sets: the sets of a table of nodes."""
+    held = sets(pairs.select("node").union(pairs.select("pivot")).distinct())
+    b = pairs.join(held.select("node", F.col("shingles").alias("sb")), "node")
+    both = b.join(held.select(F.col("node").alias("pivot"), F.col("shingles").alias("sa")), "pivot")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return written(both.filter(DEN * common >= NUM * (F.size("sa") + F.size("sb") - common)).select("pivot", "node").distinct(), "linked")
 
-    A task holds two blocks. It tries the pairs of components that no link has joined yet, sends most away by sizes and
-    sketches, verifies the rest on the whole sets, and gives a link only if it joins two components: fewer links than nodes.
-    """
+
+def block_rows(members: DataFrame, known: DataFrame) -> DataFrame:
+    """A row for each node and pair of blocks of its unit that it is in. members: unit, node, c (component)."""
     sizes = members.join(known.select("node", "n"), "node").groupBy("unit").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     rows = members.join(sizes, "unit").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c")
-    wanted = sets.join(known.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    rows = rows.join(known.join(wanted, "node"), "node").select("unit", "i", "j", "own", "node", "c", "n", "sketch", "shingles")
+    rows = rows.join(known, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "n", "sketch")
 
-    def lists(t: pa.Table, name: str):
-        column = t.column(name).combine_chunks()
-        width = column.value_lengths().to_numpy(zero_copy_only=False)
-        return column.flatten().to_numpy(zero_copy_only=False), np.cumsum(width) - width, width
 
-    def compare(t: pa.Table) -> pa.Table:
+def proposals(rows: DataFrame, failed: DataFrame | None) -> DataFrame:
+    """(unit, i, j, pivot, node): pairs that sketches allow and that would join two components of a task, without failed ones."""
+
+    def compare(t: pa.Table, known_bad: set[tuple[int, int]]) -> pa.Table:
         t = t.combine_chunks()
         node, n, own = (t.column(x).to_numpy() for x in ("node", "n", "own"))
         _, label = np.unique(t.column("c").to_numpy(), return_inverse=True)
-        flat, begin, width = lists(t, "sketch")
-        values, at_value, held = lists(t, "shingles")
-        flat = flat.view(np.uint64)
-        left = own == t.column("i")[0].as_py()
-        inner = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        tables = {}
+        column = t.column("sketch").combine_chunks()
+        width = column.value_lengths().to_numpy(zero_copy_only=False)
+        flat, begin = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(width) - width
+        unit, first, second = (t.column(x)[0].as_py() for x in ("unit", "i", "j"))
+        left, inner = own == first, first == second
+        found = []
         for w in np.unique(width):
             at = np.flatnonzero(width == w)
             wide = np.flatnonzero(width == 2 * w)
             folded = flat[begin[wide][:, None] + np.arange(w)] ^ flat[begin[wide][:, None] + w + np.arange(w)] if len(wide) else np.zeros((0, w), np.uint64)
-            tables[w] = np.concatenate([at, wide]), np.concatenate([flat[begin[at][:, None] + np.arange(w)], folded])
-        found = []
-        for w, (others, table) in tables.items():
-            for k in range(int((width[others] == w).sum())):
-                i = others[k]
+            others, table = np.concatenate([at, wide]), np.concatenate([flat[begin[at][:, None] + np.arange(w)], folded])
+            for k in range(len(at)):
+                i = at[k]
                 use = (label[others] != label[i]) & (DEN * np.minimum(n[others], n[i]) >= NUM * np.maximum(n[others], n[i]))
                 use &= ((width[others] > w) | (node[others] > node[i])) & (inner | (left[others] != left[i]))
                 use = np.flatnonzero(use)
@@ -394,30 +408,54 @@ def block_links(members: DataFrame, known: DataFrame, sets: DataFrame) -> DataFr
                     continue
                 apart = np.bitwise_count(table[use] ^ table[k]).sum(axis=1).astype(np.int64)
                 near = (DEN + NUM) * apart <= (DEN - NUM) * (n[others[use]] + n[i])
-                mine = values[at_value[i] : at_value[i] + held[i]]
                 for j in others[use[near]][np.argsort(apart[near], kind="stable")]:
-                    if label[j] == label[i]:
-                        continue
-                    common = len(np.intersect1d(mine, values[at_value[j] : at_value[j] + held[j]], assume_unique=True))
-                    if DEN * common >= NUM * (n[i] + n[j] - common):
-                        found.append((node[i], node[j]))
+                    pair = min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))
+                    if label[j] != label[i] and pair not in known_bad:
+                        found.append(pair)
                         label[label == label[j]] = label[i]
         a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
-        return pa.table({"pivot": np.minimum(a, b), "node": np.maximum(a, b)})
+        return pa.table({"unit": np.full(len(found), unit, np.int64), "i": np.full(len(found), first, np.int32), "j": np.full(len(found), second, np.int32), "pivot": a, "node": b})
+
+    kind, task = "unit bigint, i int, j int, pivot bigint, node bigint", ["unit", "i", "j"]
+    if failed is None:
+        return rows.groupBy(*task).applyInArrow(lambda t: compare(t, set()), kind)
+    again = rows.join(failed.select(*task).distinct(), task, "left_semi")
+
+    def both(t: pa.Table, bad: pa.Table) -> pa.Table:
+        return compare(t, set(zip(bad.column("pivot").to_pylist(), bad.column("node").to_pylist(), strict=True)))
 
-    return rows.groupBy("unit", "i", "j").applyInArrow(compare, "pivot bigint, node bigint").distinct()
+    return again.groupBy(*task).cogroup(failed.groupBy(*task)).applyInArrow(both, kind)
 
 
-def all_links(found: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(pivot, node) of enough links for all components: those of pivots, then those that pivots leave open."""
+def block_links(members: DataFrame, known: DataFrame, sets) -> DataFrame:
+    """(pivot, node) of enough links between components of a unit."""
+    rows, links, failed = written(block_rows(members, known), "blocks"), None, None
+    while True:
+        asked = written(proposals(rows, failed), "proposals")
+        if links is not None:  # what earlier rounds have found still holds
+            asked = asked.join(links, ["pivot", "node"], "left_anti")
+        found = verified(asked.select("pivot", "node").distinct(), sets)
+        links = found if links is None else links.union(found)
+        wrong = asked.join(found, ["pivot", "node"], "left_anti")
+        if not wrong.limit(1).count():
+            return links
+        failed = written(wrong if failed is None else failed.join(wrong.select("unit", "i", "j").distinct(), ["unit", "i", "j"], "left_semi").unionByName(wrong), "failed")
+
+
+def all_links(found: DataFrame, rows: DataFrame, sets) -> DataFrame:
+    """(pivot, node) of enough links for all components: those of pivots, then those that pivots leave open.
+
+    found: bucket, pivot, node; rows: node, n, sketch; sets: gives the sets of a table of nodes.
+    """
+    nodes = found.select("node").union(found.select("pivot")).distinct()
+    known = written(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "known")
     # a node is held against the pivots that it shares most buckets with; buckets that this leaves mixed come below
     shared = found.groupBy("node", "pivot").agg(F.count("*").alias("k"))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "pivot"))
     pairs = shared.withColumn("rank", best).filter(F.col("rank") <= PIVOTS)
     pairs = written(pairs.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct(), "pairs")
     size = pairs.count()
-    tested = written(verified(pairs, rows, sets, size), "verified", size)
-    links = tested.filter("ok").select("pivot", "node")
+    links = verified(likely(pairs, known, size), sets)
 
     # buckets whose members are in several components
     labels = connected_components(links, "pivot", "node")
@@ -427,10 +465,9 @@ def all_links(found: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     mixed = written(mixed.select("bucket", "size", "a", "b"), "mixed", size)
     # those of two have one pair, which was held against each other unless the pivot ranked too low
     rest = mixed.filter("size = 2").select(F.col("a").alias("pivot"), F.col("b").alias("node")).distinct().join(pairs, ["pivot", "node"], "left_anti")
-    rest = written(rest, "rest", size)
-    count = rest.count()
-    if count:
-        links = links.union(verified(rest, rows, sets, count).filter("ok").select("pivot", "node"))
+    rest = likely(written(rest, "rest", size), known, size)
+    if rest.limit(1).count():
+        links = links.union(verified(rest, sets))
     mixed = mixed.filter("size > 2").select("bucket")
     if not mixed.limit(1).count():
         return links
@@ -441,34 +478,27 @@ def all_links(found: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     held = members.join(mixed, "bucket", "left_semi").join(groups, "node")
     unit = F.when(F.col("large"), F.col("bucket")).otherwise(F.col("component"))
     held = written(held.select(unit.alias("unit"), "node", "c").distinct(), "held")
-    known = rows.join(held.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    return links.union(written(block_links(held, known, sets), "joined"))
+    return links.union(block_links(held, known, sets))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    source = documents(docs, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = partitions(docs.sparkSession)
+    source = documents(docs, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     first = written(nodes_and_frequent(source), "nodes")
-    rows = first.filter("not frequent").select("doc_id", "node", "n", "sketch")
+    rows = first.filter("not frequent").drop("frequent")
     top = first.filter("frequent").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).select("node").collect()
     frequent = np.sort(np.array([r[0] for r in top], np.int64)).view(np.uint64)
 
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    copied = rows.join(nodes.filter("copies > 1").select("node", "least"), "node").filter("doc_id != least").select("doc_id", "node")
-    copies = None
-    if rows.count() <= FEW // 4:  # beyond that each slice signs its own copy
-        extra = copied.toArrow()
-        k, n = (extra.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-        copies = np.sort(tk.mix(k ^ tk.mix(n)))
-
-    found = written(buckets(signature_rows(source, frequent, copies, parts), parts).filter("pivot != node"), "buckets")
-    involved = None
-    if found.count() <= FEW // 2:  # beyond that all sets are written
-        involved = np.sort(found.select("node").union(found.select("pivot")).distinct().toArrow().column(0).to_numpy())
-    sets = written(shingle_table(source, involved), "sets")
-    links = all_links(found, rows.filter("n > 0").select("node", "n", "sketch"), sets)
+    nodes = written(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "least")
+    # a copy needs no signatures; where copies are many, each slice signs its own, to the same end
+    copied = rows.join(nodes.filter("copies > 1").select("node", "least"), "node").filter("doc_id != least").select(F.col("doc_id").alias("k_"), F.col("th").alias("t_")).distinct()
+    copied = written(copied, "copies")
+    signed = source.join(F.broadcast(copied), (F.col("doc_id") == F.col("k_")) & (F.col("th") == F.col("t_")), "left_anti") if few(copied, FEW) else source
+
+    found = written(buckets(signature_rows(signed, frequent, parts), parts).filter("pivot != node"), "buckets")
+    some = rows.filter("n > 0")
+    links = all_links(found, some.select("node", "n", "sketch"), lambda wanted: shingle_table(source, some, wanted))
     labels = connected_components(links, "pivot", "node")
 
     least = nodes.select("node", "least")
