@@ -26,8 +26,8 @@ Where a member fails against its pivot, the bucket's other pairs may still link.
 likeliest pivots only; in buckets of two that this leaves mixed the one pair is verified next. The nodes of larger mixed
 buckets are grouped (buckets that share nodes together, unless that would make a group of more than LARGE) and compared in
 blocks of BLOCK nodes by their sketches, each pair of blocks in a task of its own. A task proposes only pairs that would join
-two components of those that it knows; they are verified; tasks of which a proposal failed go on without it until none fails.
-So no link between different components is lost, components are exact, and no table has all pairs of a group.
+two components of those that it knows, one for each two components; they are verified; tasks of which a proposal failed go on
+without it, with MORE times as many for each two components in each round, until none fails or is left. So no link between different components is lost, components are exact, and no table has all pairs of a group.
 
 Shingles have 52 bits and nodes 64 bits of hash.
 
@@ -38,6 +38,7 @@ empty table gives an empty result; other columns are ignored. Texts are never cu
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,8 @@ FEW = 500_000
 PIVOTS = 2
 #: Nodes of a block, and of a group of mixed buckets that is compared as a whole.
 BLOCK, LARGE = 1024, 20_000
+#: How many times more pairs a task proposes for two components in each further round.
+MORE = 16
 #: Shingles that a block's sketches stand for.
 BLOCK_SHINGLES = 32_000_000
 #: Bands whose largest set is smaller enumerate single partitions; groups of the others for each differing shingle.
@@ -381,8 +384,8 @@ def block_rows(members: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "n", "sketch")
 
 
-def proposals(rows: DataFrame, failed: DataFrame | None) -> DataFrame:
-    """(unit, i, j, pivot, node): pairs that sketches allow and that would join two components of a task, without failed ones."""
+def proposals(rows: DataFrame, failed: DataFrame | None, most: int) -> DataFrame:
+    """(unit, i, j, pivot, node): pairs that sketches allow and that would join two components of a task, `most` for each two, without failed ones."""
 
     def compare(t: pa.Table, known_bad: set[tuple[int, int]]) -> pa.Table:
         t = t.combine_chunks()
@@ -393,7 +396,7 @@ def proposals(rows: DataFrame, failed: DataFrame | None) -> DataFrame:
         flat, begin = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(width) - width
         unit, first, second = (t.column(x)[0].as_py() for x in ("unit", "i", "j"))
         left, inner = own == first, first == second
-        found = []
+        found, asked = [], Counter()
         for w in np.unique(width):
             at = np.flatnonzero(width == w)
             wide = np.flatnonzero(width == 2 * w)
@@ -412,7 +415,10 @@ def proposals(rows: DataFrame, failed: DataFrame | None) -> DataFrame:
                     pair = min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))
                     if label[j] != label[i] and pair not in known_bad:
                         found.append(pair)
-                        label[label == label[j]] = label[i]
+                        two = min(label[i], label[j]), max(label[i], label[j])
+                        asked[two] += 1
+                        if asked[two] >= most:
+                            label[label == label[j]] = label[i]
         a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
         return pa.table({"unit": np.full(len(found), unit, np.int64), "i": np.full(len(found), first, np.int32), "j": np.full(len(found), second, np.int32), "pivot": a, "node": b})
 
@@ -429,13 +435,14 @@ def proposals(rows: DataFrame, failed: DataFrame | None) -> DataFrame:
 
 def block_links(members: DataFrame, known: DataFrame, sets) -> DataFrame:
     """(pivot, node) of enough links between components of a unit."""
-    rows, links, failed = written(block_rows(members, known), "blocks"), None, None
+    rows, links, failed, most = written(block_rows(members, known), "blocks"), None, None, 1
     while True:
-        asked = written(proposals(rows, failed), "proposals")
+        asked = written(proposals(rows, failed, most), "proposals")
         if links is not None:  # what earlier rounds have found still holds
             asked = asked.join(links, ["pivot", "node"], "left_anti")
         found = verified(asked.select("pivot", "node").distinct(), sets)
         links = found if links is None else links.union(found)
+        most *= MORE
         wrong = asked.join(found, ["pivot", "node"], "left_anti")
         if not wrong.limit(1).count():
             return links
