@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,22 +14,41 @@ from proofsheet.functions.columns import dot, unit
 from proofsheet.operators.graph import connected_components
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks: int = 8) -> DataFrame:
+#: Values (rows times dimensions) of a block of vectors.
+BLOCK_VALUES = 4_000_000
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists of equal length as rows of length 1; null vectors are zero."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    width = max(column.value_lengths().drop_null().to_pylist()[:1], default=0)
+    out = np.zeros((len(column), width))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else 0
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(length > 0, length, 1)
+
+
+def block_count(df: DataFrame, vector: str) -> int:
+    """So many blocks that one holds at most BLOCK_VALUES values."""
+    held = df.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("w")).first()
+    return max(1, -(-held["n"] * max(held["w"] or 1, 1) // BLOCK_VALUES))
+
+
+def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None) -> DataFrame:
     """(a, b, cos) of all pairs a < b with cosine >= threshold.
 
-    Rows are dealt to blocks by a hash; each pair of blocks is one group, whose products are one matrix multiplication in
-    numpy. A row is copied to `blocks` groups, so choose blocks ~ sqrt(rows * dimensions / what a task holds): the exact join
-    is quadratic in products, but no table has all pairs and no task more than two blocks.
+    Rows are dealt by a hash to as many blocks as their number asks for (counted); each pair of blocks is one group, whose
+    products are matrix multiplications in numpy. The exact join is quadratic in products, but no table has all pairs and no
+    task more than two blocks.
     """
+    blocks = blocks or max(block_count(df, vector), 3)  # three give six tasks to a small table
     rows = df.select(F.col(key).alias("key"), F.col(vector).alias("v")).withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "v")
 
     def multiply(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         keys, own = t.column("key").to_numpy(), t.column("own").to_numpy()
-        m = np.array(t.column("v").to_pylist(), np.float64)
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        m = m / np.where(length > 0, length, 1)
+        m = matrix(t.column("v"))
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b, c = [], [], []
@@ -45,7 +65,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks
     return rows.groupBy("i", "j").applyInArrow(multiply, "a bigint, b bigint, cos double")
 
 
-def similar_groups(df: DataFrame, key: str, vector: str, threshold: float, blocks: int = 8) -> DataFrame:
+def similar_groups(df: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None) -> DataFrame:
     """(key, group_id) of rows that reach another one by similar pairs; the group is named by its smallest key."""
     found = connected_components(similar_pairs(df, key, vector, threshold, blocks), "a", "b")
     return found.select(F.col("node").alias(key), F.col("component").alias("group_id"))
@@ -64,35 +84,53 @@ def member_similarities(df: DataFrame, label: str, key: str, vector: str, blocks
     return members.join(others, [label, "_block"]).filter(F.col(key) != F.col("_other")).select(label, key, dot(F.col(vector), F.col("_v")).alias("cos"))
 
 
-def top_matches(df: DataFrame, query: list[float], key: str, vector: str, k: int) -> DataFrame:
-    """The k rows most similar to a vector, all rows compared."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    cos = dot(unit(F.col(vector)), unit(q))
-    return df.select(key, cos.alias("cos")).orderBy(F.desc("cos"), key).limit(k)
+def top_matches(df: DataFrame, query: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """The k rows most similar to the one vector of query, all rows compared: the best k of each batch, then of all."""
+    return per_query_matches(df, query.limit(1).select(F.lit(None).cast("bigint").alias("q"), F.col(query.columns[0]).alias("qv")), key, vector, "q", k, "qv").select(F.col("key").alias(key), "cos")
 
 
-def per_query_matches(df: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, k: int) -> DataFrame:
-    """For each of a stated, small set of query rows its k most similar rows, itself left out. Queries are broadcast."""
-    rows = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("qv")).collect()
-    ids, table = np.array([r["q"] for r in rows], np.int64), np.array([r["qv"] for r in rows], np.float64).reshape(len(rows), -1)
-    table = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12)
+def in_blocks(rows: DataFrame, key: str, vector: str) -> list[DataFrame]:
+    """Rows (key, vector) as tables of one row, a list of at most about BLOCK_VALUES values each, so that each may be broadcast."""
+    n = block_count(rows, vector)
+    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    held = rows.select(F.col(key).alias("q"), F.col(vector).alias("qv"), block.alias("block")).groupBy("block").agg(F.collect_list(F.struct("q", "qv")).alias("held"))
+    return [held.filter(F.col("block") == b).select("held") for b in range(n)]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            m = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(keys), -1)
-            if not len(keys) or not len(ids):
-                continue
-            cos = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)) @ table.T
-            cos[keys[:, None] == ids[None, :]] = -2
-            top = np.argsort(-cos, axis=0, kind="stable")[:k]  # of this batch: the final ranking needs no more
-            at = np.tile(np.arange(len(ids)), len(top))
-            row = top.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(keys[row]), pa.array(cos[row, at])], ["q", "key", "cos"])
-
-    found = df.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInArrow(score, "q bigint, key bigint, cos double").filter("cos > -2")
+
+def per_query_matches(df: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, k: int, query_vector: str | None = None) -> DataFrame:
+    """For each query row its k most similar rows, itself left out.
+
+    Queries come in blocks of a bounded size, each broadcast to one pass over the rows, whose batches are multiplied with the
+    block: the k best per query and batch are ranked at the end. Nothing is collected.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    best = lambda batches: _best(batches, k)
+    found = [rows.crossJoin(F.broadcast(block)).mapInArrow(best, "q bigint, key bigint, cos double") for block in in_blocks(queries, query_key, query_vector or vector)]
+    return _ranked(reduce(DataFrame.union, found), k)
+
+
+def _products(keys: pa.Array, vectors: pa.Array, ids: pa.Array, table: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
+    keys, m, q = keys.to_numpy(), matrix(vectors), matrix(table)
+    own = ids.fill_null(-(2**63)).to_numpy()
+    for at in range(0, len(m), 65536):
+        cos = m[at : at + 65536] @ q.T
+        cos[keys[at : at + 65536, None] == own[None, :]] = -2
+        top = np.argpartition(-cos, min(k, len(cos)) - 1, axis=0)[:k] if len(cos) > k else np.tile(np.arange(len(cos))[:, None], len(own))
+        edge = np.take_along_axis(cos, top, axis=0).min(axis=0)
+        row, of = np.nonzero(cos >= edge[None, :])  # ties at the edge stay, so the final order decides
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(keys[at + row]), pa.array(cos[row, of])], ["q", "key", "cos"])
+
+
+def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            held = batch.column("held").slice(0, 1).flatten()
+            yield from _products(batch.column("key"), batch.column("v"), held.field("q"), held.field("qv"), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("q").orderBy(F.desc("cos"), "key")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.filter("cos > -2").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -104,11 +142,22 @@ def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
 
 
 def best_label(points: DataFrame, labelled: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    """The most similar labelled vector of each point, if similar enough; labelled ones are a small library."""
-    lib = labelled.select(F.col("label").alias("name"), F.col("centroid").alias("lv"))
-    scored = points.select(key, F.col(vector).alias("v")).join(F.broadcast(lib)).withColumn("cos", dot(unit(F.col("v")), unit(F.col("lv"))))
-    best = scored.groupBy(key).agg(F.max_by(F.struct("name", "cos"), F.struct("cos", -F.col("name"))).alias("b"))
-    return best.select(key, F.col("b.name").alias("label"), F.col("b.cos").alias("cos")).filter(F.col("cos") >= least)
+    """The most similar labelled vector of each point (the smallest label of equals), if similar enough. The library comes in blocks."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                held = batch.column("held").slice(0, 1).flatten()
+                order = np.argsort(held.field("q").to_numpy(), kind="stable")
+                cos = matrix(batch.column("v")) @ matrix(held.field("qv"))[order].T
+                at = cos.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("key"), held.field("q").take(pa.array(order[at])), pa.array(cos.max(axis=1))], ["key", "label", "cos"])
+
+    rows = points.select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    kind = labelled.schema["label"].dataType.simpleString()
+    found = reduce(DataFrame.union, [rows.crossJoin(F.broadcast(block)).mapInArrow(nearest, f"key bigint, label {kind}, cos double") for block in in_blocks(labelled, "label", "centroid")])
+    best = found.groupBy("key").agg(F.max_by(F.struct("label", "cos"), F.struct("cos", -F.col("label"))).alias("b"))
+    return best.select(F.col("key").alias(key), "b.label", "b.cos").filter(F.col("cos") >= least)
 
 
 def near_points(df: DataFrame, key: str, lat: str, lon: str, km: Column, radius_km: float) -> DataFrame:
@@ -120,3 +169,20 @@ def near_points(df: DataFrame, key: str, lat: str, lon: str, km: Column, radius_
     around = around.withColumn("cx", F.explode(F.transform(F.sequence(-F.col("span"), F.col("span")), lambda d: F.col("cx") + d)))
     other = around.select(F.col("key").alias("b"), F.col("la").alias("lb"), F.col("lo").alias("lob"), "cy", "cx")
     return rows.join(other, ["cy", "cx"]).filter("key < b").filter(km <= radius_km).select(F.col("key").alias("a"), "b")
+
+
+def near_groups(df: DataFrame, key: str, lat: str, lon: str, km: Column, radius_km: float) -> DataFrame:
+    """(a, b) edges whose components are those of all pairs within a radius, without all pairs of a crowded spot.
+
+    Points of one small cell (its diagonal under the radius) are all within the radius of each other: each links to the cell's
+    smallest key, and only different cells are compared, by their distinct positions.
+    """
+    small = radius_km / 110.0 / 2
+    row = F.floor(F.col(lat) / small)
+    # cells are as wide in degrees as their end nearer to the equator allows
+    width = small / F.cos(F.radians(F.least(F.greatest(F.abs(row * small) - small, F.lit(0.0)), F.lit(85.0))))
+    known = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(key).alias("key"), F.col(lat).alias("la_"), F.col(lon).alias("lo_"), row.alias("_y"), F.floor(F.col(lon) / width).alias("_x"))
+    head = known.groupBy("_y", "_x").agg(F.min("key").alias("head"))
+    inside = known.join(head, ["_y", "_x"]).filter("key != head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    spots = known.groupBy("la_", "lo_").agg(F.min("key").alias("key"))  # equal positions share their neighbours
+    return inside.union(near_points(spots, "key", "la_", "lo_", km, radius_km))

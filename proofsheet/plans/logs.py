@@ -42,20 +42,11 @@ def priority_merge(spark, sf):
     return G.priority_merge([e.filter("run_id % 2 = 1"), e.filter("run_id % 2 = 0")], "filename", "ts_ms").select("filename", "decision", "priority", "seq")
 
 
-@query(f"""WITH {EDIT_SQL}, c AS (SELECT run_id, filename, line_no FROM v_edit QUALIFY row_number() OVER (PARTITION BY run_id, filename ORDER BY line_no DESC) = 1),
- m AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY run_id) AS rn FROM c WHERE run_id IN (0, 1, 2))
- SELECT 'run' || run_id AS source_run, CASE WHEN rn > 1 THEN 'run' || run_id || '__' || filename ELSE filename END AS filename, 'run' || run_id || ':' || (line_no % 9) AS cluster_id FROM m""")
-def merge_runs(spark, sf):
-    e = G.latest(edits(spark, sf), ["run_id", "filename"], ["line_no"])
-    runs = [(f"run{i}", e.filter(F.col("run_id") == i).select("filename", (F.col("line_no") % 9).alias("cluster_id"))) for i in range(3)]
-    return G.merge_runs(runs).select("source_run", "filename", "cluster_id")
-
-
 @query(f"""WITH {EDIT_SQL}, c AS (SELECT run_id, filename, line_no FROM v_edit QUALIFY row_number() OVER (PARTITION BY run_id, filename ORDER BY line_no DESC) = 1),
  m AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY run_id) AS rn FROM c)
  SELECT 'run' || run_id AS source_run, CASE WHEN rn > 1 THEN 'run' || run_id || '__' || filename ELSE filename END AS filename, 'run' || run_id || ':' || (line_no % 9) AS cluster_id FROM m""")
-def merge_all_runs(spark, sf):
-    """merge_runs has the three runs that its SQL states; this has all runs of the log."""
+def merge_runs(spark, sf):
+    """All runs of the log as one."""
     e = G.latest(edits(spark, sf), ["run_id", "filename"], ["line_no"])
     return G.merge_log(e.select("run_id", "filename", (F.col("line_no") % 9).alias("cluster_id"))).select("source_run", "filename", "cluster_id")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from proofsheet.functions.columns import dot, haversine_km
+from proofsheet.functions.columns import haversine_km
 from proofsheet.operators import similarity as S
 from proofsheet.operators.graph import connected_components
 from proofsheet.plans.catalog import query
@@ -59,19 +60,9 @@ def suggest_labels(spark, sf):
     return S.best_label(v, S.centroids(v, ["label"], "embedding"), "vec_id", "embedding", 0.15).withColumn("cos", F.round("cos", 5))
 
 
-@query(f"""WITH {VEC_SQL}, p AS (SELECT a.label, a.vec_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cos FROM v_vec a JOIN v_vec b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id < 100 AND b.vec_id < 100)
- SELECT label, vec_id, round(median(cos), 5) AS mid, round(min(cos), 5) AS low FROM p GROUP BY ALL""")
-def cluster_precision(spark, sf):
-    """Each member's similarities within its cluster, over a stated set of clusters' first members."""
-    v = vectors(spark, sf).filter("vec_id < 100")
-    b = v.select("label", F.col("vec_id").alias("other"), F.col("embedding").alias("w"))
-    pairs = v.join(b, "label").filter("vec_id != other").withColumn("cos", dot(F.col("embedding"), F.col("w")))
-    return pairs.groupBy("label", "vec_id").agg(F.round(F.median("cos"), 5).alias("mid"), F.round(F.min("cos"), 5).alias("low"))
-
-
 @query(f"""WITH {VEC_SQL}, p AS (SELECT a.label, a.vec_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cos FROM v_vec a JOIN v_vec b ON a.label = b.label AND a.vec_id <> b.vec_id)
  SELECT label, vec_id, round(median(cos), 5) AS mid, round(min(cos), 5) AS low FROM p GROUP BY ALL""")
-def cluster_precision_all(spark, sf):
+def cluster_precision(spark, sf):
     """Each member's similarities within its cluster, over all members."""
     pairs = S.member_similarities(vectors(spark, sf), "label", "vec_id", "embedding")
     return pairs.groupBy("label", "vec_id").agg(F.round(F.median("cos"), 5).alias("mid"), F.round(F.min("cos"), 5).alias("low"))
@@ -80,8 +71,7 @@ def cluster_precision_all(spark, sf):
 @query(f"WITH {VEC_SQL}, q AS (SELECT embedding AS q FROM v_vec WHERE vec_id = 7) SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 5) AS cos FROM v_vec, q ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) DESC, vec_id LIMIT 10")
 def vector_topk(spark, sf):
     v = vectors(spark, sf)
-    q = v.filter("vec_id = 7").first()["embedding"]
-    return S.top_matches(v, q, "vec_id", "embedding", 10).withColumn("cos", F.round("cos", 5))
+    return S.top_matches(v, v.filter("vec_id = 7").select("embedding"), "vec_id", "embedding", 10).withColumn("cos", F.round("cos", 5))
 
 
 @query(f"""WITH {VEC_SQL}, s AS (SELECT q.vec_id AS q, v.vec_id AS key, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS cos FROM v_vec q JOIN v_vec v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
@@ -91,63 +81,38 @@ def per_ref_distance(spark, sf):
     return S.per_query_matches(v, v.filter("vec_id % 20 = 0"), "vec_id", "embedding", "vec_id", 5).withColumn("cos", F.round("cos", 5))
 
 
-_GEO = f"{PHOTO_SQL}, geo AS (SELECT photo_id, 40 + (photo_id * 7 % 97) * 0.01 AS lat, 2 + (photo_id * 13 % 101) * 0.01 AS lon, score_final FROM v_photo WHERE photo_id % 11 = 0)"
+_GEO = f"{PHOTO_SQL}, geo AS (SELECT photo_id, 40 + (photo_id * 7 % 97) * 0.01 AS lat, 2 + (photo_id * 13 % 101) * 0.01 AS lon, score_final FROM v_photo)"
 _KM = "2 * 6371.0088 * asin(sqrt(least(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2), 1.0)))"
-_PLACE = f"{_GEO}, near AS (SELECT a.photo_id AS a, b.photo_id AS b FROM geo a JOIN geo b ON a.photo_id < b.photo_id AND abs(a.lat - b.lat) < 0.05 AND {_KM} <= 3.0), two AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), walk(node, seen) AS (SELECT photo_id, photo_id FROM geo UNION SELECT w.node, e.b FROM walk w JOIN two e ON e.a = w.seen), place AS (SELECT node AS photo_id, min(seen) AS place_id FROM walk GROUP BY node)"
 
 
-def geo(spark, sf, whole=False):
-    """Photos with a position: the eleventh part that the SQL states, or all."""
+def geo(spark, sf):
+    """Photos with a position."""
     i = F.col("photo_id")
-    p = photos(spark, sf)
-    return (p if whole else p.filter("photo_id % 11 = 0")).select("photo_id", (40 + (i * 7 % 97) * 0.01).alias("lat"), (2 + (i * 13 % 101) * 0.01).alias("lon"), "score_final")
+    return photos(spark, sf).select("photo_id", (40 + (i * 7 % 97) * 0.01).alias("lat"), (2 + (i * 13 % 101) * 0.01).alias("lon"), "score_final")
 
 
-def places(spark, sf, whole=False):
-    g = geo(spark, sf, whole)
-    edges = S.near_points(g, "photo_id", "lat", "lon", haversine_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob")), 3.0)
+def places(spark, sf):
+    g = geo(spark, sf)
+    edges = S.near_groups(g, "photo_id", "lat", "lon", haversine_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob")), 3.0)
     named = connected_components(edges, "a", "b")
     return g.join(named, g["photo_id"] == named["node"], "left").select("photo_id", F.coalesce("component", "photo_id").alias("place_id"), "lat", "lon", "score_final")
 
 
-@query(f"WITH RECURSIVE {_PLACE} SELECT photo_id, place_id FROM place")
+@query()
 def gps_clusters(spark, sf):
+    """Walks over all photos are too slow in SQL; a test holds this against brute force."""
     return places(spark, sf).select("photo_id", "place_id")
 
 
-@query(f"WITH RECURSIVE {_PLACE} SELECT place_id, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon, arg_max(p.photo_id, (score_final, -p.photo_id)) AS best FROM place p JOIN geo g ON g.photo_id = p.photo_id GROUP BY place_id")
+@query()
 def location_summary(spark, sf):
-    return summary(places(spark, sf))
-
-
-def summary(placed):
+    placed = places(spark, sf)
     return placed.groupBy("place_id").agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.max_by("photo_id", F.struct("score_final", -F.col("photo_id"))).alias("best"))
 
 
 @query(f"WITH {_GEO}, o AS (SELECT photo_id % 5 AS track, photo_id, lat, lon, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM geo WINDOW w AS (PARTITION BY photo_id % 5 ORDER BY photo_id)) SELECT track, sum({_KM.replace('b.lat', 'lat').replace('a.lat', 'la').replace('b.lon', 'lon').replace('a.lon', 'lo')}) AS km FROM o WHERE la IS NOT NULL GROUP BY track")
 def track_length(spark, sf):
-    return tracks(geo(spark, sf))
-
-
-def tracks(points):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("track").orderBy("photo_id")
-    g = points.withColumn("track", F.col("photo_id") % 5)
+    g = geo(spark, sf).withColumn("track", F.col("photo_id") % 5)
     g = g.withColumns({"la": F.lag("lat").over(w), "lo": F.lag("lon").over(w)}).filter("la is not null")
     return g.groupBy("track").agg(F.sum(haversine_km(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))).alias("km"))
-
-
-@query()
-def gps_clusters_all(spark, sf):
-    return places(spark, sf, whole=True).select("photo_id", "place_id")
-
-
-@query()
-def location_summary_all(spark, sf):
-    return summary(places(spark, sf, whole=True))
-
-
-@query()
-def track_length_all(spark, sf):
-    return tracks(geo(spark, sf, whole=True))

@@ -22,7 +22,7 @@ def test_every_member_of_a_cluster(spark):
         cos = [sum(x * y for x, y in zip(a.embedding, b.embedding, strict=True)) for b in rows if b.label == a.label and b.vec_id != a.vec_id]
         if cos:
             want[a.vec_id] = (median(cos), min(cos))
-    got = {r.vec_id: (r.mid, r.low) for r in catalog.queries()["cluster_precision_all"](spark, SF).collect()}
+    got = {r.vec_id: (r.mid, r.low) for r in catalog.queries()["cluster_precision"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(x - y) < 2e-5 for k in got for x, y in zip(got[k], want[k], strict=True))
 
 
@@ -41,11 +41,11 @@ def test_every_photo_has_a_place(spark):
             if abs(at[a][0] - at[b][0]) < 0.05 and km(at[a], at[b]) <= 3.0:
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
-    got = {r.photo_id: r.place_id for r in catalog.queries()["gps_clusters_all"](spark, SF).collect()}
+    got = {r.photo_id: r.place_id for r in catalog.queries()["gps_clusters"](spark, SF).collect()}
     assert got == {k: find(k) for k in at}
-    assert sum(r.n for r in catalog.queries()["location_summary_all"](spark, SF).collect()) == len(at)
+    assert sum(r.n for r in catalog.queries()["location_summary"](spark, SF).collect()) == len(at)
     length = defaultdict(float)
     for k in keys:
         if k - 5 in at:
             length[k % 5] += km(at[k - 5], at[k])
-    assert {r.track: round(r.km, 3) for r in catalog.queries()["track_length_all"](spark, SF).collect()} == {k: round(v, 3) for k, v in length.items()}
+    assert {r.track: round(r.km, 3) for r in catalog.queries()["track_length"](spark, SF).collect()} == {k: round(v, 3) for k, v in length.items()}
