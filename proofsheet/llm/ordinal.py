@@ -5,11 +5,12 @@ shape ("a$", "A!", "|"), and its share of repeated word pairs in steps. One weig
 thresholds t0 < t1 < ... cut the score: P(grade <= k) = logistic(t_k - w x). So one model gives the expected grade and the
 tail probability P(grade >= k) that selects documents.
 
-The fit maximises the penalised likelihood by gradient steps scaled per weight (Adam), on the driver, over at
-most SAMPLE labelled documents: of those in the table, the ones whose keys hash lowest. Only this sample is bounded; every document is scored, in one
-pass without a shuffle. The model holds at most as many weights as the sample has features.
+The fit maximises the penalised likelihood by gradient steps scaled per weight (Adam), in one task on an executor, over at
+most SAMPLE labelled documents: of those in the table, the ones whose keys hash lowest. Only this sample is bounded; its
+features are made in parallel, and every document is scored, in one pass without a shuffle. The model, which comes to the
+driver, holds at most as many weights as the sample has features (and at most 2**BITS).
 
-Defined results: a null text is empty; several ratings of a document count by the lowest; ratings without a document and
+Defined results: a null text is empty; several ratings of a document count by the lowest; of rows that repeat a key the first text in order is rated; ratings without a document and
 null grades are ignored; without any rating, or with only one grade, all documents get that grade (null if none) and are
 kept; repeated rows and null keys are scored row by row; an empty table gives an empty result; columns of the input stay in
 `graded`, except that `expected_grade`, `tail_probability` and `kept` are replaced.
@@ -176,13 +177,18 @@ def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, word: np.ndarray
     return Model(known[use], w[use], cuts(t), grades)
 
 
-def train(docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id", text: str = "text", rating_key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fit to at most `sample` of the documents that ratings grade."""
+def sampled(docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id", text: str = "text", rating_key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+    """doc_id, grade and text of at most `sample` of the documents that ratings grade."""
     graded = ratings.select(F.col(rating_key).cast("long").alias("doc_id"), grade.cast("int").alias("grade")).dropna()
     source = documents(docs, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     graded = graded.groupBy("doc_id").agg(F.min("grade").alias("grade")).join(source.select("doc_id"), "doc_id", "left_semi")
     graded = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = source.join(F.broadcast(graded), "doc_id")
+    return source.join(F.broadcast(graded), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id", text: str = "text", rating_key: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """Fit to at most `sample` of the documents that ratings grade."""
+    rows = sampled(docs, ratings, grade, key, text, rating_key, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,13 +199,36 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id
                 lists = [pa.ListArray.from_arrays(off, pa.array(x, t)) for x, t in ((bucket, pa.int32()), (value, pa.float32()), (word, pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), *lists], ["doc_id", "grade", "bucket", "value", "word"])
 
-    found = rows.mapInArrow(run, "doc_id bigint, grade int, bucket array<int>, value array<float>, word array<boolean>").toArrow()
+    kind = "doc_id bigint, grade int, bucket array<int>, value array<float>, word array<boolean>"
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _fit_table(pa.Table.from_batches(list(batches), SAMPLED))
+        names = np.repeat(["weight", "threshold", "grade"], [len(model.buckets), len(model.thresholds), len(model.grades)])
+        place = np.concatenate([model.buckets, np.arange(len(model.thresholds)), np.arange(len(model.grades))])
+        number = np.concatenate([model.weights, model.thresholds, model.grades.astype(np.float64)])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(place.astype(np.int64)), pa.array(number)], ["what", "place", "number"])
+
+    # the sample is bounded, so it may meet in one task; only weights come here
+    found = rows.mapInArrow(run, kind).repartition(1).mapInArrow(fitted, "what string, place bigint, number double").toArrow()
+    what, place, number = (found.column(c).to_numpy() for c in ("what", "place", "number"))
+
+    def part(name: str) -> tuple[np.ndarray, np.ndarray]:
+        use = np.flatnonzero(what == name)
+        use = use[np.argsort(place[use], kind="stable")]
+        return place[use], number[use]
+
+    return Model(*part("weight"), part("threshold")[1], part("grade")[1].astype(np.int64))
+
+
+SAMPLED = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("bucket", pa.list_(pa.int32())), ("value", pa.list_(pa.float32())), ("word", pa.list_(pa.bool_()))])
+
+
+def _fit_table(found: pa.Table) -> Model:
     found = found.sort_by("doc_id").combine_chunks()
     grades = found.column("grade").to_numpy().copy()
     row = np.repeat(np.arange(len(grades), dtype=np.int32), _flat(found, "bucket", True))
     bucket, value, word = (_flat(found, c) for c in ("bucket", "value", "word"))
     del found
-    pa.default_memory_pool().release_unused()
     return fit(row, bucket, value, word, grades)
 
 
@@ -215,6 +244,9 @@ def graded(docs: DataFrame, model: Model, text: str = "text", tail: float = TAIL
     rows = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's features
     grades = model.grades
+    name = "_graded"
+    while name in rows.columns:
+        name = "_" + name
 
     @F.arrow_udf("struct<expected_grade: double, tail_probability: double>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -231,5 +263,5 @@ def graded(docs: DataFrame, model: Model, text: str = "text", tail: float = TAIL
             both = np.concatenate(part)
             yield pa.StructArray.from_arrays([pa.array(both[:, 0], from_pandas=True), pa.array(both[:, 1])], ["expected_grade", "tail_probability"])
 
-    found = rows.withColumn("_graded", score(F.coalesce(F.col(text), F.lit("")))).select("*", "_graded.expected_grade", "_graded.tail_probability").drop("_graded")
+    found = rows.withColumn(name, score(F.coalesce(F.col(text), F.lit("")))).select("*", f"{name}.expected_grade", f"{name}.tail_probability").drop(name)
     return found.withColumn("kept", (F.col("tail_probability") >= tail) | F.lit(len(grades) < 2))

@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+
 from proofsheet.llm import ordinal as op
 from proofsheet.llm.queries import queries, rated_grade
 
@@ -51,10 +54,37 @@ def test_query(spark):
     assert out.columns == ["doc_id", "expected_grade", "tail_probability", "kept"] and out.count() == 200
 
 
-def test_ratings_without_a_document_use_up_no_sample(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(op, "fit", lambda row, bucket, value, word, grade: seen.append(len(grade)))
+def test_ratings_without_a_document_use_up_no_sample(spark):
     docs, labels = tables(spark, 60)
+    docs += docs[:20]  # rows that repeat a key are one of the sample
     marks = [*labels, *[(10_000 + i, 1, 0) for i in range(3000)]]
-    op.train(spark.createDataFrame(docs, "doc_id bigint, text string, kept int"), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"), rated_grade(), sample=50)
-    assert seen == [50] and op.SAMPLE == 10_000
+    got = op.sampled(spark.createDataFrame(docs, "doc_id bigint, text string, kept int"), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"), rated_grade(), sample=50).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 50 and op.SAMPLE == 10_000
+
+
+def loss(x, y, is_word, w, t):
+    """The penalised likelihood by a plain loop."""
+    total = 0.0
+    for row, g in zip(x, y, strict=True):
+        score = sum(w[k] * v for k, v in row.items() if k in w)
+        at = lambda i: 0.0 if i < 0 else 1.0 if i >= len(t) else 1 / (1 + math.exp(-(t[i] - score)))  # noqa: B023, E731
+        total -= math.log(max(at(g) - at(g - 1), 1e-300))
+    return total / len(y) + sum((op.WORD_RIDGE if is_word[k] else op.RIDGE) / 2 * v * v for k, v in w.items())
+
+
+def test_the_fit_is_the_optimum_of_the_likelihood():
+    rnd = random.Random(17)
+    x, y = [], []
+    for _ in range(300):
+        x.append({k: rnd.choice([0.5, 1.0, 2.0]) for k in rnd.sample(range(8), 3)})
+        y.append(min(2, max(0, round(sum((k - 3.5) * v for k, v in x[-1].items()) / 4 + rnd.gauss(1, 1)))))
+    flat = [(i, k, v, k % 2 == 0) for i, row in enumerate(x) for k, v in row.items()]
+    m = op.fit(*[np.array(c) for c in zip(*flat, strict=True)], np.array(y))
+    w, t, is_word = dict(zip(m.buckets.tolist(), m.weights.tolist(), strict=True)), m.thresholds.tolist(), {k: k % 2 == 0 for k in range(8)}
+    best = loss(x, y, is_word, w, t)
+    assert t == sorted(t) and len(w) == 8
+    for step in (0.05, -0.05):
+        for k in w:
+            assert loss(x, y, is_word, {**w, k: w[k] + step}, t) > best - 1e-4
+        for i in range(2):
+            assert loss(x, y, is_word, w, [v + step * (i == j) for j, v in enumerate(t)]) > best - 1e-4
