@@ -425,28 +425,34 @@ def proposals(rows: DataFrame, failed: DataFrame | None, most: int) -> DataFrame
     kind, task = "unit bigint, i int, j int, pivot bigint, node bigint", ["unit", "i", "j"]
     if failed is None:
         return rows.groupBy(*task).applyInArrow(lambda t: compare(t, set()), kind)
-    again = rows.join(failed.select(*task).distinct(), task, "left_semi")
 
     def both(t: pa.Table, bad: pa.Table) -> pa.Table:
         return compare(t, set(zip(bad.column("pivot").to_pylist(), bad.column("node").to_pylist(), strict=True)))
 
-    return again.groupBy(*task).cogroup(failed.groupBy(*task)).applyInArrow(both, kind)
+    return rows.groupBy(*task).cogroup(failed.groupBy(*task)).applyInArrow(both, kind)
 
 
 def block_links(members: DataFrame, known: DataFrame, sets) -> DataFrame:
     """(pivot, node) of enough links between components of a unit."""
     rows, links, failed, most = written(block_rows(members, known), "blocks"), None, None, 1
+    of = members.select("node", "c").distinct()
+    task = ["unit", "i", "j"]
     while True:
         asked = written(proposals(rows, failed, most), "proposals")
-        if links is not None:  # what earlier rounds have found still holds
-            asked = asked.join(links, ["pivot", "node"], "left_anti")
         found = verified(asked.select("pivot", "node").distinct(), sets)
         links = found if links is None else links.union(found)
-        most *= MORE
         wrong = asked.join(found, ["pivot", "node"], "left_anti")
         if not wrong.limit(1).count():
             return links
-        failed = written(wrong if failed is None else failed.join(wrong.select("unit", "i", "j").distinct(), ["unit", "i", "j"], "left_semi").unionByName(wrong), "failed")
+        failed = written(wrong if failed is None else failed.join(wrong.select(*task).distinct(), task, "left_semi").unionByName(wrong), "failed")
+        # what the links have joined is one component from now on; only tasks with a failed proposal go on
+        ends = links.join(of, "node").select("pivot", F.col("c").alias("b")).join(of.withColumnsRenamed({"node": "pivot", "c": "a"}), "pivot")
+        joined = connected_components(ends, "a", "b").withColumnsRenamed({"node": "c", "component": "now"})
+        again = rows.join(failed.select(*task).distinct(), task, "left_semi").join(joined, "c", "left")
+        rows = written(again.withColumn("c", F.coalesce("now", "c")).drop("now"), "blocks")
+        of = of.join(joined, "c", "left").select("node", F.coalesce("now", "c").alias("c"))
+        of = written(of, "labels")
+        most *= MORE
 
 
 def all_links(found: DataFrame, rows: DataFrame, sets) -> DataFrame:
