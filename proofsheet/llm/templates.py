@@ -36,8 +36,8 @@ from proofsheet.llm.common import few, written
 from proofsheet.llm.ordinal import _PUNCTUATION
 
 WINDOW, COVER, RUN = 12, 0.5, 24
-#: Texts handled at once, in rows.
-SLICE = 1024
+#: Texts handled at once, in rows, and items of a task.
+SLICE, ITEMS = 512, 5_000
 #: Bits of the filter for each window of the benchmark, and at most (as a power of two).
 BITS_EACH, MOST_BITS = 64, 27
 #: Windows of the benchmark, and keys of contaminated documents, that may be broadcast.
@@ -153,7 +153,7 @@ NAMES = ["h", "at", "size", "plain", "place", "kind", "value"]
 def item_windows(benchmark: DataFrame, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """item_id, item (a hash of its text), n_tokens and windows of each item."""
     items = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    items = items.select("item_id", F.xxhash64("text").alias("item"), "text").dropDuplicates(["item_id", "item"])
+    items = items.select("item_id", F.xxhash64("text").alias("item"), "text").dropDuplicates(["item_id", "item"]).coalesce(benchmark.count() // ITEMS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -272,7 +272,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     found = document_windows(source, index, windows).withColumnsRenamed({"at": "d", "value": "theirs"})
     joined = found.join(F.broadcast(index) if windows <= FEW else index, ["h", "plain"])
     group = ["doc_id", "text_hash", "item_id", "item"]
-    return joined.distinct().groupBy(*group).applyInArrow(_verdict, "doc_id bigint, text_hash bigint, item_id bigint, item bigint, " + LEAK.partition(", ")[2])
+    # repeated rows give the same windows again, which the verdict takes once
+    return joined.groupBy(*group).applyInArrow(_verdict, "doc_id bigint, text_hash bigint, item_id bigint, item bigint, " + LEAK.partition(", ")[2])
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
