@@ -13,6 +13,8 @@ Size. The filter has BITS bits per entry and holds all levels, so it grows with
 segment of its own, built and probed in one task: groups send the distinct n-grams of all their texts with their counts,
 and get back the levels that the segment gives. So nothing is broadcast or gathered on the driver at any size.
 
+Keys that are null or repeat could make a group grow: groups of more than twice GROUP rows (counted first) are split by texts.
+
 Scoring. Texts meet the counts and levels of their group, sorted in front of them in the same partition, and stream past them.
 
 Defined results: a null or empty text is one end; a null key counts as the text '' when documents are held out; repeated rows
@@ -30,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofsheet.llm import textkernel as tk
-from proofsheet.llm.common import documents, partitions, written
+from proofsheet.llm.common import documents, few, partitions, written
 
 #: Keys of one group (also the most documents that are counted together), and rows scored at once.
 GROUP, SLICE = 4096, 1024
-#: A filter has SEGMENTS * 1024 bytes at least. LARGEST: see lowest_levels.
-BITS, PROBES, SEGMENTS, LARGEST = 12, 4, 64, 64 << 20
+#: A filter has SEGMENTS * 1024 bytes at least.
+BITS, PROBES, SEGMENTS = 12, 4, 64
+#: Groups with more rows that may be broadcast.
+FEW = 500_000
 MU = 5.0
 
 _U = np.uint64
@@ -230,18 +234,6 @@ class Words:
         return at
 
 
-def lowest_levels(histogram: dict[tuple[int, int], int]) -> tuple[tuple[int, int], int]:
-    """Lowest levels and entries that a filter of LARGEST bytes could hold, from the n-grams by (order, level): bigrams rise first.
-
-    Not used for scores, which need all levels.
-    """
-    low = [1, 1]
-    entries = lambda: sum(n * (q - low[o] + 1) for (o, q), n in histogram.items() if q >= low[o])
-    while entries() * BITS > LARGEST * 8:
-        low[1 if low[1] <= low[0] + 2 else 0] += 1
-    return (low[0], low[1]), entries()
-
-
 def segment(grams: list[tuple[int, np.ndarray, np.ndarray]]) -> Filter:
     """The filter of all levels of some n-grams: (order, keys, levels)."""
     size = max(SEGMENTS * 1024, -(-sum(int(q.sum()) for _, _, q in grams) * BITS // 8))
@@ -269,12 +261,27 @@ def model_scores(one: np.ndarray, two: np.ndarray, end: float, n: np.ndarray, to
     return np.add.reduceat(np.log10(np.minimum(p, 1.0)), np.cumsum(n) - n)
 
 
+def split_groups(rows: DataFrame) -> DataFrame:
+    """rows with groups of more than twice GROUP rows (null or repeated keys) split by their texts, so that no group grows with the table.
+
+    Equal rows of one key stay together; their group holds few different words and streams past them.
+    """
+    large = rows.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * GROUP)
+    large = written(large.select(F.col("grp").alias("_grp"), F.ceil(F.col("n") / GROUP).cast("int").alias("_splits")), "lm-large")
+    if not large.limit(1).count():
+        return rows
+    joined = rows.join(F.broadcast(large) if few(large, FEW) else large, F.col("grp") == F.col("_grp"), "left")
+    own = F.xxhash64("grp", F.pmod(F.xxhash64("text", "doc_id"), F.col("_splits")))
+    return joined.withColumn("grp", F.when(F.col("_splits").isNull(), F.col("grp")).otherwise(own)).drop("_grp", "_splits")
+
+
 def language_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", out: Column | None = None, least: int = 2) -> DataFrame:
     """Scores of all rows, learnt from those that are not held out; bigrams count from `least` times on (1: all)."""
     spark = docs.sparkSession
     parts = partitions(spark)
     rows = documents(docs, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("train", ~(held_out(F.col("doc_id")) if out is None else out)).withColumn("grp", F.coalesce(F.floor(F.col("doc_id") / GROUP), F.lit(-1)).cast("long"))
+    rows = split_groups(rows)
     table = written(summed(count_rows(rows.select("grp", "train", "text"), parts), parts, least), "lm-counts")
     size = table.filter("kind = 1").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     total, distinct = size["n"] or 0, size["v"] or 0

@@ -66,12 +66,6 @@ def test_filter_never_reads_too_little_and_seldom_too_much():
     assert np.mean(f.counts(rng.integers(0, 1 << 63, 30000).astype(np.uint64), 0) > 0) < 0.02
 
 
-def test_levels_rise_until_the_filter_fits(monkeypatch):
-    monkeypatch.setattr(op, "LARGEST", 3000)
-    low, entries = op.lowest_levels({(0, 1): 500, (0, 5): 20, (1, 2): 3000, (1, 4): 100})
-    assert entries * op.BITS <= 3000 * 8 and low[1] > 1
-
-
 def test_model_tells_held_out_order_from_shuffled(spark):
     rnd = random.Random(5)
     phrase = [f"p{i}" for i in range(30)]
@@ -95,8 +89,7 @@ def test_query(spark):
     assert got == [w[:6] for w in brute(rows)]
 
 
-def test_single_bigrams_and_all_levels_count_at_any_size(spark, monkeypatch):
-    monkeypatch.setattr(op, "LARGEST", 100)  # far less than the entries need
+def test_single_bigrams_and_all_levels_count_at_any_size(spark):
     rnd = random.Random(8)
     rows = [(i, " ".join(f"w{int(rnd.expovariate(0.05))}" for _ in range(rnd.randrange(1, 60)))) for i in range(200)]
     got = {r.doc_id: r.score for r in op.language_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), least=1).collect()}
@@ -119,3 +112,14 @@ def test_query_counts_single_bigrams(spark):
     sf = "/root/testdata/sf0.001"
     whole = op.language_scores(spark.read.parquet(f"{sf}/documents.parquet"), least=1).agg({"score": "sum"}).first()[0]
     assert abs(queries()["op6_language_scores"](spark, sf).agg({"score": "sum"}).first()[0] - whole) < 1e-3
+
+
+def test_null_and_repeated_keys_are_split_without_a_change(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(k, " ".join(f"w{rnd.randrange(40)}" for _ in range(12))) for k in [None] * 60 + [7] * 50 + list(range(30))] + [(7, "same words")] * 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in op.language_scores(docs).collect())
+    monkeypatch.setattr(op, "GROUP", 10)
+    split = op.split_groups(docs.selectExpr("doc_id", "text", "true as train", "coalesce(doc_id, -1) as grp"))
+    assert split.select("grp").distinct().count() > 35 and split.count() == len(rows)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in op.language_scores(docs).collect()) == whole
