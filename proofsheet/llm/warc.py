@@ -184,7 +184,12 @@ def _manifest_schema() -> pa.Schema:
 
 
 def commit(manifest: DataFrame, folder: str) -> None:
-    """Rename the manifest's files, in parallel and again if a task is lost, then write MANIFEST.json."""
+    """Rename the manifest's files, in parallel and again if a task is lost, then write the list of files and MANIFEST.json.
+
+    MANIFEST.files holds a line of JSON for each file (name, records, bytes, SHA-1, first and last key), written by Spark, so
+    that the archives can be checked without it; MANIFEST.json, the totals, comes last and says that the set is whole. What
+    attempts that were lost have left under temporary names goes.
+    """
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
@@ -199,8 +204,11 @@ def commit(manifest: DataFrame, folder: str) -> None:
     # one row per file of ROLL bytes
     moved = manifest.repartition(max(1, min(partitions(manifest.sparkSession), 200)), "name").mapInArrow(move, "n bigint").agg(F.sum("n")).first()[0] or 0
     total = manifest.agg(F.sum("records").alias("records"), F.sum("bytes").alias("bytes")).first()
+    manifest.select("name", "records", "bytes", "sha1", "first_key", "last_key").coalesce((total["records"] or 0) // 10_000_000 + 1).write.mode("overwrite").json(f"{folder}/MANIFEST.files")
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
+    if fs.get_file_info(f"{base}/_temporary").type == pafs.FileType.Directory:
+        fs.delete_dir_contents(f"{base}/_temporary")
     with fs.open_output_stream(f"{base}/MANIFEST.json") as out:
         out.write(json.dumps({"files": moved, "records": total["records"] or 0, "bytes": total["bytes"] or 0}).encode())
 

@@ -1,7 +1,9 @@
 import base64
+import glob
 import gzip
 import hashlib
 import io
+import json
 import os
 
 import pytest
@@ -37,6 +39,9 @@ def test_round_trip(spark, monkeypatch, tmp_path, shard, roll, ranges):
         assert first[0].key == least and all(r.refers_to == least for r in own if r.record_type == "revisit")
     names = sorted(os.listdir(folder))
     assert "MANIFEST.json" in names and not os.listdir(f"{folder}/_temporary")
+    listed = [json.loads(x) for f in glob.glob(f"{folder}/MANIFEST.files/part-*") for x in open(f)]
+    archives = {n: open(f"{folder}/{n}", "rb").read() for n in names if n.endswith(".gz")}
+    assert {x["name"]: (x["bytes"], x["sha1"]) for x in listed} == {n: (len(b), hashlib.sha1(b).hexdigest()) for n, b in archives.items()} and sum(x["records"] for x in listed) == len(rows)
     if shard == 3000:
         assert len(names) > 5
 
@@ -57,7 +62,7 @@ def test_left_over_temporary_files_are_not_read(spark, tmp_path):
     os.makedirs(f"{folder}/_temporary")
     (tmp_path / "w/_temporary/shard-00000000-00000-dead").write_bytes(b"half a file")
     manifest = op.write(table(spark, ROWS), folder)
-    assert op.read(manifest, folder).count() == len(ROWS)
+    assert op.read(manifest, folder).count() == len(ROWS) and not os.listdir(f"{folder}/_temporary")
 
 
 def test_each_record_is_a_member_and_damage_is_found(spark, tmp_path):
