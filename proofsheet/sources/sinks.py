@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofsheet.functions.columns import decision_rating, timecode, unit
 from proofsheet.operators.merge import normalized_edits
+from proofsheet.sources import folders
 
 
 def scores_csv(df: DataFrame, path: str) -> None:
@@ -64,12 +67,22 @@ def library(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def prune_run(spark: SparkSession, path: str, keep: DataFrame, shared: str) -> None:
-    """Rewrite only the runs that hold rows not in keep (run_id, filename); others' partitions stay as they are."""
+    """Rewrite only the runs that hold rows not in keep (run_id, filename); others' partitions stay as they are.
+
+    Runs of which nothing is kept go with their folders, which an overwrite of partitions would leave.
+    """
     stored = spark.read.parquet(path)
-    stale = stored.join(keep.select("run_id", "filename").distinct(), ["run_id", "filename"], "left_anti").select("run_id").distinct()
-    left = stored.join(stale, "run_id", "left_semi").join(keep.select("run_id", "filename").distinct(), ["run_id", "filename"], "left_semi")
+    kept = keep.select("run_id", "filename").distinct()
+    stale = stored.join(kept, ["run_id", "filename"], "left_anti").select("run_id").distinct()
+    left = stored.join(stale, "run_id", "left_semi").join(kept, ["run_id", "filename"], "left_semi")
     left.write.mode("overwrite").parquet(shared)  # readers of the old files end before these go
-    spark.read.parquet(shared).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    rest = spark.read.schema(left.schema).parquet(shared)
+    folder = F.regexp_replace(F.input_file_name(), "/[^/]*$", "")
+    empty = stored.select("run_id", folder.alias("folder")).distinct().join(stale, "run_id", "left_semi").join(rest.select("run_id").distinct(), "run_id", "left_anti")
+    gone = [r["folder"] for r in empty.toLocalIterator()]  # one name per emptied run
+    rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    for name in gone:
+        folders.delete(spark, unquote(name))
 
 
 def edit_list(clips: DataFrame, keys: list[str], fps: int = 25) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from proofsheet.operators.merge import latest
+from proofsheet.sources import folders
 
 #: A scored frame as it arrives.
 FRAME = "run_id long, filename string, scene string, mtime double, score_final double, sharpness double, face_eyes_open double, face_smile double, face_no_frown double"
@@ -116,29 +116,32 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, late: str) -> Data
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def compacting(folder: str, keys: list[str], order: list[str]):
-    """For foreachBatch: keeps in folder/<snapshot> the latest row per key. A batch that is written again changes nothing.
+def compacting(folder: str, keys: list[str], order: list[str], stored: int = 2):
+    """For foreachBatch: keeps in folder/snapshot-<number> the latest row per key. A batch that is written again changes nothing.
 
-    folder/current names the snapshot; it is replaced after the snapshot is whole, so readers see the old or the new one.
+    A snapshot counts once Spark has marked it whole, and the highest whole number is the current one: no file is ever replaced,
+    so a crash leaves the last snapshot in force. The last `stored` ones stay for readers that have begun, older ones go.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        whole = _snapshots(spark, folder)
         old = current(spark, folder)
         rows = latest(batch if old is None else old.unionByName(batch, allowMissingColumns=True), keys, order)
-        name = f"snapshot-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{folder}/{name}")
-        spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+        number = 1 + max([int(n.split("-")[1]) for n in folders.names(spark, folder) if n.startswith("snapshot-")], default=0)
+        rows.write.parquet(f"{folder}/snapshot-{number:012d}")
+        for name in folders.names(spark, folder):
+            if name.startswith("snapshot-") and name < (whole[-stored + 1 :] or [""])[0]:
+                folders.delete(spark, f"{folder}/{name}")
 
     return write
 
 
+def _snapshots(spark: SparkSession, folder: str) -> list[str]:
+    return [n for n in folders.names(spark, folder) if n.startswith("snapshot-") and folders.exists(spark, f"{folder}/{n}/_SUCCESS")]
+
+
 def current(spark: SparkSession, folder: str) -> DataFrame | None:
     """The snapshot of a compacting log, or None if there is none yet."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        name = spark.read.schema("name string").json(f"{folder}/current").first()
-    except AnalysisException:
-        return None
-    return spark.read.parquet(f"{folder}/{name['name']}") if name else None
+    whole = _snapshots(spark, folder)
+    return spark.read.parquet(f"{folder}/{whole[-1]}") if whole else None

@@ -56,6 +56,14 @@ def test_vector_library_appends_once(spark, tmp_path):
     assert {(r.run_id, r.filename) for r in sinks.library(spark, path).collect()} == {("r1", "a"), ("r2", "a")}
 
 
+def test_a_run_of_which_nothing_is_kept_goes(spark, tmp_path):
+    path = str(tmp_path / "lib")
+    rows = [("a 1", "x", 1, [1.0, 0.0]), ("b", "y", 1, [1.0, 0.0]), ("c", "z", 1, [0.0, 1.0])]
+    sinks.append_vectors(spark.createDataFrame(rows, "run_id string, filename string, mtime bigint, vector array<double>"), path)
+    sinks.prune_run(spark, path, spark.createDataFrame([("c", "z")], "run_id string, filename string"), str(tmp_path / "shared"))
+    assert [(r.run_id, r.filename) for r in sinks.library(spark, path).collect()] == [("c", "z")]
+
+
 def test_csv_ratings_and_edits(spark, tmp_path):
     df = spark.createDataFrame([("a", "keep", 0.9, [0.1], ["x"])], "filename string, decision string, score_final double, vec array<double>, flags array<string>")
     sinks.scores_csv(df, str(tmp_path / "out"))
