@@ -66,7 +66,7 @@ def mask_segments(spark, sf):
     return I.true_runs(frames(spark, sf).withColumn("f", F.col("k") >= 40), ["clip_id"], "t", "f", 1.0, 24.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAME_SQL}, w AS (SELECT clip_id, min(t) AS cut FROM v_frame GROUP BY clip_id UNION ALL SELECT w.clip_id, min(f.t) AS cut FROM w JOIN v_frame f ON f.clip_id = w.clip_id AND f.t - w.cut >= 24.0 GROUP BY w.clip_id, w.cut) SELECT clip_id, cut FROM w""")
 def merge_close_cuts(spark, sf):
     cuts = frames(spark, sf).groupBy("clip_id").agg(I.spaced(F.collect_list("t"), 24.0).alias("cuts"))
     return cuts.select("clip_id", F.explode("cuts").alias("cut"))
