@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -64,3 +65,63 @@ def test_redaction(spark):
 
 def test_empty(spark):
     assert op.digest(op.secret_spans(table(spark, []))).count() == 0
+
+
+def above(z):
+    z = min(max(z, -8.0), 8.0)
+    return 1 / (1 + math.exp(1.5976 * z + 0.07056 * z * z * z))
+
+
+def p_value(s, alphabet):
+    """The battery by plain loops."""
+    v, size, n = [alphabet.index(c) for c in s], float(len(alphabet)), float(len(s))
+    k = size - 1
+    chi = max(size / n * sum(v.count(c) ** 2 for c in set(v)) - n, 0.0)
+    scaled = max(k + (chi - k) / math.sqrt((n - 1) / n), 0.0)
+    p_chi = above(((scaled / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
+    high = [x > k / 2 for x in v]
+    n1 = float(sum(high))
+    mean = 2 * n1 * (n - n1) / n + 1
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    p_runs = 2 * above(abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 0.25)))
+    serial = sum((a - k / 2) * (b - k / 2) for a, b in zip(v, v[1:], strict=False)) / ((size * size - 1) / 12)
+    p_serial = 2 * above(abs(serial) / math.sqrt(n - 1))
+    half = -sum(math.log(max(p, 1e-12)) for p in (p_chi, p_runs, p_serial))
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def whole_brute(texts):
+    """All spans of all texts, with bounds from the histogram of the whole table."""
+    found = []
+    for i, t in enumerate(texts):
+        for m in re.finditer(op.RUN, t or ""):
+            e = next((k for k, (_, pattern, _) in enumerate(op.ENCODINGS) if re.search(pattern, m[0])), None) if re.search("[0-9]", m[0]) else None
+            if e is not None:
+                found.append((i, m.start(), m.end(), e, int(math.log2(m.end() - m.start())), p_value(m[0], op.ENCODINGS[e][2])))
+    table = {}
+    for _, _, _, e, size, p in found:
+        table.setdefault((e, size), [0] * op.STEPS)[min(int(p * op.STEPS), op.STEPS - 1)] += 1
+    bounds = {k: b for k, h in table.items() if (b := op.lowest_bound(h)) is not None}
+    out = []
+    for i, t in enumerate(texts):
+        base = brute(t)
+        more = [(a, 3, b) for j, a, b, e, size, p in found if j == i and (e, size) in bounds and p >= bounds[e, size] and not any(x < b and a < y for x, _, y in base)]
+        out.append(",".join(f"{op.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more)))
+    return out
+
+
+def test_all_spans_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(op, "RUN_OF", 7)  # matches are placed in several runs
+    rnd = random.Random(21)
+    encodings = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", op.ENCODINGS[4][2], op.ENCODINGS[5][2]]
+    texts = [None, "", "plain words"]
+    for _ in range(120):
+        parts = ["".join(rnd.choice(rnd.choice(encodings)) if rnd.random() < 0.02 else rnd.choice(a) for _ in range(rnd.randrange(20, 90))) for a in rnd.choices(encodings, k=rnd.randrange(1, 4))]
+        parts += rnd.choices(["someLongCamelCaseName123456", "ab" * 15 + "1", "password: hunter22", "é words", "0" * 30, "AKIA" + "A1" * 12], k=3)
+        rnd.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts.append(" ".join(texts[3:40]) + " filler" * 40_000 + " " + " ".join("".join(rnd.choice(encodings[0]) for _ in range(30)) for _ in range(400)))  # a long text with many matches
+    got = {r.doc_id: r.spans for r in op.digest(op.secret_spans(table(spark, texts))).collect()}
+    want = whole_brute(texts)
+    assert sum("random" in w for w in want) > 40
+    assert [got[i] for i in range(len(texts))] == want
