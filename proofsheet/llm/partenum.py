@@ -350,8 +350,8 @@ def shingle_table(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFr
     return written(found.mapInArrow(run, "node bigint, shingles array<bigint>"), "sets")
 
 
-def likely(pairs: DataFrame, known: DataFrame, size: int) -> DataFrame:
-    """Those of about `size` pairs (pivot, node) that sizes and sketches allow to link. known: node, n, sketch."""
+def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of the pairs (pivot, node) that sizes and sketches allow to link. known: node, n, sketch."""
     both = pairs.join(known.select("node", "n", F.col("sketch").alias("s")), "node").join(known.select(F.col("node").alias("pivot"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "pivot")
 
     def folded(k: str) -> Column:
@@ -363,7 +363,7 @@ def likely(pairs: DataFrame, known: DataFrame, size: int) -> DataFrame:
     apart = F.aggregate(F.zip_with(ka, kb, lambda x, y: F.bit_count(F.coalesce(x, F.lit(0)).bitwiseXOR(F.coalesce(y, F.lit(0))))), F.lit(0), lambda t, x: t + x)
     near = DEN * F.least("na", "n") >= NUM * F.greatest("na", "n")
     maybe = F.when(near, (DEN + NUM) * apart <= (DEN - NUM) * (F.col("na") + F.col("n"))).otherwise(False)
-    return written(both.filter(maybe).select("pivot", "node"), "likely", size)
+    return written(both.filter(maybe).select("pivot", "node"), "likely")
 
 
 def verified(pairs: DataFrame, sets) -> DataFrame:
@@ -467,18 +467,17 @@ def all_links(found: DataFrame, rows: DataFrame, sets) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "pivot"))
     pairs = shared.withColumn("rank", best).filter(F.col("rank") <= PIVOTS)
     pairs = written(pairs.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct(), "pairs")
-    size = pairs.count()
-    links = verified(likely(pairs, known, size), sets)
+    links = verified(likely(pairs, known), sets)
 
     # buckets whose members are in several components
     labels = connected_components(links, "pivot", "node")
     members = found.select("bucket", "node").union(found.select("bucket", F.col("pivot").alias("node"))).distinct()
     members = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     mixed = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min("node").alias("a"), F.max("node").alias("b")).filter("lo < hi")
-    mixed = written(mixed.select("bucket", "size", "a", "b"), "mixed", size)
+    mixed = written(mixed.select("bucket", "size", "a", "b"), "mixed")
     # those of two have one pair, which was held against each other unless the pivot ranked too low
     rest = mixed.filter("size = 2").select(F.col("a").alias("pivot"), F.col("b").alias("node")).distinct().join(pairs, ["pivot", "node"], "left_anti")
-    rest = likely(written(rest, "rest", size), known, size)
+    rest = likely(written(rest, "rest"), known)
     if rest.limit(1).count():
         links = links.union(verified(rest, sets))
     mixed = mixed.filter("size > 2").select("bucket")
