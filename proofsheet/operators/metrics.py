@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,14 +132,67 @@ def coverage(df: DataFrame, column: str, vocabulary: list[str]) -> DataFrame:
     return F.broadcast(names).join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("covered"))
 
 
+#: Chances of a Poisson(1) variable to be at most 0, 1, ... 5.
+_POISSON = np.array([0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582])
+
+
+def bootstrap_sums(df: DataFrame, key: str, values: dict[str, Column], rounds: int, seed: int) -> DataFrame:
+    """round and, for each name, the sum of its values, each row weighed Poisson(1) in each round by a hash of its key.
+
+    A batch is one product of its weights and values; a task gives one row per round, so no row is repeated per round.
+    """
+    names = list(values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((rounds, len(names)))
+        step = np.arange(rounds, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                x = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[:, None] + step
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                weight = np.searchsorted(_POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), "right")
+                total += weight.T.astype(np.float64) @ np.stack([part.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds, dtype=np.int32)), *[pa.array(total[:, i]) for i in range(len(names))]], ["round", *names])
+
+    rows = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_key"), *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in values.items()])
+    sums = rows.mapInArrow(run, "round int, " + ", ".join(f"{n} double" for n in names))
+    return sums.groupBy("round").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _interval(rows: DataFrame, value: str, rounds: int) -> DataFrame:
+    s = rows.agg(F.sort_array(F.collect_list(value)).alias("s"))  # one number per round
+    return s.select(F.try_element_at("s", F.lit(int(0.025 * rounds) + 1)).alias("low"), F.try_element_at("s", F.lit(min(rounds, int(0.975 * rounds) + 1))).alias("high"))
+
+
 def bootstrap_interval(df: DataFrame, key: str, value: Column, rounds: int = 200, seed: int = 7) -> DataFrame:
-    """Percentile interval of a mean: each row weighs Poisson(1) in each round, drawn from a hash of its key."""
-    u = F.pmod(F.xxhash64(F.col(key), F.col("round"), F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
-    bounds = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
-    weight = F.lit(len(bounds))
-    for i in reversed(range(len(bounds))):
-        weight = F.when(u < bounds[i], i).otherwise(weight)
-    rows = df.select(key, value.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("w", weight)
-    means = rows.groupBy("round").agg(_ratio(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("mean"))
-    s = means.agg(F.sort_array(F.collect_list("mean")).alias("s"))  # one number per round
-    return s.select(F.element_at("s", int(0.025 * rounds) + 1).alias("low"), F.element_at("s", int(0.975 * rounds)).alias("high"))
+    """Percentile interval of a mean."""
+    known = F.when(value.isNotNull(), 1.0).otherwise(0.0)
+    sums = bootstrap_sums(df, key, {"w": known, "wv": value}, rounds, seed)
+    return _interval(sums.select(_ratio(F.col("wv"), F.col("w")).alias("mean")), "mean", rounds)
+
+
+def macro_gain(cells: Column, other: Column, labels: list[str], truth: str) -> dict[str, Column]:
+    """Indicators of a row's cell under both predictions, for bootstrap_sums."""
+    each = [(f"{arm}_{i}_{j}", (F.col(truth) == t) & (p == q)) for arm, p in (("a", cells), ("b", other)) for i, t in enumerate(labels) for j, q in enumerate(labels)]
+    return {n: c.cast("double") for n, c in each}
+
+
+def bootstrap_delta(df: DataFrame, key: str, truth: str, base: str, arm: str, labels: list[str], weight: Column | None = None, rounds: int = 200, seed: int = 7) -> DataFrame:
+    """The gain of an arm's macro F1 over the base's, in points, with its percentile interval; rows are drawn in pairs."""
+    w = F.lit(1.0) if weight is None else weight
+    cells = {n: c * w for n, c in macro_gain(F.col(base), F.col(arm), labels, truth).items()}
+
+    def macro(side: str) -> Column:
+        def f1(i: int) -> Column:
+            tp = F.col(f"{side}_{i}_{i}")
+            wrong = reduce(lambda a, b: a + b, [F.col(f"{side}_{i}_{j}") + F.col(f"{side}_{j}_{i}") for j in range(len(labels)) if j != i])
+            return F.coalesce(F.try_divide(2 * tp, 2 * tp + wrong), F.lit(0.0))
+
+        return reduce(lambda a, b: a + b, [f1(i) for i in range(len(labels))]) / len(labels)
+
+    gain = ((macro("b") - macro("a")) * 100).alias("delta")
+    drawn = bootstrap_sums(df, key, cells, rounds, seed).select(gain)
+    point = df.agg(*[F.sum(F.coalesce(c, F.lit(0.0))).alias(n) for n, c in cells.items()]).select(gain)
+    return point.crossJoin(_interval(drawn, "delta", rounds))  # one row each

@@ -71,6 +71,25 @@ def similar_groups(df: DataFrame, key: str, vector: str, threshold: float, block
     return found.select(F.col("node").alias(key), F.col("component").alias("group_id"))
 
 
+def density_groups(df: DataFrame, key: str, vector: str, threshold: float, least: int) -> DataFrame:
+    """(key, cluster_id) of every row: DBSCAN over cosine similarity.
+
+    Rows with at least `least` rows within reach (themselves included) are core; core rows in reach of each other are one
+    cluster, named by its smallest core key; other rows join the smallest cluster with a core row in reach; the rest is noise, -1.
+    """
+    pairs = similar_pairs(df, key, vector, threshold).select("a", "b")
+    both = pairs.union(pairs.select("b", "a"))
+    core = both.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= least).select(F.col("a").alias("core"))
+    inner = pairs.join(core, pairs["a"] == core["core"], "left_semi").join(core, pairs["b"] == core["core"], "left_semi")
+    named = connected_components(inner, "a", "b")
+    alone = core.join(named, core["core"] == named["node"], "left_anti").select(F.col("core").alias("node"), F.col("core").alias("component"))
+    clusters = named.union(alone)
+    reach = both.join(clusters.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
+    rows = df.select(F.col(key).alias("key"))
+    out = rows.join(clusters, rows["key"] == clusters["node"], "left").join(reach, F.col("key") == F.col("a"), "left")
+    return out.select(F.col("key").alias(key), F.coalesce("component", "near", F.lit(-1)).alias("cluster_id"))
+
+
 def heroes(df: DataFrame, groups: DataFrame, key: str, score: str) -> DataFrame:
     """The best row of each group, the first of equals, and the group's size."""
     rows = groups.join(df.select(key, score), key)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from proofsheet.operators.sessions import cluster_bursts
+from proofsheet.operators.sessions import by_scene, cluster_bursts
 from proofsheet.plans.catalog import query
-from proofsheet.plans.views import PHOTO_SQL, photos
+from proofsheet.plans.views import PHOTO_SQL, photos, table
 
 GAP_S = 14400
 
@@ -40,3 +40,19 @@ PEAK_SQL = f"""{BURST_SQL}, peak AS (SELECT *, {PEAK} AS peakness, row_number()
 @query(f"WITH {PEAK_SQL} SELECT run_id, CAST(cluster_id AS BIGINT) AS cluster_id, photo_id, CAST(peak_rank AS INT) AS peak_rank FROM peak WHERE peak_rank = 0")
 def burst_peaks(spark, sf):
     return peaks(spark, sf).filter("peak_rank = 0").select("run_id", F.col("cluster_id").cast("long").alias("cluster_id"), "photo_id", "peak_rank")
+
+
+#: Seconds and similarity by scene for the test tables, whose frames are hours apart and whose vectors are alike at random.
+GAPS, ALIKE = {"a": 7200.0, "b": 20000.0}, {"a": 0.0, "b": 0.1}
+_SHOT = """sh AS (SELECT vec_id, embedding, vec_id % 5 AS run_id, CASE vec_id // 5 % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'a' ELSE 'b' END AS scene, TIMESTAMP '2024-01-01' + to_seconds(CAST(vec_id * 1000 AS BIGINT)) AS ts FROM embeddings),
+ lg AS (SELECT *, lag(scene) OVER w AS ls, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap, list_dot_product(CAST(lag(embedding) OVER w AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS cos FROM sh WINDOW w AS (PARTITION BY run_id ORDER BY ts, vec_id))"""
+
+
+@query(f"""WITH {_SHOT}, br AS (SELECT *, CASE WHEN ls = scene AND gap <= CASE scene WHEN 'a' THEN 7200000000 ELSE 20000000000 END AND cos >= CASE scene WHEN 'a' THEN 0.0 ELSE 0.1 END THEN 0 ELSE 1 END AS brk FROM lg)
+ SELECT run_id, vec_id, CAST(sum(brk) OVER (PARTITION BY run_id ORDER BY ts, vec_id) - 1 AS BIGINT) AS cluster_id FROM br""")
+def similar_bursts(spark, sf):
+    """Bursts that need the same scene, closeness in time and similarity, the last two by scene."""
+    i = F.col("vec_id")
+    shots = table(spark, sf, "embeddings").select("vec_id", "embedding", (i % 5).alias("run_id"), F.when(F.floor(i / 5) % 3 <= 1, "a").otherwise("b").alias("scene"), F.timestamp_seconds(1704067200 + i * 1000).alias("ts"))
+    found = cluster_bursts(shots, ["run_id"], "ts", "vec_id", "scene", by_scene("scene", GAPS, 0), vector="embedding", similar=by_scene("scene", ALIKE, 0))
+    return found.select("run_id", "vec_id", F.col("cluster_id").cast("long").alias("cluster_id"))

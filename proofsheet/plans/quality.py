@@ -211,3 +211,10 @@ def delivery_gate(spark, sf):
 def bootstrap_ci(spark, sf):
     t = truth(spark, sf)
     return M.bootstrap_interval(t, "doc_id", (F.col("truth") == F.col("pred")).cast("double"))
+
+
+@query()
+def bootstrap_delta(spark, sf):
+    """How sure it is that always keeping has another macro F1 than the prediction; a test holds it to plain resampling."""
+    t = truth(spark, sf).withColumn("arm", F.when(F.col("doc_id") % 3 == 0, F.col("truth")).otherwise(F.col("pred")))
+    return M.bootstrap_delta(t, "doc_id", "truth", "pred", "arm", ["keep", "maybe", "cull"])

@@ -41,9 +41,15 @@ def cross_shoot(spark, sf):
     return rows.groupBy("group_id").agg(F.count_distinct("shoot_id").alias("shoots"), F.count("*").alias("n")).filter("shoots >= 2")
 
 
-@query(f"WITH RECURSIVE {GROUP_SQL} SELECT v.vec_id, coalesce(group_id, -1) AS cluster_id FROM v_vec v LEFT JOIN grp g ON g.vec_id = v.vec_id")
+MEMBERS = 3
+_DENSE = f"""{EDGE_SQL}, twoway AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge), core AS (SELECT a AS c FROM twoway GROUP BY a HAVING count(*) + 1 >= {MEMBERS}), ce AS (SELECT a, b FROM twoway WHERE a IN (SELECT c FROM core) AND b IN (SELECT c FROM core)),
+ walk(node, seen) AS (SELECT c, c FROM core UNION SELECT w.node, e.b FROM walk w JOIN ce e ON e.a = w.seen), cl AS (SELECT node, min(seen) AS cluster FROM walk GROUP BY node), near AS (SELECT t.a, min(cluster) AS cluster FROM twoway t JOIN cl ON cl.node = t.b GROUP BY t.a)"""
+
+
+@query(f"WITH RECURSIVE {_DENSE} SELECT v.vec_id, coalesce(cl.cluster, near.cluster, -1) AS cluster_id FROM v_vec v LEFT JOIN cl ON cl.node = v.vec_id LEFT JOIN near ON near.a = v.vec_id")
 def face_clusters(spark, sf):
-    return vectors(spark, sf).select("vec_id").join(groups(spark, sf), "vec_id", "left").select("vec_id", F.coalesce("group_id", F.lit(-1)).alias("cluster_id"))
+    """Density clusters of at least MEMBERS faces; the others are noise."""
+    return S.density_groups(vectors(spark, sf), "vec_id", "embedding", LEAST, MEMBERS)
 
 
 _CENTRE = f"{VEC_SQL}, m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM v_vec, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), l AS (SELECT label, sqrt(sum(x * x)) AS len FROM m GROUP BY label), c AS (SELECT m.label, list(x / len ORDER BY i) AS centroid FROM m JOIN l ON l.label = m.label GROUP BY m.label)"
