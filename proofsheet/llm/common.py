@@ -52,3 +52,10 @@ def partitions(spark: SparkSession) -> int:
 def documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text under fixed names, so that other columns can't clash. A null text is empty."""
     return df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def free(name: str, columns: list[str]) -> str:
+    """name, with underscores in front until no column has it."""
+    while name in columns:
+        name = "_" + name
+    return name

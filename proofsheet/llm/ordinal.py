@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofsheet.llm import textkernel as tk
-from proofsheet.llm.common import documents
+from proofsheet.llm.common import documents, free
 
 #: Labelled documents of the fit, at most.
 SAMPLE = 10_000
@@ -238,15 +238,12 @@ def _flat(table: pa.Table, name: str, lengths: bool = False) -> np.ndarray:
     return np.concatenate([*chunks, np.zeros(0, chunks[0].dtype if chunks else np.int32)])
 
 
-def graded(docs: DataFrame, model: Model, text: str = "text", tail: float = TAIL) -> DataFrame:
-    """docs with expected_grade, tail_probability (of the top grade) and kept."""
-    names = ("expected_grade", "tail_probability", "kept")
+def graded(docs: DataFrame, model: Model, text: str = "text", tail: float = TAIL, names: tuple[str, str, str] = ("expected_grade", "tail_probability", "kept")) -> DataFrame:
+    """docs with expected_grade, tail_probability (of the top grade) and kept, under these or other names."""
     rows = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's features
     grades = model.grades
-    name = "_graded"
-    while name in rows.columns:
-        name = "_" + name
+    name = free("_graded", [*rows.columns, *names])
 
     @F.arrow_udf("struct<expected_grade: double, tail_probability: double>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -263,5 +260,6 @@ def graded(docs: DataFrame, model: Model, text: str = "text", tail: float = TAIL
             both = np.concatenate(part)
             yield pa.StructArray.from_arrays([pa.array(both[:, 0], from_pandas=True), pa.array(both[:, 1])], ["expected_grade", "tail_probability"])
 
-    found = rows.withColumn(name, score(F.coalesce(F.col(text), F.lit("")))).select("*", f"{name}.expected_grade", f"{name}.tail_probability").drop(name)
-    return found.withColumn("kept", (F.col("tail_probability") >= tail) | F.lit(len(grades) < 2))
+    found = rows.withColumn(name, score(F.coalesce(F.col(text), F.lit(""))))
+    found = found.select(*rows.columns, F.col(name)["expected_grade"].alias(names[0]), F.col(name)["tail_probability"].alias(names[1]))
+    return found.withColumn(names[2], (F.col(names[1]) >= tail) | F.lit(len(grades) < 2))

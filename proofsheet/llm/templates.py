@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofsheet.llm import textkernel as tk
@@ -276,20 +276,20 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     return joined.groupBy(*group).applyInArrow(_verdict, "doc_id bigint, text_hash bigint, item_id bigint, item bigint, " + LEAK.partition(", ")[2])
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumns({"_leak_key": F.col(key).cast("long"), "_leak_text": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+def _same(docs: DataFrame, key: str, text: str, found: DataFrame) -> Column:
+    """Whether rows of docs are those found, by key and text; no column is added, so none can clash."""
+    return docs[key].cast("long").eqNullSafe(found["doc_id_"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == found["text_hash"])
 
 
-def _same(found: DataFrame):
-    return F.col("_leak_key").eqNullSafe(found["doc_id_"]) & (F.col("_leak_text") == found["text_hash"])
+def _side(found: DataFrame) -> DataFrame:
+    return F.broadcast(found) if few(found, FEW) else found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the contaminated ones."""
     found = contaminations(docs, benchmark, key, text).select(F.col("doc_id").alias("doc_id_"), "text_hash").distinct()
     found = written(found, "contaminated")
-    rest = _keyed(docs, key, text).join(F.broadcast(found) if few(found, FEW) else found, _same(found), "left_anti")
-    return rest.drop("_leak_key", "_leak_text")
+    return docs.join(_side(found), _same(docs, key, text, found), "left_anti")
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -298,12 +298,12 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     found = contaminations(docs, benchmark, key, text, item_key, item_text)
     found = found.groupBy(F.col("doc_id").alias("doc_id_"), "text_hash").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("leaks"))
     found = written(found, "leaks")
-    rest = _keyed(docs.drop("leaks"), key, text).join(F.broadcast(found) if few(found, FEW) else found, _same(found), "left")
-    return rest.withColumn("leaks", F.coalesce("leaks", F.array().cast(f"array<struct<{', '.join(c.replace(' ', ': ') for c in LEAK.split(', '))}>>"))).drop("_leak_key", "_leak_text", "doc_id_", "text_hash")
+    rest = docs.drop("leaks")
+    none = F.array().cast(f"array<struct<{', '.join(c.replace(' ', ': ') for c in LEAK.split(', '))}>>")
+    return rest.join(_side(found), _same(rest, key, text, found), "left").select(*[rest[c] for c in rest.columns], F.coalesce(found["leaks"], none).alias("leaks"))
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per contaminated document and item."""
     found = written(contaminations(docs, benchmark, key, text).withColumnRenamed("doc_id", "doc_id_"), "leaks")
-    rows = _keyed(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").drop("text")
-    return rows.join(F.broadcast(found) if few(found, FEW) else found, _same(found)).select("doc_id", *[c.split()[0] for c in LEAK.split(", ")])
+    return docs.join(_side(found), _same(docs, key, text, found)).select(docs[key].alias("doc_id"), *[found[c.split()[0]] for c in LEAK.split(", ")])

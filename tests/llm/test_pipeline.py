@@ -57,3 +57,16 @@ def test_repeated_and_nameless_rows(spark):
 
 def test_run(spark):
     assert cp.run(spark, SF).count() > 100
+
+
+def test_clashing_columns_and_long_texts(spark):
+    names = ["kept", "leaks", "spans", "base_spans", "found_", "_graded", "component_id", "node", "th", "_leak_key", "expected_grade"]
+    rows = [(1, "word " * 60_000 + "password: hunter22", "s"), (2, None, None), (3, "", "s"), (None, "plain words in a row that are kept", "t")]
+    docs = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], ", ".join(["doc_id bigint", "text string", "source string", *[f"{n} string" for n in names]]))
+    for stage in (cp.near_duplicates, cp.decontamination, cp.secret_scan, cp.quality):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and (stage is cp.quality or out.count() == len(rows))
+        assert all(r[n] == "x" for r in out.collect() for n in names)
+        if stage is cp.secret_scan:
+            assert sorted(str(r.text)[-12:] for r in out.collect()) == sorted(["ord [SECRET]", "None", "", "hat are kept"])
+    assert cp.mix(spark, docs, SF).count() == len(rows)
