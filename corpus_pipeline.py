@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofsheet.llm import mixing, ordinal, partenum, secrets, templates
-from proofsheet.llm.common import few, written
+from proofsheet.llm.common import few, free, written
 from proofsheet.llm.queries import rated_grade
 
 #: Document ids that may be broadcast.
@@ -23,7 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts are graded as empty ones, repeated rows and null keys row by row; without labels, or without documents, all stay.
     """
     model = ordinal.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), rated_grade())
-    return ordinal.graded(docs, model).filter("kept").select(*docs.columns)
+    names = tuple(free(n, docs.columns) for n in ("expected_grade", "tail_probability", "kept"))
+    return ordinal.graded(docs, model, names=names).filter(F.col(names[2])).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +57,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts stay null, empty ones empty; repeated rows and null keys are handled row by row.
     """
-    changed = secrets.secret_spans(docs, spans="found_").withColumn("text", secrets.redacted(F.col("text"), F.col("found_")))
+    base, spans = (free(n, docs.columns) for n in ("base_spans", "spans"))
+    changed = secrets.secret_spans(docs, base=base, spans=spans).withColumn("text", secrets.redacted(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed = changed.withColumn("n_chars", F.when(F.size("found_") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
 
 
