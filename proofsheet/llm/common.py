@@ -49,8 +49,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of texts that go to a Python worker at once, unless the session asks for fewer.
+BATCH = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH rows: Spark's 10,000 texts would be held several times over, in the JVM and in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text under fixed names, so that other columns can't clash. A null text is empty."""
+    small_batches(df.sparkSession)
     return df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofsheet.llm import textkernel as tk
-from proofsheet.llm.common import documents, free
+from proofsheet.llm.common import documents, free, small_batches
 
 #: Labelled documents of the fit, at most.
 SAMPLE = 10_000
@@ -39,7 +39,7 @@ WORD_RIDGE, RIDGE, STEPS, RATE = 6e-4, 1e-4, 200, 0.2
 PREFIX = 5
 #: Documents are kept if the top grade has at least this probability.
 TAIL = 0.5
-SLICE = 2048
+SLICE = 512
 #: Features of the sample that a step of the fit takes at once.
 PART = 1 << 19
 
@@ -202,14 +202,14 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id
     kind = "doc_id bigint, grade int, bucket array<int>, value array<float>, word array<boolean>"
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _fit_table(pa.Table.from_batches(list(batches), SAMPLED))
+        model = fit(*_gathered(batches))
         names = np.repeat(["weight", "threshold", "grade"], [len(model.buckets), len(model.thresholds), len(model.grades)])
         place = np.concatenate([model.buckets, np.arange(len(model.thresholds)), np.arange(len(model.grades))])
         number = np.concatenate([model.weights, model.thresholds, model.grades.astype(np.float64)])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(place.astype(np.int64)), pa.array(number)], ["what", "place", "number"])
 
     # the sample is bounded, so it may meet in one task; only weights come here
-    found = rows.mapInArrow(run, kind).repartition(1).mapInArrow(fitted, "what string, place bigint, number double").toArrow()
+    found = rows.mapInArrow(run, kind).repartition(1).sortWithinPartitions("doc_id").mapInArrow(fitted, "what string, place bigint, number double").toArrow()
     what, place, number = (found.column(c).to_numpy() for c in ("what", "place", "number"))
 
     def part(name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -220,27 +220,25 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id
     return Model(*part("weight"), part("threshold")[1], part("grade")[1].astype(np.int64))
 
 
-SAMPLED = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("bucket", pa.list_(pa.int32())), ("value", pa.list_(pa.float32())), ("word", pa.list_(pa.bool_()))])
-
-
-def _fit_table(found: pa.Table) -> Model:
-    found = found.sort_by("doc_id").combine_chunks()
-    grades = found.column("grade").to_numpy().copy()
-    row = np.repeat(np.arange(len(grades), dtype=np.int32), _flat(found, "bucket", True))
-    bucket, value, word = (_flat(found, c) for c in ("bucket", "value", "word"))
-    del found
-    return fit(row, bucket, value, word, grades)
-
-
-def _flat(table: pa.Table, name: str, lengths: bool = False) -> np.ndarray:
-    """The values of a column of lists, or the lists' lengths, apart from the table's memory."""
-    chunks = [(c.value_lengths() if lengths else c.flatten()).to_numpy(zero_copy_only=False) for c in table.column(name).chunks]
-    return np.concatenate([*chunks, np.zeros(0, chunks[0].dtype if chunks else np.int32)])
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """Row, bucket, value and word of each feature of the sample, and the grades; a batch goes as soon as it is copied."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int32, np.int32, np.float32, bool, np.int32)]
+    n = 0
+    for batch in batches:
+        lists = [batch.column(c) for c in ("bucket", "value", "word")]
+        held = lists[0].value_lengths().to_numpy(zero_copy_only=False)
+        parts[0].append(np.repeat(np.arange(n, n + len(held), dtype=np.int32), held))
+        for to, x in zip(parts[1:4], lists, strict=True):
+            to.append(np.array(x.flatten().to_numpy(zero_copy_only=False)))
+        parts[4].append(np.array(batch.column("grade").to_numpy(zero_copy_only=False)))
+        n += len(held)
+    return tuple(np.concatenate(parts.pop(0)) for _ in range(5))
 
 
 def graded(docs: DataFrame, model: Model, text: str = "text", tail: float = TAIL, names: tuple[str, str, str] = ("expected_grade", "tail_probability", "kept")) -> DataFrame:
     """docs with expected_grade, tail_probability (of the top grade) and kept, under these or other names."""
     rows = docs.drop(*names)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's features
     grades = model.grades
     name = free("_graded", [*rows.columns, *names])

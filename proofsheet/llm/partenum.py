@@ -55,11 +55,11 @@ NUM, DEN = 75, 100
 WORDS = 5
 
 #: Documents signed together, and counted together for frequent shingles.
-SLICE, COUNTED = 512, 4096
+SLICE, COUNTED = 512, 1024
 #: Bits of a partition's number where a slice is sorted in one word: 10 for the role, these, and 32 of the shingle.
 PART_BITS = 22
 #: A shingle is listed as frequent if some COUNTED documents have it this often; of these the FREQUENT most frequent are kept.
-OFTEN, FREQUENT = 4, 1 << 16
+OFTEN, FREQUENT = 3, 1 << 16
 #: Rows of two numbers (nodes, or keys of documents) that may be broadcast.
 FEW = 500_000
 #: Pivots that a node is first held against.

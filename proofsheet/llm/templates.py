@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofsheet.llm import textkernel as tk
-from proofsheet.llm.common import few, written
+from proofsheet.llm.common import few, small_batches, written
 from proofsheet.llm.ordinal import _PUNCTUATION
 
 WINDOW, COVER, RUN = 12, 0.5, 24
@@ -265,6 +265,7 @@ FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id"
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, text_hash, item_id, item and the verdict of each contaminated document and item, once for equal rows."""
+    small_batches(docs.sparkSession)
     index = written(item_windows(benchmark, item_key, item_text), "index")
     windows = index.count()
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
