@@ -28,22 +28,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each component of similar documents, and documents without words.
+    """Keep one document of each component of similar ones, and documents without words.
 
-    Rows that repeat a doc_id stay once; rows without one can't stand for a component and stay once per text.
+    A document is a key with a text: texts that share a doc_id are told apart. The smallest doc_id of a component stays; of its
+    texts the one with the smallest hash. Rows that repeat key and text stay once, the first by their other columns; rows
+    without a key can't stand for a component and stay once per text.
     """
-    found = written(partenum.jaccard_components(docs), "components")
-    out = docs.filter("doc_id is not null")
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    out = out.join(F.broadcast(gone) if few(gone, FEW) else gone, "doc_id", "left_anti")
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    found = written(partenum.components_by_text(docs).select("doc_id", "text_hash", "n_shingles", "component"), "components")
+    keyed = found.filter("n_shingles > 0 and doc_id is not null")
+    stays = keyed.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("component", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("least_hash"))
+    own = keyed.join(stays, "component").filter((F.col("doc_id") != F.col("least")) | (F.col("text_hash") != F.col("least_hash")))
+    gone = written(own.select(F.col("doc_id").alias("key_"), F.col("text_hash").alias("hash_")).distinct(), "gone")
+    out = docs.join(F.broadcast(gone) if few(gone, FEW) else gone, _same(docs, gone), "left_anti")
+    again = found.groupBy(F.col("doc_id").alias("key_"), F.col("text_hash").alias("hash_")).count().filter("count > 1").select("key_", "hash_")
+    again = written(again, "again")
     if again.limit(1).count():
-        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    if found.filter("doc_id is null").limit(1).count():
-        out = out.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+        least = F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.to_json(F.struct(*[docs[c] for c in docs.columns if c != "text"])))
+        once = out.join(again, _same(docs, again)).groupBy("key_", "hash_").agg(least.alias("row_")).select("row_.*")
+        out = out.join(again, _same(docs, again), "left_anti").unionByName(once)
     return out.select(*docs.columns)
 
 
+def _same(docs: DataFrame, keys: DataFrame):
+    """Whether a row of docs has one of the keys and texts."""
+    return docs["doc_id"].cast("long").eqNullSafe(keys["key_"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keys["hash_"])
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, re-parameterised or not.
 

@@ -495,6 +495,14 @@ def all_links(found: DataFrame, rows: DataFrame, sets) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
+    return components_by_text(docs, key, text).select("doc_id", "n_shingles", "component_id")
+
+
+def components_by_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and component of each row.
+
+    component, a hash, tells components apart even where keys are null or stand for several texts; null without shingles.
+    """
     parts = partitions(docs.sparkSession)
     source = documents(docs, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     first = written(nodes_and_frequent(source), "nodes")
@@ -515,7 +523,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     least = nodes.select("node", "least")
     grouped = labels.join(least, "node")
-    component = grouped.join(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    named = least.join(component, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    component = grouped.join(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component", "component_id")
+    named = least.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
     out = rows.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), own, F.when(F.col("n") > 0, F.col("component")).alias("component"))

@@ -55,6 +55,16 @@ def test_repeated_and_nameless_rows(spark):
     assert cp.secret_scan(spark, docs, SF).count() == len(rows) and cp.decontamination(spark, docs, SF).count() == len(rows)
 
 
+def test_one_key_with_unlike_texts(spark):
+    a, b = "one two three four five six seven eight nine ten", "red orange yellow green blue violet pink brown grey black"
+    rows = [(1, a, "s"), (5, a, "s"), (5, b, "t"), (5, b, "s"), (7, b, "s"), (None, a, "s"), (None, a, "s"), (None, "only this text has no key at all", "u")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = [(1, a, "s"), (5, b, "s"), (None, a, "s"), (None, "only this text has no key at all", "u")]
+    for _ in range(2):
+        out = cp.near_duplicates(spark, docs.repartition(5), SF).collect()
+        assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+
+
 def test_run(spark):
     assert cp.run(spark, SF).count() > 100
 
