@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import bloomlm, hostrules, licences, mixing, ordinal, partenum, secrets, templates, tokencount, tokenfiles, warc
+from proofsheet.llm import bloomlm, hostrules, importance, licences, mixing, ordinal, partenum, secrets, templates, tokencount, tokenfiles, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,6 +92,14 @@ def op6_language_scores(spark: SparkSession, sf: str) -> DataFrame:
     return bloomlm.language_scores(_table(spark, sf, "documents"), least=1)
 
 
+@_query
+def op11_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+SQL["op11_importance"] = importance.SQL
+
+
 @_query
 def op12_token_files(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
