@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsheet.llm import bloomlm, hostrules, importance, licences, mixing, ordinal, partenum, secrets, templates, tokencount, tokenfiles, warc
+from proofsheet.llm import bloomlm, hostrules, importance, lexical, licences, mixing, ordinal, partenum, secrets, templates, tokencount, tokenfiles, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,6 +107,14 @@ def op12_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return tokenfiles.round_trip(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(lexical.build(_table(spark, sf, "documents")), _table(spark, sf, "benchmark")).drop("item")
+
+
+SQL["op13_lexical_search"] = lexical.SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
