@@ -56,6 +56,10 @@ WORDS = 5
 
 #: Documents signed together, and counted together for frequent shingles.
 SLICE, COUNTED = 512, 1024
+#: Bytes of text of a slice, about: one longer text is a slice of its own.
+SLICE_BYTES = 4 << 20
+#: Shingles, counted over all documents, for each part of the signature space, which one task holds whole.
+PART_SHINGLES = 500_000
 #: Bits of a partition's number where a slice is sorted in one word: 10 for the role, these, and 32 of the shingle.
 PART_BITS = 22
 #: A shingle is listed as frequent if some COUNTED documents have it this often; of these the FREQUENT most frequent are kept.
@@ -97,10 +101,12 @@ def sketches(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int):
-    """(batch, shingle values, sizes) of at most `rows` documents at a time."""
+    """(batch, shingle values, sizes) of at most `rows` documents at a time, and of about SLICE_BYTES of text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
+        ends, at = tk.buffers(batch.column("text"))[1], 0
+        while at < batch.num_rows:
+            stop = int(np.clip(np.searchsorted(ends, ends[at] + SLICE_BYTES), at + 1, min(at + rows, batch.num_rows)))
+            part, at = batch.slice(at, stop - at), stop
             yield part, *tk.shingle_sets(*tk.word_hashes(part.column("text")), WORDS)
 
 
@@ -503,13 +509,16 @@ def components_by_text(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     component, a hash, tells components apart even where keys are null or stand for several texts; null without shingles.
     """
-    parts = partitions(docs.sparkSession)
     source = documents(docs, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     first = written(nodes_and_frequent(source), "nodes")
     rows = first.filter("not frequent").drop("frequent")
     top = first.filter("frequent").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).select("node").collect()
     frequent = np.sort(np.array([r[0] for r in top], np.int64)).view(np.uint64)
 
+    # a part of the signature space is one task's: their number follows from what was counted, not from the session alone
+    shingles = rows.agg(F.sum("n")).first()[0] or 0
+    parts = max(partitions(docs.sparkSession), -(-shingles // PART_SHINGLES))
+
     nodes = written(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "least")
     # a copy needs no signatures; where copies are many, each slice signs its own, to the same end
     copied = rows.join(nodes.filter("copies > 1").select("node", "least"), "node").filter("doc_id != least").select(F.col("doc_id").alias("k_"), F.col("th").alias("t_")).distinct()
