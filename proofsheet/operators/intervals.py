@@ -75,7 +75,8 @@ def true_runs(df: DataFrame, keys: list[str], time: str, flag: str, hop: float,
 
 def replay(ops: DataFrame, keys: list[str]) -> DataFrame:
     """Deleted spans after an ordered list of operations (seq, op, s, e): delete adds, restore takes away, undo takes the last
-    one back, redo returns it. A session's operations depend on each other, so a session is one group; sessions run in parallel.
+    one back, redo returns it. A delete or restore of an empty or reversed span is no operation: it neither enters the history
+    nor ends what redo may return. A session's operations depend on each other, so a session is one group; sessions run in parallel.
     """
     import pandas as pd
 
@@ -102,7 +103,7 @@ def replay(ops: DataFrame, keys: list[str]) -> DataFrame:
                 undone += [done.pop()] if done else []
             elif op == "redo":
                 done += [undone.pop()] if undone else []
-            else:
+            elif e > s:
                 done.append((op, s, e))
                 undone = []
         spans = reduce(lambda held, o: merged([*held, o[1:]]) if o[0] == "delete" else without(held, o[1], o[2]), done, [])

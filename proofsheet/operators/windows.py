@@ -73,9 +73,14 @@ def prefix_until(keys: list[str], order: list, length: str, target: float, most:
     return (before < target) & (F.row_number().over(w) <= most)
 
 
-def reel(df: DataFrame, keys: list[str], least: int = 3, most: int = 8, overlap: float = 0.6, floor: float = 0.05, gap_s: float = 3.0, same: float = 0.4) -> DataFrame:
+def reel(df: DataFrame, keys: list[str], least: int = 10, most: int = 20, overlap: float = 0.6, floor: float = 0.05, gap_s: float = 3.0, same: float = 0.4) -> DataFrame:
     """Greedy choice of diverse windows of each clip: base score times novelty, overlapping ones dropped.
 
+    Novelty is 1 less the largest likeness to a window chosen before: the overlap over the shorter of the two, or `same` if
+    their scenes are one (null is none) and at most gap_s lies between them. Windows that overlap a choice by more than
+    `overlap` go; once `least` are chosen, a best one of a novelty under `floor` ends the choice. Of equal values the first by
+    start, end and number is taken.
+
     df has start_s, end_s, base, scene and a window_no per key. Each choice depends on those before, so a clip is one group;
     a clip's windows are few and clips run in parallel.
     """
@@ -86,15 +91,15 @@ def reel(df: DataFrame, keys: list[str], least: int = 3, most: int = 8, overlap:
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pool = list(pdf.sort_values(["start_s", "end_s", "window_no"]).itertuples(index=False))
         chosen: list = []
-        near = lambda a, b: same if a.scene == b.scene and max(a.start_s, b.start_s) - min(a.end_s, b.end_s) <= gap_s else 0.0
+        share = lambda a, b: max(0.0, min(a.end_s, b.end_s) - max(a.start_s, b.start_s)) / short if (short := min(a.end_s - a.start_s, b.end_s - b.start_s)) > 0 else 0.0
+        one = lambda a, b: same if pd.notna(a.scene) and a.scene == b.scene and max(a.start_s, b.start_s) - min(a.end_s, b.end_s) <= gap_s else 0.0
         while pool and len(chosen) < most:
-            scored = [(w.base * (nov := 1 - max([near(w, c) for _, _, c in chosen], default=0.0)), nov, w) for w in pool]
+            scored = [(w.base * (nov := min(1.0, max(0.0, 1 - max([max(share(w, c), one(w, c)) for _, _, c in chosen], default=0.0)))), nov, w) for w in pool]
             value, novelty, best = max(scored, key=lambda x: x[0])
             if len(chosen) >= least and novelty < floor:
                 break
             chosen.append((value, novelty, best))
-            share = lambda w: max(0.0, min(w.end_s, best.end_s) - max(w.start_s, best.start_s)) / max(1e-9, min(w.end_s - w.start_s, best.end_s - best.start_s))  # noqa: B023, E731
-            pool = [w for w in pool if w is not best and share(w) <= overlap]
+            pool = [w for w in pool if w is not best and share(w, best) <= overlap]
         chosen.sort(key=lambda x: -x[0])
         rows = [{**{k: getattr(w, k) for k in keys}, "rank": i + 1, "window_no": w.window_no, "score": v, "novelty": n} for i, (v, n, w) in enumerate(chosen)]
         return pd.DataFrame(rows, columns=[*keys, "rank", "window_no", "score", "novelty"])

@@ -86,9 +86,22 @@ def why_low(spark, sf):
     return f.join(m, "clip_id").select("frame", F.when(F.greatest(a, b) < 0.05, None).when(a >= b, "sharp").otherwise("score").alias("why"))
 
 
-@query()
+_LIKE = "greatest(CASE WHEN least(w.e - w.s, c.e - c.s) > 0 THEN greatest(least(w.e, c.e) - greatest(w.s, c.s), 0.0) / least(w.e - w.s, c.e - c.s) ELSE 0.0 END, CASE WHEN w.scene = c.scene AND greatest(w.s, c.s) - least(w.e, c.e) <= 3.0 THEN 0.4 ELSE 0.0 END)"
+_SHARE = "CASE WHEN least(w.e - w.s, best.e - best.s) > 0 THEN greatest(least(w.e, best.e) - greatest(w.s, best.s), 0.0) / least(w.e - w.s, best.e - best.s) ELSE 0.0 END"
+
+
+@query(f"""WITH RECURSIVE {_SLIDE}, a AS (SELECT clip_id, window_no, (avg(score_final) + max(sharp)) / 2 * least(greatest(0.30 * least(greatest(1 - stddev_pop(score_final) / 0.25, 0.0), 1.0) + 0.20 * least(count(*) / 3.0, 1.0) + 0.25 * least(greatest(max(sharp), 0.0), 1.0) + 0.25, 0.0), 1.0) AS base, min(scene) AS scene FROM s GROUP BY ALL),
+ g AS (SELECT clip_id, list({{'no': window_no, 's': window_no * 24.0, 'e': window_no * 24.0 + 72.0, 'scene': scene, 'base': base}} ORDER BY window_no) AS pool FROM a GROUP BY clip_id),
+ r AS (SELECT clip_id, 0 AS n, pool, [] :: STRUCT("no" BIGINT, s DOUBLE, e DOUBLE, scene VARCHAR, base DOUBLE, nov DOUBLE, val DOUBLE)[] AS chosen FROM g
+ UNION ALL SELECT clip_id, n + 1, list_filter(pool, lambda w: w."no" <> best."no" AND {_SHARE} <= 0.6), list_append(chosen, best) FROM
+ (SELECT *, list_reduce(scored, lambda x, y: CASE WHEN y.val > x.val THEN y ELSE x END) AS best FROM
+ (SELECT clip_id, n, pool, chosen, list_transform(list_transform(pool, lambda w: struct_insert(w, nov := CAST(least(greatest(1 - coalesce(list_max(list_transform(chosen, lambda c: {_LIKE})), 0.0), 0.0), 1.0) AS DOUBLE))), lambda w: struct_insert(w, val := w.base * w.nov)) AS scored FROM r WHERE n < 20 AND len(pool) > 0)) WHERE n < 10 OR best.nov >= 0.05),
+ last AS (SELECT clip_id, unnest(chosen) AS c FROM (SELECT clip_id, arg_max(chosen, n) AS chosen FROM r GROUP BY clip_id))
+ SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY c.val DESC, c."no") AS INT) AS rank, c."no" AS window_no, c.val AS score, c.nov AS novelty FROM last""")
 def reel_candidates(spark, sf):
-    w = slid(spark, sf).select("clip_id", "window_no", (F.col("window_no") * 24.0).alias("start_s"), (F.col("window_no") * 24.0 + 72.0).alias("end_s"), (F.col("mean_final") * F.col("confidence")).alias("base"), "scene")
+    """Base: mean quality and peak, halved, times confidence."""
+    base = (F.col("mean_final") + F.col("peak")) / 2 * F.col("confidence")
+    w = slid(spark, sf).select("clip_id", "window_no", (F.col("window_no") * 24.0).alias("start_s"), (F.col("window_no") * 24.0 + 72.0).alias("end_s"), base.alias("base"), "scene")
     return W.reel(w, KEYS)
 
 

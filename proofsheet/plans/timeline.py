@@ -72,8 +72,21 @@ def merge_close_cuts(spark, sf):
     return cuts.select("clip_id", F.explode("cuts").alias("cut"))
 
 
-@query()
+_KIND = "CASE WHEN k % 10 = 9 THEN 'undo' WHEN k % 10 = 8 THEN 'redo' WHEN k % 3 = 0 THEN 'restore' ELSE 'delete' END"
+_JOIN = "list_reduce(list_transform(list_sort(list_append(held, o)), lambda x: [x]), lambda a, x: CASE WHEN x[1].s - a[-1].e <= 0.04 THEN list_append(a[:-2], {'s': a[-1].s, 'e': greatest(a[-1].e, x[1].e)}) ELSE list_append(a, x[1]) END)"
+_LESS = "list_filter(flatten(list_transform(held, lambda x: [{'s': x.s, 'e': least(x.e, o.s)}, {'s': greatest(x.s, o.e), 'e': x.e}])), lambda x: x.e - x.s > 0.04)"
+
+
+@query(f"""WITH RECURSIVE {FRAME_SQL}, o AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY frame) AS i, {_KIND} AS op, t AS s, t + k / 2.0 AS e FROM v_frame),
+ h AS (SELECT DISTINCT clip_id, CAST(0 AS BIGINT) AS i, [] :: STRUCT(op VARCHAR, s DOUBLE, e DOUBLE)[] AS done, [] :: STRUCT(op VARCHAR, s DOUBLE, e DOUBLE)[] AS undone FROM o
+ UNION ALL SELECT h.clip_id, o.i, CASE WHEN op = 'undo' THEN done[:-2] WHEN op = 'redo' THEN CASE WHEN len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END WHEN e > s THEN list_append(done, {{'op': op, 's': s, 'e': e}}) ELSE done END,
+ CASE WHEN op = 'undo' THEN CASE WHEN len(done) > 0 THEN list_append(undone, done[-1]) ELSE undone END WHEN op = 'redo' THEN undone[:-2] WHEN e > s THEN [] ELSE undone END FROM h JOIN o ON o.clip_id = h.clip_id AND o.i = h.i + 1),
+ l AS (SELECT clip_id, arg_max(done, i) AS done FROM h GROUP BY clip_id),
+ f AS (SELECT clip_id, CAST(0 AS BIGINT) AS i, done, [] :: STRUCT(s DOUBLE, e DOUBLE)[] AS held FROM l
+ UNION ALL SELECT clip_id, i + 1, done, CASE WHEN kind = 'delete' THEN {_JOIN} ELSE {_LESS} END FROM (SELECT clip_id, i, done, held, done[i + 1].op AS kind, {{'s': done[i + 1].s, 'e': done[i + 1].e}} AS o FROM f WHERE i < len(done)))
+ SELECT clip_id, x.s AS s, x.e AS e FROM (SELECT clip_id, unnest(held) AS x FROM (SELECT clip_id, arg_max(held, i) AS held FROM f GROUP BY clip_id))""")
 def edit_replay(spark, sf):
+    """Operations with k = 0 are empty."""
     op = F.when(F.col("k") % 10 == 9, "undo").when(F.col("k") % 10 == 8, "redo").when(F.col("k") % 3 == 0, "restore").otherwise("delete")
     ops = frames(spark, sf).select("clip_id", F.col("frame").alias("seq"), op.alias("op"), F.col("t").alias("s"), (F.col("t") + F.col("k") / 2).alias("e"))
     return I.replay(ops, ["clip_id"])
