@@ -8,10 +8,10 @@ batch i // BATCH, and its ids and mask are slices of mapped memory without a cop
 vocabulary allows. The last sequence of a file is filled up with the end id under a false mask. A second small file holds
 doc_id, start and n_tokens of each document of the first one. A file that holds ROLL tokens ends with its document.
 
-Encoding. Before merging, a byte-level BPE tokenizer cuts a text by a pattern none of whose matches crosses from a printed
-character into a following space. So at a single space between two plainly printed characters a text may be cut and its
-parts encoded apart, each with its space in front. Parts repeat, so a worker remembers the ids that the library gave them
-(REMEMBERED at most). Texts that hold an added token go to the library whole.
+Encoding. Before it merges, a byte-level BPE tokenizer cuts a text into pieces by a pattern; each piece is merged by itself.
+Pieces repeat, so a worker remembers the ids that the library's merges gave them. Texts of Latin characters are cut by a
+pattern of plain classes, others of AGREED characters by the vocabulary's own, both as the library cuts them (tests ask it
+about each character); texts with any other character, or with an added token, go to the library whole.
 
 Commit is that of operator 4: files get temporary names unique to the attempt, Spark keeps the manifest rows of the attempts
 that count, those files are renamed, and MANIFEST.json comes last. Rows should come from a table, so that a task that runs
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,16 +40,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.llm.common import documents, partitions, shared_dir, written
-from proofsheet.llm.tokencount import _tokenizer
+from proofsheet.llm.tokencount import AGREED, PATTERN, _byte_letters, _tokenizer
 from proofsheet.llm.warc import _open, commit
 
 #: Tokens of a sequence, and sequences of a record batch.
 LENGTH, BATCH = 2048, 64
 #: Bytes of text of a shard, about; tokens after which a file ends with its document.
 SHARD, ROLL = 16 << 20, 64 << 20
-#: Parts of texts that a worker remembers before it starts afresh, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 64
-#: Characters of a text that are cut into parts at once.
+#: Pieces that a worker remembers, about (twice: those before are looked at too).
+REMEMBERED = 500_000
+#: Characters of a text that are cut into pieces at once.
 PIECE = 1 << 20
 END = 2
 
@@ -56,56 +57,62 @@ MANIFEST = "kind string, shard int, seq int, temporary string, name string, reco
 #: Shards whose sizes are summed up together.
 GROUP = 1024
 
-#: A space between two printed characters of these ranges, which no library takes for white space.
+#: A space between two printed characters of these ranges: a new piece begins there.
 SPACE = re.compile(r" (?<=[!-~¡-ӿ] )(?=[!-~¡-ӿ])")
 
+#: Letters, numbers and white space among the first characters, up to the last of LATIN.
+LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_NUMBER, _WHITE = "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+#: The vocabulary's pattern in these classes.
+LATIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[{_NUMBER}]+| ?[^{_WHITE}{LATIN}{_NUMBER}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+").findall
+
 
 class Encoder:
     """In a worker: ids of texts, as bytes of `dtype`."""
 
     def __init__(self, path: str):
+        import regex
+
         self.tok = _tokenizer(path)
-        self.dtype = id_type(self.tok)
-        added = [re.escape(x["content"]) for x in json.loads(self.tok.to_str())["added_tokens"]]
-        self.odd = re.compile("|".join(added)).search if added else lambda text: None
+        self.model, self.dtype = self.tok.model, id_type(self.tok)
+        added = [regex.escape(x["content"]) for x in json.loads(self.tok.to_str())["added_tokens"]]
+        self.odd = regex.compile("|".join([*added, f"[^{AGREED}]"])).search
+        self.wide, self.any = re.compile(f"[^\0-{LATIN[-1]}]").search, regex.compile(PATTERN).findall
+        self.letters = {b: c for c, b in _byte_letters().items()}
         self.known: dict[str, bytes] = {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.before: dict[str, bytes] = {}
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The text's ids, in one or more pieces."""
-        if not text or self.odd(text):
-            yield from self.library([text]) if text else ()
+        if self.odd(text):
+            yield np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
             return
-        at, begun = 0, False
+        split, at = self.any if self.wide(text) else LATIN_PIECES, 0
         while at < len(text):
             cut = SPACE.search(text, at + PIECE) if len(text) - at > PIECE else None
-            piece, at = (text[at:], len(text)) if cut is None else (text[at : cut.start()], cut.end())
-            parts = SPACE.split(piece)
-            if not begun:
-                yield from self.library(parts[:1])
-                parts, begun = parts[1:], True
-            yield self.joined(parts)
-
-    def joined(self, parts: list[str]) -> bytes:
-        """Ids of parts that all have a space in front."""
-        known = self.known
+            end = cut.start() if cut else len(text)
+            yield self.joined(split(text[at:end]))
+            at = end
+
+    def joined(self, pieces: list[str]) -> bytes:
         try:
-            return b"".join(map(known.__getitem__, parts))
+            return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        missing = list({p for p in parts if p not in known})
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            known.update(zip(some, self.library([f" {p}" for p in some]), strict=True))
-        out = b"".join(map(known.__getitem__, parts))
-        for p in missing:
-            if len(p) > LONGEST:
-                del known[p]
-        return out
+            self.learn(set(pieces))
+        return b"".join(map(self.known.__getitem__, pieces))
+
+    def learn(self, pieces: set[str]) -> None:
+        """Know the ids of these pieces: from before, or by the library's merges."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before, kind = self.known, self.before, self.dtype.str[1:]
+        tokenize, letters, code = self.model.tokenize, self.letters, {"u2": "H", "u4": "I"}[kind]
+        for piece in [p for p in pieces if p not in known]:
+            ids = before.get(piece)
+            if ids is None:
+                found = tokenize(piece.encode().decode("latin-1").translate(letters))
+                ids = struct.pack(f"<{len(found)}{code}", *[t.id for t in found])
+            known[piece] = ids
 
 
 def id_type(tok) -> np.dtype:

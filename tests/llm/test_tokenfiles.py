@@ -24,12 +24,12 @@ def want(rows):
     return out
 
 
-TEXTS = [None, "", " ", "a b", " a  b ", "it's we'll 've 's", "x<|endoftext|>y <|endoftext|>", "tab\tnew\nline \n x y  z", "naïve café ñ été", "日本語 テスト \U0001f600 x", "ab " * 3000, "y" * 5000, "0 1 22 333 ''s !! ?", "\x1c a \x1d b\x85 c"]
+TEXTS = [None, "", " ", "a b", " a  b ", "it's we'll 've 's", "x<|endoftext|>y <|endoftext|>", "tab\tnew\nline \n x y  z", "naïve café ñ été", "日本語 テスト \U0001f600 x", "ab " * 3000, "y" * 5000, "0 1 22 333 ''s !! ?", "\x1c a \x1d b\x85 c", "a\rb c\rd \r e"]
 
 
 def test_parts_encode_as_the_whole(monkeypatch):
     rnd, tok = random.Random(1), _tokenizer(PATH)
-    pieces = ["a", "the", " ", "  ", "\n", "'s", "'", "9", "é", " ", "\x1c", "　", "日", "!", "<|endoftext|>", "­", "́", "ж", "퟿", " ", " x"]
+    pieces = ["a", "the", " ", "  ", "\n", "'s", "'", "9", "é", " ", "\x1c", "　", "日", "!", "<|endoftext|>", "\r", "­", "́", "ж", "퟿", " ", " x"]
     texts = [t or "" for t in TEXTS] + ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(60))) for _ in range(3000)]
     for piece, remembered in ((1 << 20, 1000), (5, 3)):
         monkeypatch.setattr(op, "PIECE", piece)
@@ -39,6 +39,13 @@ def test_parts_encode_as_the_whole(monkeypatch):
             assert np.frombuffer(b"".join(coder.encode(t)), coder.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_latin_pieces_are_the_library_s():
+    pre = _tokenizer(PATH).pre_tokenizer
+    for c in range(ord(op.LATIN[-1]) + 1):
+        for text in (f"a{chr(c)}1{chr(c)}!{chr(c)}  {chr(c)}b{chr(c)}{chr(c)} {chr(c)}", f"{chr(c)} '{chr(c)}'s"):
+            assert [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)] == op.LATIN_PIECES(text), hex(c)
+
+
 @pytest.mark.parametrize(("shard", "roll", "length"), [(16 << 20, 64 << 20, 2048), (4000, 700, 8)])
 def test_files_round_trip(spark, tmp_path, monkeypatch, shard, roll, length):
     monkeypatch.setattr(op, "SHARD", shard)
