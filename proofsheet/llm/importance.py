@@ -92,9 +92,9 @@ def noise(key: Column, seed: int = SEED) -> Column:
 def weights(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", target_text: str = "text") -> DataFrame:
     """row, doc_id, n_features, weight of each document."""
     items = numbered(target.withColumn("key_", F.lit(0)), "key_", target_text)
-    counted = written(counts(items), "target-buckets", BUCKETS)
+    counted = written(counts(items), "target-buckets")
     rows = numbered(docs, key, text)
-    gained = written(gains(counts(rows), counted), "gains", BUCKETS)
+    gained = written(gains(written(counts(rows), "source-buckets"), counted), "gains", BUCKETS)
     found = features(rows).join(F.broadcast(gained), "bucket", "left")  # BUCKETS rows at most
     return found.groupBy("row", "doc_id").agg(F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("weight"))
 
