@@ -49,7 +49,7 @@ def test_latin_pieces_are_the_library_s():
 @pytest.mark.parametrize(("shard", "roll", "length"), [(16 << 20, 64 << 20, 2048), (4000, 700, 8)])
 def test_files_round_trip(spark, tmp_path, monkeypatch, shard, roll, length):
     monkeypatch.setattr(op, "SHARD", shard)
-    rows = [(i * 5 % len(TEXTS) - 3, t) for i, t in enumerate(TEXTS)]
+    rows = [(i * 7 % len(TEXTS) - 3, t) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, start string").repartition(3)
     folder = str(tmp_path / "out")
     manifest = op.write(df, folder, PATH, length=length, roll=roll)
