@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.functions.columns import dot, unit
+from proofsheet.operators import places
 from proofsheet.operators.graph import connected_components
 
 
@@ -191,17 +192,5 @@ def near_points(df: DataFrame, key: str, lat: str, lon: str, km: Column, radius_
 
 
 def near_groups(df: DataFrame, key: str, lat: str, lon: str, km: Column, radius_km: float) -> DataFrame:
-    """(a, b) edges whose components are those of all pairs within a radius, without all pairs of a crowded spot.
-
-    Points of one small cell (its diagonal under the radius) are all within the radius of each other: each links to the cell's
-    smallest key, and only different cells are compared, by their distinct positions.
-    """
-    small = radius_km / 110.0 / 2
-    row = F.floor(F.col(lat) / small)
-    # cells are as wide in degrees as their end nearer to the equator allows
-    width = small / F.cos(F.radians(F.least(F.greatest(F.abs(row * small) - small, F.lit(0.0)), F.lit(85.0))))
-    known = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(key).alias("key"), F.col(lat).alias("la_"), F.col(lon).alias("lo_"), row.alias("_y"), F.floor(F.col(lon) / width).alias("_x"))
-    head = known.groupBy("_y", "_x").agg(F.min("key").alias("head"))
-    inside = known.join(head, ["_y", "_x"]).filter("key != head").select(F.col("head").alias("a"), F.col("key").alias("b"))
-    spots = known.groupBy("la_", "lo_").agg(F.min("key").alias("key"))  # equal positions share their neighbours
-    return inside.union(near_points(spots, "key", "la_", "lo_", km, radius_km))
+    """(a, b) edges whose components are those of all pairs within a radius: see operators.places."""
+    return places.linked(df, key, lat, lon, km, radius_km)
