@@ -12,6 +12,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofsheet.operators.graph import _kept
+
 #: Fewest rows of an axis that a regressor is trained on.
 LEAST_ROWS = 50
 TREES, DEPTH, SEED = 10, 3, 7
@@ -28,12 +30,13 @@ def _stages(numbers: list[str], names: list[str]) -> list:
     index = StringIndexer(inputCols=names, outputCols=[f"_{c}_i" for c in names], handleInvalid="keep") if names else None
     hot = OneHotEncoder(inputCols=[f"_{c}_i" for c in names], outputCols=[f"_{c}_h" for c in names], handleInvalid="keep") if names else None
     columns = [f"_{c}" for c in numbers] + [f"{c}__missing" for c in numbers] + [f"_{c}_h" for c in names]
-    return [s for s in (filled, index, hot, VectorAssembler(inputCols=columns, outputCol="_x")) if s is not None]
+    return [s for s in (filled, index, hot, VectorAssembler(inputCols=columns, outputCol="__features__")) if s is not None]
 
 
-def train_classifier(rows: DataFrame, label: str, numbers: list[str], names: list[str] | None = None) -> PipelineModel:
-    """Boosted trees for a label of 0 and 1. rows: a feature_table."""
-    return Pipeline(stages=[*_stages(numbers, names or []), GBTClassifier(labelCol=label, featuresCol="_x", maxIter=TREES, maxDepth=DEPTH, seed=SEED)]).fit(rows)
+def train_classifier(rows: DataFrame, label: str, numbers: list[str], names: list[str] | None = None, even: bool = True) -> PipelineModel:
+    """Boosted trees for a label of 0 and 1; both classes weigh the same, unless `even` is off. rows: a feature_table."""
+    trees = GBTClassifier(labelCol=label, featuresCol="__features__", maxIter=TREES, maxDepth=DEPTH, seed=SEED, **({"weightCol": "weight"} if even else {}))
+    return Pipeline(stages=[*_stages(numbers, names or []), trees]).fit(balanced(rows.drop("weight"), label) if even else rows)
 
 
 def scored(model: PipelineModel, rows: DataFrame, keep_from: float = 0.5) -> DataFrame:
@@ -46,7 +49,7 @@ def scored(model: PipelineModel, rows: DataFrame, keep_from: float = 0.5) -> Dat
 def train_axes(rows: DataFrame, axes: list[str], numbers: list[str], least: int = LEAST_ROWS) -> dict[str, PipelineModel]:
     """A regressor for each axis that has enough stars."""
     counts = rows.agg(*[F.count(a).alias(a) for a in axes]).first()
-    fit = lambda a: Pipeline(stages=[*_stages(numbers, []), GBTRegressor(labelCol=a, featuresCol="_x", predictionCol=f"{a}_stars", maxIter=TREES, maxDepth=DEPTH, seed=SEED)]).fit(rows.filter(F.col(a).isNotNull()))
+    fit = lambda a: Pipeline(stages=[*_stages(numbers, []), GBTRegressor(labelCol=a, featuresCol="__features__", predictionCol=f"{a}_stars", maxIter=TREES, maxDepth=DEPTH, seed=SEED)]).fit(rows.filter(F.col(a).isNotNull()))
     return {a: fit(a) for a in axes if counts[a] >= least}
 
 
@@ -62,8 +65,28 @@ def axis_stars(models: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
 
 
 def folds(rows: DataFrame, key: str, label: str, k: int) -> DataFrame:
-    """rows with fold 0 .. k - 1 by a hash of the key and the label: of each label about an equal part, without an order over all rows."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64(key, label), F.lit(k)).cast("int"))
+    """rows with fold 0 .. k - 1: of each label the folds' numbers differ by one at most.
+
+    Rows are sorted by ranges of (label, hash of the key); a row's number within its label is its place in its part and the
+    label's rows in the parts before, so no label comes to one task. Null labels are a label. Rows that repeat a key, even with
+    another label, may fall apart into several folds.
+    """
+    ordered = rows.repartitionByRange(label, F.xxhash64(key)).sortWithinPartitions(label, F.xxhash64(key), key)
+    placed = _kept(ordered.withColumn("_place", F.monotonically_increasing_id()), "folds").withColumn("_part", F.shiftright("_place", 33))
+    parts = placed.groupBy("_part", F.col(label).alias("_of")).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("_part").alias("_in"), "_of", "_first", before.alias("_before"))  # one row for each part and label
+    on = (placed["_part"] == parts["_in"]) & placed[label].eqNullSafe(parts["_of"])
+    number = F.col("_before") + F.col("_place") - F.col("_first")
+    return placed.join(F.broadcast(parts), on).withColumn("fold", (number % k).cast("int")).select(*rows.columns, "fold")
+
+
+def balanced(rows: DataFrame, label: str) -> DataFrame:
+    """rows with weight: the number of rows over that of classes times that of the row's class; null labels get 0."""
+    sizes = rows.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("_of")).agg(F.count("*").alias("_n"))
+    whole = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_classes"))  # one row
+    table = sizes.join(F.broadcast(whole)).select("_of", (F.col("_all") / (F.col("_classes") * F.col("_n"))).alias("weight"))
+    return rows.join(F.broadcast(table), rows[label] == table["_of"], "left").select(*rows.columns, F.coalesce("weight", F.lit(0.0)).alias("weight"))  # one row per class
 
 
 def out_of_fold(rows: DataFrame, key: str, label: str, numbers: list[str], names: list[str], k: int) -> DataFrame:
@@ -72,6 +95,15 @@ def out_of_fold(rows: DataFrame, key: str, label: str, numbers: list[str], names
     return reduce(DataFrame.unionByName, [scored(train_classifier(dealt.filter(F.col("fold") != i), label, numbers, names), dealt.filter(F.col("fold") == i)) for i in range(k)])
 
 
+def saved(model: PipelineModel, path: str) -> None:
+    """Write a model, in place of one that is there."""
+    model.write().overwrite().save(path)
+
+
+def loaded(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def auc(rows: DataFrame, keys: list[str], label: str, score: str, least: int = 3) -> DataFrame:
     """Area under the ROC curve by key, by rank sums over different scores (ties count half); null under `least` rows of a class."""
     at = rows.groupBy(*keys, score).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1 - F.col(label).cast("double")).alias("n"))
