@@ -1,11 +1,12 @@
 """Operator 10: benchmark decontamination by template canonicalisation.
 
 A text becomes a sequence of tokens: its words without ASCII punctuation and case. Words with a digit become the placeholder
-of numbers, those of UNITS that of units, and capitalised words inside a sentence that of names; each keeps its word as slot
+of numbers, those of UNITS that of units, and capitalised words that of names, but for common OPENERS at the beginning of a
+sentence, which stay literal; each keeps its word as slot
 value. Windows of WINDOW tokens are hashed twice: as templates, with placeholders, if at least half of them is literal, and
 plainly, by their words. So a question matches whatever numbers, names and units it is asked with, and a verbatim copy matches
-however dense in them it is and however it is wrapped or cased. The first word of an item is tried as a name too, since a copy
-may stand inside a sentence.
+however dense in them it is and however it is wrapped or cased. An opener that begins an item is tried as a name too,
+since a copy may stand inside a sentence.
 
 The windows of documents join those of the benchmark on their hash. Before that, a bit filter of the benchmark's hashes
 (broadcast; at most 2**MOST_BITS bits, whatever the benchmark's size) sends away almost all windows of documents where they
@@ -49,6 +50,17 @@ day days week weeks month months year years meter meters metre metres kilometer
 kilograms liter liters litre litres inch inches foot feet yard yards pound pounds ounce ounces dollar dollars euro euros cent cents usd eur
 percent degree degrees kb mb gb tb hz khz mhz ghz w kw v a n j kj pa kpa mol""".split()
 
+#: Words that often begin a sentence and are no names there.
+OPENERS = """a about above according across after again all along already also although always among an and another any anyone anything are
+around as ask assume at because before behind below between beyond both but by calculate can choose consider could define describe
+determine did do does during each either even every everyone everything explain few finally find first for from given had has have he
+her here hers his how however i if imagine in instead into is it its just last later let list long make many maybe most much my name
+near neither never next no nobody none nor not nothing now of often on once one only or other our out over perhaps please prove read
+second see select several shall she should show since so some someone something sometimes soon state still such suppose take than that
+the their them then there these they this those though through thus to today together tomorrow too two under unless until up upon us use
+was we were what whatever when whenever where whether which while who whoever whom whose why will with within without would write yes
+yesterday yet you your""".split()
+
 LITERAL, NUMBER, UNIT, NAME, OPENING = range(5)
 
 _U = np.uint64
@@ -69,16 +81,22 @@ def _stripped(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return hashed, n, first
 
 
-def _unit_hashes() -> np.ndarray:
-    return np.sort(tk.word_hashes(pa.array(UNITS))[0])
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.sort(tk.word_hashes(pa.array(words))[0])
+
+
+_UNIT_HASHES, _OPENER_HASHES = _hashes(UNITS), _hashes(OPENERS)
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
-_UNIT_HASHES = _unit_hashes()
 _PLACEHOLDER = np.array([0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333, 0], np.uint64)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hash and class of each token of each row, and the tokens per row. OPENING: literal, but would be a name elsewhere."""
+    """Word hash and class of each token of each row, and the tokens per row. OPENING: an opener at its place, literal, but a name elsewhere."""
     raw, at = tk.buffers(column)
     hashes, kinds, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)], [np.zeros(0, np.int64)]
     last_end, last_row = 0, -1
@@ -98,8 +116,8 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             opens[0] = _ENDS[raw[last_end - 1]] or bool((raw[last_end : start + s[0]] == 0x0A).any())
         kind = np.full(len(s), LITERAL, np.int8)
         capital = (first >= 0x41) & (first <= 0x5A)
-        kind[capital] = np.where(opens[capital], OPENING, NAME)
-        kind[_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)] == h] = UNIT
+        kind[capital] = np.where(opens[capital] & _among(h[capital], _OPENER_HASHES), OPENING, NAME)
+        kind[_among(h, _UNIT_HASHES)] = UNIT
         kind[digits[e] > digits[s]] = NUMBER
         last_end, last_row = int(e[-1]) + start, int(r[-1])
         keep = n > 0
