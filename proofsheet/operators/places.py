@@ -2,8 +2,8 @@
 
 Points fall into cells whose diagonal is under the radius, so a cell's points are one place and each links to the cell's
 first. Two cells link by one witness. Whether they do is read off their points' bounding boxes: too far apart at the nearest,
-or near enough at the farthest. Only pairs of cells that the boxes leave open are cut into quarters and looked at again, until
-a quarter has one position; then the distance decides. So edges number points plus pairs of neighbouring cells, however many
+or near enough at the farthest. Only pairs of cells that the boxes leave open, and that no chain of cells joins by then, are cut into
+quarters and looked at again, until a quarter has one position; then the distance decides. So edges number points plus pairs of neighbouring cells, however many
 points stand in one spot.
 
 Defined results: points without a position are in no edge; equal positions are one place; an empty table has no edges. Points
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofsheet.functions.columns import EARTH_KM
+from proofsheet.operators.graph import connected_components
 from proofsheet.session import shared_folder
 
 #: Kilometres of a degree, at least; cells of one degree's rows that a radius may cross.
@@ -89,22 +90,45 @@ def linked(df: DataFrame, key: str, lat: str, lon: str, km: Column, radius_km: f
     asked = other.select(*[F.col(k).alias(f"a_{k}") for k in [*cell, *BOX, "head"]], F.col("oy").alias("b_y"), F.col("ox").alias("b_x"))
     pairs = _kept(_decided(asked.join(_side(boxes, "b", cell), ["b_y", "b_x"]), km, radius_km), "cell-pairs")
 
-    roots = ["a_y", "a_x", "b_y", "b_x"]
+    # pairs of cells are known by their first points; pairs whose cells are one place already need no second look
+    roots, quarter = ["a_root", "b_root"], ["q", "r"]
     found = [pairs.filter("verdict").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))]
-    open_pairs, parts = pairs.filter("verdict is null").select(*roots, F.lit(0).cast("bigint").alias("a_q"), F.lit(0).cast("bigint").alias("a_r"), F.lit(0).cast("bigint").alias("b_q"), F.lit(0).cast("bigint").alias("b_r")), 1
+    ids = [F.lit(0).cast("bigint").alias(f"{s}_{k}") for s in "ab" for k in quarter]
+    open_pairs = _apart_still(pairs.filter("verdict is null").select(F.col("a_head").alias("a_root"), F.col("b_head").alias("b_root"), *ids), found)
+    parts = 1
     while open_pairs.limit(1).count():
         parts *= 2
-        mine = open_pairs.select(F.col("a_y").alias("y"), F.col("a_x").alias("x")).union(open_pairs.select("b_y", "b_x")).distinct()
+        mine = boxes.join(open_pairs.select(F.col("a_root").alias("head")).union(open_pairs.select("b_root")).distinct(), "head", "left_semi").select(*cell, F.col("head").alias("root"))
         # quarters of quarters, numbered within the cell
         q, r = F.floor((F.col("la") - F.col("y") * side) / (side / parts)), F.floor((F.col("lo") - F.col("x") * _width(F.col("y"), side)) / (_width(F.col("y"), side) / parts))
-        small = _kept(_boxes(points.join(mine, cell, "left_semi").withColumns({"q": q, "r": r}), [*cell, "q", "r"]), "quarters")
-        parent = lambda b, s: _side(b, s, [*cell, "q", "r"]).withColumns({f"{s}_oq": F.col(f"{s}_q"), f"{s}_or": F.col(f"{s}_r")}).withColumns({f"{s}_q": F.floor(F.col(f"{s}_q") / 2), f"{s}_r": F.floor(F.col(f"{s}_r") / 2)})
-        both = open_pairs.join(parent(small, "a"), ["a_y", "a_x", "a_q", "a_r"]).join(parent(small, "b"), ["b_y", "b_x", "b_q", "b_r"])
+        small = _kept(_boxes(points.join(mine, cell).withColumns({"q": q, "r": r}), ["root", *quarter]), "quarters")
+
+        def half(s: str) -> DataFrame:
+            """The boxes as side s, by the quarter that they were cut from; own numbers as nq and nr."""
+            named = _side(small, s, ["root", *quarter])  # noqa: B023
+            return named.withColumns({f"{s}_n{k}": F.col(f"{s}_{k}") for k in quarter}).withColumns({f"{s}_{k}": F.floor(F.col(f"{s}_{k}") / 2) for k in quarter})
+
+        both = open_pairs.join(half("a"), ["a_root", "a_q", "a_r"]).join(half("b"), ["b_root", "b_q", "b_r"])
         looked = _kept(_decided(both, km, radius_km), "quarter-pairs")
-        near = looked.filter("verdict").groupBy(*roots).agg(F.min(F.struct("a_head", "b_head")).alias("w"))
-        found.append(near.select(F.col("w.a_head").alias("a"), F.col("w.b_head").alias("b")))
-        still = looked.filter("verdict is null").join(near.select(*roots), roots, "left_anti")
-        open_pairs = _kept(still.select(*roots, F.col("a_oq").alias("a_q"), F.col("a_or").alias("a_r"), F.col("b_oq").alias("b_q"), F.col("b_or").alias("b_r")), "open")
+        witness = looked.filter("verdict").select(*roots).distinct()
+        # a witness joins its two cells, whose first points stand for them
+        found.append(witness.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        still = looked.filter("verdict is null").select(*roots, *[F.col(f"{s}_n{k}").alias(f"{s}_{k}") for s in "ab" for k in quarter])
+        open_pairs = _apart_still(still, found)
     for more in found:
         inside = inside.union(more)
     return inside
+
+
+def _apart_still(open_pairs: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """The open pairs whose cells the links don't join yet."""
+    rows = _kept(open_pairs, "open")
+    if not rows.limit(1).count():
+        return rows
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.union(more)
+    named = _kept(connected_components(edges, "a", "b"), "joined")
+    of = lambda s: named.select(F.col("node").alias(f"{s}_root"), F.col("component").alias(f"{s}_place"))
+    placed = rows.join(of("a"), "a_root", "left").join(of("b"), "b_root", "left")
+    return _kept(placed.filter(F.coalesce("a_place", "a_root") != F.coalesce("b_place", "b_root")).select(*rows.columns), "open")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.functions.columns import dot, unit
-from proofsheet.operators import places
+from proofsheet.operators import near, places
 from proofsheet.operators.graph import connected_components
 
 
@@ -35,40 +35,14 @@ def block_count(df: DataFrame, vector: str) -> int:
     return max(1, -(-held["n"] * max(held["w"] or 1, 1) // BLOCK_VALUES))
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, cos) of all pairs a < b with cosine >= threshold.
+def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """(a, b, cos) of all pairs a < b with cosine >= threshold: see operators.near."""
+    return near.pairs(df, key, vector, threshold)
 
-    Rows are dealt by a hash to as many blocks as their number asks for (counted); each pair of blocks is one group, whose
-    products are matrix multiplications in numpy. The exact join is quadratic in products, but no table has all pairs and no
-    task more than two blocks.
-    """
-    blocks = blocks or max(block_count(df, vector), 3)  # three give six tasks to a small table
-    rows = df.select(F.col(key).alias("key"), F.col(vector).alias("v")).withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "v")
-
-    def multiply(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        keys, own = t.column("key").to_numpy(), t.column("own").to_numpy()
-        m = matrix(t.column("v"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b, c = [], [], []
-        for at in range(0, len(left), 1024):
-            cos = m[left[at : at + 1024]] @ m[right].T
-            x, y = np.nonzero(cos >= threshold)
-            ka, kb = keys[left[at + x]], keys[right[y]]
-            use = ka < kb if i == j else ka != kb
-            a.append(np.minimum(ka, kb)[use])
-            b.append(np.maximum(ka, kb)[use])
-            c.append(cos[x, y][use])
-        return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)]), "cos": np.concatenate([*c, np.zeros(0)])})
-
-    return rows.groupBy("i", "j").applyInArrow(multiply, "a bigint, b bigint, cos double")
-
-
-def similar_groups(df: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None) -> DataFrame:
-    """(key, group_id) of rows that reach another one by similar pairs; the group is named by its smallest key."""
-    found = connected_components(similar_pairs(df, key, vector, threshold, blocks), "a", "b")
+
+def similar_groups(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """(key, group_id) of rows that reach another one by similar pairs, which are never written; the group is named by its smallest key."""
+    found = connected_components(near.links(df, key, vector, threshold), "a", "b")
     return found.select(F.col("node").alias(key), F.col("component").alias("group_id"))
 
 
