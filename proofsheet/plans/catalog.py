@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from proofsheet.plans import bursts, deliver, frames, library, logs, models, people, quality, rubric, scoring, sidecars, signals, similar, sound, telemetry, text, timeline  # noqa: F401
+    from proofsheet.plans import bursts, deliver, facets, frames, library, logs, models, people, quality, rubric, scoring, sidecars, signals, similar, sound, telemetry, text, timeline  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
