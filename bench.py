@@ -9,10 +9,11 @@ import time
 from proofsheet.plans import catalog
 from proofsheet.session import session
 
-#: One of each kind: sessions, decisions, metrics, logs, similarity, windows, intervals.
+#: One of each kind: sessions, decisions, metrics, logs, similarity, windows, intervals, signals, text, models, telemetry, sound.
 HEADLINE = [
     "burst_peaks", "burst_summary", "fuse_decide", "rubric_stars", "bias_findings", "threshold_grid", "compact_log", "session_conflicts",
     "near_dup_groups", "vector_topk", "face_clusters", "gps_clusters", "tumbling_windows", "sliding_windows", "span_union", "span_subtract", "keyword_band_join", "trim_plan",
+    "temporal_scores", "rubric_axes", "sort_modes", "transcript_clauses", "burst_blend", "facet_chains", "telemetry_positions", "sound_frames",
 ]
 
 
