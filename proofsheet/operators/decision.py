@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.functions.columns import clamp
@@ -144,8 +144,14 @@ def style_modes(r: dict[str, Column]) -> Column:
 
 
 def adaptive_band(df: DataFrame, keys: list[str], score: str, target: float | None = None) -> DataFrame:
-    """Keep and cull bounds of each key from truncated quartiles, half-way to .65 and .40; for 20 rows and more."""
-    s = F.sort_array(F.collect_list(score))
-    q = lambda p: F.element_at("s", (F.floor(F.col("n") * p) + 1).cast("int"))
-    out = df.filter(F.col(score).isNotNull()).groupBy(*keys).agg(s.alias("s"), F.count("*").alias("n")).filter("n >= 20")
-    return out.select(*keys, "n", (0.5 * q(0.75) + 0.5 * 0.65).alias("keep_min"), (0.5 * q(0.25) + 0.5 * 0.40).alias("cull_max"))
+    """Keep and cull bounds of each key from truncated quartiles, half-way to .65 and .40; for 20 rows and more.
+
+    Rows of equal score are counted together before the order, so a key comes as its different scores, never as one list.
+    """
+    at = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.count("*").alias("_k"))
+    up = Window.partitionBy(*keys).orderBy("_s")
+    at = at.withColumns({"_upto": F.sum("_k").over(up), "_n": F.sum("_k").over(Window.partitionBy(*keys))})
+    q = lambda p: F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * p), F.col("_s")))
+    out = at.groupBy(*keys).agg(F.max("_n").alias("n"), q(0.75).alias("_high"), q(0.25).alias("_low")).filter("n >= 20")
+    return out.select(*keys, "n", (0.5 * F.col("_high") + 0.5 * 0.65).alias("keep_min"), (0.5 * F.col("_low") + 0.5 * 0.40).alias("cull_max"))
+

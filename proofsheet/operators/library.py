@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofsheet.functions.columns import dot
+from proofsheet.operators.similarity import in_blocks, matrix
 
 #: Expected share of kept photos, how far a user's share may shift the threshold, and the base thresholds.
 KEEP_RATE, SHIFT, KEEP, MAYBE = 0.65, 0.08, 0.62, 0.45
@@ -17,8 +20,6 @@ LABEL_VECTORS, FRAGMENTED = 16, 14
 ONE_SCENE, TWO_SCENES, UNKNOWN, FEWEST = 0.60, 0.95, 0.30, 10
 #: A judge must lead the rules by this much.
 LEAD = 0.02
-#: Evidence of one face.
-FACE = 0.15
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -86,10 +87,20 @@ def kept_vectors(library: DataFrame, label: str, order: list[Column], most: int
 
 
 def continuity(current: DataFrame, library: DataFrame, vector: str, least: float = 0.5) -> DataFrame:
-    """How many centres of a run match some centre of the library, and their share. The library holds few vectors of a label."""
-    other = library.select(F.col(vector).alias("_v"))
-    met = current.join(other, dot(F.col(vector), F.col("_v")) >= least, "left_semi")
-    return current.agg(F.count("*").alias("n")).crossJoin(met.agg(F.count("*").alias("matched"))).withColumn("share", F.try_divide(F.col("matched"), F.col("n")))
+    """How many centres of a run match some centre of the library, and their share. The library comes in blocks of a bounded size."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                held = batch.column("held").slice(0, 1).flatten()
+                hit = np.flatnonzero((matrix(batch.column("_v")) @ matrix(held.field("qv")).T >= least).any(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(hit))], ["_row"])
+
+    rows = current.select(F.monotonically_increasing_id().alias("_row"), F.col(vector).alias("_v"))
+    blocks = in_blocks(library.select(F.monotonically_increasing_id().alias("_q"), vector), "_q", vector)
+    found = reduce(DataFrame.union, [rows.crossJoin(F.broadcast(block)).mapInArrow(met, "_row bigint") for block in blocks])
+    matched = found.agg(F.count_distinct("_row").alias("matched"))  # one row
+    return current.agg(F.count("*").alias("n")).crossJoin(matched).withColumn("share", F.try_divide(F.col("matched"), F.col("n")))
 
 
 def cluster_summary(rows: DataFrame, photo: str, clusters: str) -> DataFrame:
