@@ -95,23 +95,24 @@ class Encoder:
             at = end
 
     def joined(self, pieces: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            self.learn(set(pieces))
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known = self.known
+        missing = [p for p in set(pieces) if p not in known]
+        if missing:
+            self.learn(missing)
         return b"".join(map(self.known.__getitem__, pieces))
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, missing: list[str]) -> None:
         """Know the ids of these pieces: from before, or by the library's merges."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
-        known, before, kind = self.known, self.before, self.dtype.str[1:]
-        tokenize, letters, code = self.model.tokenize, self.letters, {"u2": "H", "u4": "I"}[kind]
-        for piece in [p for p in pieces if p not in known]:
+        known, before, tokenize, letters = self.known, self.before, self.model.tokenize, self.letters
+        code = "<%d" + {"u2": "H", "u4": "I"}[self.dtype.str[1:]]
+        for piece in missing:
             ids = before.get(piece)
             if ids is None:
-                found = tokenize(piece.encode().decode("latin-1").translate(letters))
-                ids = struct.pack(f"<{len(found)}{code}", *[t.id for t in found])
+                # printed ASCII stands for itself in the vocabulary, but for the space
+                found = tokenize(piece.replace(" ", letters[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(letters))
+                ids = struct.pack(code % len(found), *[t.id for t in found])
             known[piece] = ids
 
 
