@@ -124,6 +124,13 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, word: np.ndarray, grade: np.ndarray) -> Model:
     """Weights and thresholds of the sample's rows 0 .. len(grade) - 1."""
+    return fit_held([row, bucket, value, word, grade])
+
+
+def fit_held(held: list[np.ndarray]) -> Model:
+    """As fit; the list is emptied, so that an array goes as soon as it is done with."""
+    row, bucket, value, word, grade = held
+    held.clear()
     grades, y = np.unique(grade, return_inverse=True)
     known = np.flatnonzero(np.bincount(bucket, minlength=1 << BITS) >= LEAST)
     place = np.full(1 << BITS, -1, np.int32)
@@ -135,6 +142,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, word: np.ndarray
     n, k = len(grade), len(grades)
     is_word = np.zeros(len(known), bool)
     is_word[index[word]] = True
+    del bucket, word, use, place
     if k < 2:
         return Model(known[:0], np.zeros(0), np.zeros(0), grades)
     share = np.cumsum(np.bincount(y))[:-1] / n
@@ -202,7 +210,8 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id
     kind = "doc_id bigint, grade int, bucket array<int>, value array<float>, word array<boolean>"
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = fit(*_gathered(batches))
+        held = list(_gathered(batches))
+        model = fit_held(held)
         names = np.repeat(["weight", "threshold", "grade"], [len(model.buckets), len(model.thresholds), len(model.grades)])
         place = np.concatenate([model.buckets, np.arange(len(model.thresholds)), np.arange(len(model.grades))])
         number = np.concatenate([model.weights, model.thresholds, model.grades.astype(np.float64)])
