@@ -9,7 +9,7 @@ from proofsheet.functions.columns import haversine_km
 from proofsheet.operators import similarity as S
 from proofsheet.operators.graph import connected_components
 from proofsheet.plans.catalog import query
-from proofsheet.plans.views import PHOTO_SQL, VEC_SQL, photos, vectors
+from proofsheet.plans.views import PHOTO_SQL, VEC_SQL, photos, table, vectors
 
 LEAST = 0.40
 EDGE_SQL = f"{VEC_SQL}, edge AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cos FROM v_vec a JOIN v_vec b ON a.vec_id < b.vec_id WHERE list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {LEAST})"
@@ -122,3 +122,14 @@ def track_length(spark, sf):
     g = geo(spark, sf).withColumn("track", F.col("photo_id") % 5)
     g = g.withColumns({"la": F.lag("lat").over(w), "lo": F.lag("lon").over(w)}).filter("la is not null")
     return g.groupBy("track").agg(F.sum(haversine_km(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))).alias("km"))
+
+
+@query("SELECT c_custkey AS photo_id, min(c_custkey) OVER (PARTITION BY c_custkey % 50) AS place_id FROM customer")
+def crowded_places(spark, sf):
+    """Fifty places, each a chain of crowded spots a third of a kilometre apart, over two kilometres from the next place."""
+    i = F.col("c_custkey")
+    jitter = lambda k: (i * k % 1000 - 500) * 1e-7
+    at = table(spark, sf, "customer").select(i.alias("photo_id"), (40 + (i % 50) * 0.02 + jitter(7919)).alias("lat"), (2 + (F.floor(i / 50) % 20) * 0.004 + jitter(104729)).alias("lon"))
+    edges = S.near_groups(at, "photo_id", "lat", "lon", haversine_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob")), 0.5)
+    named = connected_components(edges, "a", "b")
+    return at.join(named, at["photo_id"] == named["node"], "left").select("photo_id", F.coalesce("component", "photo_id").alias("place_id"))
