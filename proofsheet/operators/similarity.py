@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from proofsheet.functions.columns import dot, unit
 from proofsheet.operators import near, places
-from proofsheet.operators.graph import connected_components
+from proofsheet.operators.graph import _kept, connected_components
 
 
 #: Values (rows times dimensions) of a block of vectors.
@@ -49,20 +49,19 @@ def similar_groups(df: DataFrame, key: str, vector: str, threshold: float) -> Da
 def density_groups(df: DataFrame, key: str, vector: str, threshold: float, least: int) -> DataFrame:
     """(key, cluster_id) of every row: DBSCAN over cosine similarity.
 
-    Rows with at least `least` rows within reach (themselves included) are core; core rows in reach of each other are one
+    Three passes over pairs of blocks (counts, edges between core rows, borders) instead of a table of pairs. Rows with at least `least` rows within reach (themselves included) are core; core rows in reach of each other are one
     cluster, named by its smallest core key; other rows join the smallest cluster with a core row in reach; the rest is noise, -1.
     """
-    pairs = similar_pairs(df, key, vector, threshold).select("a", "b")
-    both = pairs.union(pairs.select("b", "a"))
-    core = both.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= least).select(F.col("a").alias("core"))
-    inner = pairs.join(core, pairs["a"] == core["core"], "left_semi").join(core, pairs["b"] == core["core"], "left_semi")
-    named = connected_components(inner, "a", "b")
-    alone = core.join(named, core["core"] == named["node"], "left_anti").select(F.col("core").alias("node"), F.col("core").alias("component"))
-    clusters = named.union(alone)
-    reach = both.join(clusters.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-    rows = df.select(F.col(key).alias("key"))
-    out = rows.join(clusters, rows["key"] == clusters["node"], "left").join(reach, F.col("key") == F.col("a"), "left")
-    return out.select(F.col("key").alias(key), F.coalesce("component", "near", F.lit(-1)).alias("cluster_id"))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
+    core = _kept(near.degrees(rows, "key", "v", threshold).select("key", (F.col("n") + 1 >= least).alias("is_core")), "degrees")
+    named = connected_components(near.links(rows.join(core.filter("is_core"), "key", "left_semi"), "key", "v", threshold), "a", "b")
+    # a core row that no other core row is near is a cluster of its own
+    clusters = _kept(core.filter("is_core").join(named.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("cluster")), "clusters")
+    # rows that are near some other, but no core, ask for the smallest cluster that they are near
+    tagged = rows.join(core.select("key"), "key", "left_semi").join(clusters, "key", "left")
+    reach = near.least_tags(tagged, "key", "v", threshold, "cluster").union(clusters)
+    out = rows.select("key").join(reach.withColumnsRenamed({"key": "_of", "tag": "cluster"}), F.col("key") == F.col("_of"), "left")
+    return out.select(F.col("key").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster_id"))
 
 
 def heroes(df: DataFrame, groups: DataFrame, key: str, score: str) -> DataFrame:
