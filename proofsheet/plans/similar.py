@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofsheet.functions.columns import haversine_km
 from proofsheet.operators import similarity as S
 from proofsheet.operators.graph import connected_components
+from proofsheet.operators.members import middles
 from proofsheet.plans.catalog import query
 from proofsheet.plans.views import PHOTO_SQL, VEC_SQL, photos, table, vectors
 
@@ -70,8 +71,8 @@ def suggest_labels(spark, sf):
  SELECT label, vec_id, round(median(cos), 5) AS mid, round(min(cos), 5) AS low FROM p GROUP BY ALL""")
 def cluster_precision(spark, sf):
     """Each member's similarities within its cluster, over all members."""
-    pairs = S.member_similarities(vectors(spark, sf), "label", "vec_id", "embedding")
-    return pairs.groupBy("label", "vec_id").agg(F.round(F.median("cos"), 5).alias("mid"), F.round(F.min("cos"), 5).alias("low"))
+    found = middles(vectors(spark, sf), "label", "vec_id", "embedding")
+    return found.select("label", "vec_id", F.round("mid", 5).alias("mid"), F.round("low", 5).alias("low"))
 
 
 @query(f"WITH {VEC_SQL}, q AS (SELECT embedding AS q FROM v_vec WHERE vec_id = 7) SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 5) AS cos FROM v_vec, q ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) DESC, vec_id LIMIT 10")
