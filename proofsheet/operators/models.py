@@ -25,18 +25,21 @@ def feature_table(df: DataFrame, numbers: list[str]) -> DataFrame:
     return df.withColumns(known).withColumns({f"{c}__missing": F.col(c).isNull().cast("int") for c in numbers})
 
 
-def _stages(numbers: list[str], names: list[str]) -> list:
-    filled = Imputer(inputCols=numbers, outputCols=[f"_{c}" for c in numbers], strategy="median")
+def _stages(rows: DataFrame, numbers: list[str], names: list[str]) -> list:
+    """What comes before the trees. A number that all rows miss has no median and tells nothing: only its indicator is a feature."""
+    known = rows.agg(*[F.count(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in numbers]).first() if numbers else {}
+    held = [c for c in numbers if known[c]]
+    filled = Imputer(inputCols=held, outputCols=[f"_{c}" for c in held], strategy="median") if held else None
     index = StringIndexer(inputCols=names, outputCols=[f"_{c}_i" for c in names], handleInvalid="keep") if names else None
     hot = OneHotEncoder(inputCols=[f"_{c}_i" for c in names], outputCols=[f"_{c}_h" for c in names], handleInvalid="keep") if names else None
-    columns = [f"_{c}" for c in numbers] + [f"{c}__missing" for c in numbers] + [f"_{c}_h" for c in names]
+    columns = [f"_{c}" for c in held] + [f"{c}__missing" for c in numbers] + [f"_{c}_h" for c in names]
     return [s for s in (filled, index, hot, VectorAssembler(inputCols=columns, outputCol="__features__")) if s is not None]
 
 
 def train_classifier(rows: DataFrame, label: str, numbers: list[str], names: list[str] | None = None, even: bool = True) -> PipelineModel:
     """Boosted trees for a label of 0 and 1; both classes weigh the same, unless `even` is off. rows: a feature_table."""
     trees = GBTClassifier(labelCol=label, featuresCol="__features__", maxIter=TREES, maxDepth=DEPTH, seed=SEED, **({"weightCol": "weight"} if even else {}))
-    return Pipeline(stages=[*_stages(numbers, names or []), trees]).fit(balanced(rows.drop("weight"), label) if even else rows)
+    return Pipeline(stages=[*_stages(rows, numbers, names or []), trees]).fit(balanced(rows.drop("weight"), label) if even else rows)
 
 
 def scored(model: PipelineModel, rows: DataFrame, keep_from: float = 0.5) -> DataFrame:
@@ -49,7 +52,12 @@ def scored(model: PipelineModel, rows: DataFrame, keep_from: float = 0.5) -> Dat
 def train_axes(rows: DataFrame, axes: list[str], numbers: list[str], least: int = LEAST_ROWS) -> dict[str, PipelineModel]:
     """A regressor for each axis that has enough stars."""
     counts = rows.agg(*[F.count(a).alias(a) for a in axes]).first()
-    fit = lambda a: Pipeline(stages=[*_stages(numbers, []), GBTRegressor(labelCol=a, featuresCol="__features__", predictionCol=f"{a}_stars", maxIter=TREES, maxDepth=DEPTH, seed=SEED)]).fit(rows.filter(F.col(a).isNotNull()))
+
+    def fit(axis: str) -> PipelineModel:
+        held = rows.filter(F.col(axis).isNotNull())
+        trees = GBTRegressor(labelCol=axis, featuresCol="__features__", predictionCol=f"{axis}_stars", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
+        return Pipeline(stages=[*_stages(held, numbers, []), trees]).fit(held)
+
     return {a: fit(a) for a in axes if counts[a] >= least}
 
 

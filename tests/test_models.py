@@ -63,3 +63,9 @@ def test_weights_find_the_rare_class(spark, tmp_path):
     O.saved(model, str(tmp_path / "m"))
     a, b = ({r.key: r.prob_keep for r in O.scored(m, df).collect()} for m in (model, O.loaded(str(tmp_path / "m"))))
     assert a == b
+
+
+def test_an_axis_whose_rows_all_miss_a_number_is_trained(spark):
+    rows = O.feature_table(spark.range(200).selectExpr("id", "cast(null as double) as lap", "id / 200 as sharp", "1 + 4 * id / 200 as clear"), ["lap", "sharp"])
+    got = O.axis_stars(O.train_axes(rows, ["clear"], ["lap", "sharp"]), rows).collect()
+    assert len(got) == 200 and max(abs(r.clear - r.clear_stars) for r in got) < 1
