@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Digits that values are compared in: means of the same numbers agree in them, whatever the order of their sums.
+DIGITS = 12
+
+
 def centred(keys: list[str], order: list, half: int):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)
 
@@ -79,7 +83,7 @@ def reel(df: DataFrame, keys: list[str], least: int = 10, most: int = 20, overla
     Novelty is 1 less the largest likeness to a window chosen before: the overlap over the shorter of the two, or `same` if
     their scenes are one (null is none) and at most gap_s lies between them. Windows that overlap a choice by more than
     `overlap` go; once `least` are chosen, a best one of a novelty under `floor` ends the choice. Of equal values the first by
-    start, end and number is taken.
+    start, end and number is taken; values are equal up to DIGITS, since sums of the same frames may differ in their last digits.
 
     df has start_s, end_s, base, scene and a window_no per key. Each choice depends on those before, so a clip is one group;
     a clip's windows are few and clips run in parallel.
@@ -95,12 +99,12 @@ def reel(df: DataFrame, keys: list[str], least: int = 10, most: int = 20, overla
         one = lambda a, b: same if pd.notna(a.scene) and a.scene == b.scene and max(a.start_s, b.start_s) - min(a.end_s, b.end_s) <= gap_s else 0.0
         while pool and len(chosen) < most:
             scored = [(w.base * (nov := min(1.0, max(0.0, 1 - max([max(share(w, c), one(w, c)) for _, _, c in chosen], default=0.0)))), nov, w) for w in pool]
-            value, novelty, best = max(scored, key=lambda x: x[0])
+            value, novelty, best = max(scored, key=lambda x: round(x[0], DIGITS))
             if len(chosen) >= least and novelty < floor:
                 break
             chosen.append((value, novelty, best))
             pool = [w for w in pool if w is not best and share(w, best) <= overlap]
-        chosen.sort(key=lambda x: -x[0])
+        chosen.sort(key=lambda x: (-round(x[0], DIGITS), x[2].start_s, x[2].end_s, x[2].window_no))
         rows = [{**{k: getattr(w, k) for k in keys}, "rank": i + 1, "window_no": w.window_no, "score": v, "novelty": n} for i, (v, n, w) in enumerate(chosen)]
         return pd.DataFrame(rows, columns=[*keys, "rank", "window_no", "score", "novelty"])
 
