@@ -4,7 +4,7 @@ Sharpness, quality and what faces show count as they are; distinctness is the di
 of its own burst, spread over 0..1 within the burst. The scene that most frames of a burst have (the first of those
 on a tie) picks the weights. The reason is the signal that stands furthest above the burst's mean, times its weight.
 
-Means, ranges and centroids are aggregated and joined back; only the rank is a window over a burst.
+Ranges and centroids are aggregated and joined back; only means and the rank are windows over a burst.
 
 Defined results: missing, NaN and unreadable signals are 0, and so is the distance of a frame without a vector, of a zero
 vector and of one that has not the length of the burst's first; where all distances are one, distinctness is 0; a frame
@@ -30,8 +30,8 @@ WEIGHTS = {
     "portrait": (0.25, 0.05, 0.05, 0.05, 0.30, 0.25, 0.05),
 }
 OTHERWISE = (0.40, 0.05, 0.05, 0.05, 0.25, 0.15, 0.05)
-#: A face counts so much, up to the most.
-PER_FACE, MOST_FACES = 0.15, 1.0
+#: A face counts so many hundredths, up to the most.
+PER_FACE, MOST_FACES = 15, 100
 #: The reasons, the first of equals counts; of a frame alone, and of one that stands above in nothing.
 REASONS = {"smile": "笑容明显 (%.0f%%)", "eyes": "眼睛睁开 (%.0f%%)", "brow": "表情放松 (%.0f%%)", "sharpness": "簇内最锐 (%.0f%%)", "distinctness": "姿态/动作差异最大 (%.0f%%)", "quality": "综合分高 (%.2f)", "faces": "有人脸 (%d 张)"}
 ALONE, NOTHING = "唯一帧 — 自动入选", "簇内默认"
@@ -95,12 +95,15 @@ def ranked(rows: DataFrame, keys: list[str], name: str, fields: dict[str, str],
     smile = F.coalesce(F.nanvl(F.col(fields["smile"]).try_cast("double"), F.lit(None).cast("double")), F.lit(0.0))
     burst = burst.withColumns({
         "_sharpness": _known(fields["sharpness"]), "_quality": _known(fields["quality"]), "_eyes": _less(fields["blink"]), "_smile": _unit(smile), "_brow": _less(fields["brow"]),
-        "_faces": F.least(F.lit(MOST_FACES), F.coalesce(F.col(fields["faces"]), F.lit(0)) * PER_FACE),
+        "_hundredths": F.least(F.lit(MOST_FACES), F.coalesce(F.col(fields["faces"]), F.lit(0)) * PER_FACE),
     })
+    burst = burst.withColumn("_faces", F.col("_hundredths") / 100)
     span = burst.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_far").alias("_lo"), F.max("_far").alias("_hi"))
     burst = _joined(burst, span, keys).withColumn("_distinctness", F.when(F.col("_hi") - F.col("_lo") < 1e-9, 0.0).otherwise((F.col("_far") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))))
-    means = burst.groupBy(*keys).agg(*[F.avg(f"_{s}").alias(f"_mean_{s}") for s in SIGNALS])
-    burst = _joined(_joined(burst, means, keys), modal_scene(rows, keys, scene, order), keys).withColumn("_w", weights_of(F.col("_scene")))
+    burst = _joined(burst, modal_scene(rows, keys, scene, order), keys).withColumn("_w", weights_of(F.col("_scene")))
+    # summed in the burst's order, and faces in whole hundredths, so that last digits, which decide between level signals, don't depend on how rows are dealt
+    whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    burst = burst.withColumns({f"_mean_{s}": F.avg(f"_{s}").over(whole) for s in SIGNALS if s != "faces"} | {"_mean_faces": F.sum("_hundredths").over(whole) / (F.col("_n") * 100)})
     weight = {s: F.col("_w")[i] for i, s in enumerate(SIGNALS)}
     blend = reduce(lambda a, b: a + b, [weight[s] * F.col(f"_{s}") for s in SIGNALS])
     above = {s: weight[s] * (F.col(f"_{s}") - F.col(f"_mean_{s}")) for s in REASONS}
