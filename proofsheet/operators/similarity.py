@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +18,18 @@ from proofsheet.operators.graph import _kept, connected_components
 
 #: Values (rows times dimensions) of a block of vectors.
 BLOCK_VALUES = 4_000_000
+#: Blocks of rows at least, so that there are tasks enough; similarities held at a time.
+LEAST_BLOCKS, HELD = 12, 4_000_000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """A column of lists of equal length as rows of length 1; null vectors are zero."""
+    """A column of lists of equal length as rows of length 1 (those that are so to a float's rounding stay as they are); null vectors are zero."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     width = max(column.value_lengths().drop_null().to_pylist()[:1], default=0)
     out = np.zeros((len(column), width))
     out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else 0
     length = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(length > 0, length, 1)
+    return out / np.where((length > 0) & (np.abs(length - 1) > near.LENGTH), length, 1)
 
 
 def block_count(df: DataFrame, vector: str) -> int:
@@ -79,7 +82,11 @@ def member_similarities(df: DataFrame, label: str, key: str, vector: str, blocks
 
 def top_matches(df: DataFrame, query: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """The k rows most similar to the one vector of query, all rows compared: the best k of each batch, then of all."""
-    return per_query_matches(df, query.limit(1).select(F.lit(None).cast("bigint").alias("q"), F.col(query.columns[0]).alias("qv")), key, vector, "q", k, "qv").select(F.col("key").alias(key), "cos")
+    one = query.limit(1).select(F.lit(None).cast("bigint").alias("q"), F.col(query.columns[0]).alias("qv"))
+    rows = df.select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    best = lambda batches: _best(batches, k)
+    found = [rows.crossJoin(F.broadcast(block)).mapInArrow(best, "q bigint, key bigint, cos double") for block in in_blocks(one, "q", "qv")]
+    return _ranked(reduce(DataFrame.union, found), k).select(F.col("key").alias(key), "cos")
 
 
 def in_blocks(rows: DataFrame, key: str, vector: str) -> list[DataFrame]:
@@ -93,25 +100,35 @@ def in_blocks(rows: DataFrame, key: str, vector: str) -> list[DataFrame]:
 def per_query_matches(df: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, k: int, query_vector: str | None = None) -> DataFrame:
     """For each query row its k most similar rows, itself left out.
 
-    Queries come in blocks of a bounded size, each broadcast to one pass over the rows, whose batches are multiplied with the
-    block: the k best per query and batch are ranked at the end. Nothing is collected.
+    Rows and queries are dealt to blocks of a bounded size; each pair of blocks is one task, whose k best per query are ranked
+    at the end. A row is copied once for each block of queries, a query once for each block of rows. Nothing is collected.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(vector).alias("v"))
-    best = lambda batches: _best(batches, k)
-    found = [rows.crossJoin(F.broadcast(block)).mapInArrow(best, "q bigint, key bigint, cos double") for block in in_blocks(queries, query_key, query_vector or vector)]
-    return _ranked(reduce(DataFrame.union, found), k)
+    rows, asked = df.select(F.col(key).alias("key"), F.col(vector).alias("v")), queries.select(F.col(query_key).alias("key"), F.col(query_vector or vector).alias("v"))
+    n, m = max(LEAST_BLOCKS, block_count(rows, "v")), block_count(asked, "v")
+    dealt = lambda many: F.pmod(F.xxhash64("key"), F.lit(many)).cast("int")
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    both = rows.select(F.lit(False).alias("asks"), dealt(n).alias("i"), each(m).alias("j"), "key", "v").union(asked.select(F.lit(True), each(n), dealt(m), "key", "v"))
+
+    def best(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        r, q = t.filter(pa.compute.invert(t.column("asks"))), t.filter(t.column("asks"))
+        parts = _products(r.column("key"), r.column("v"), q.column("key").combine_chunks(), q.column("v"), k) if r.num_rows and q.num_rows else []
+        return pa.Table.from_batches(parts, pa.schema([("q", pa.int64()), ("key", pa.int64()), ("cos", pa.float64())]))
+
+    return _ranked(both.groupBy("i", "j").applyInArrow(best, "q bigint, key bigint, cos double"), k)
 
 
 def _products(keys: pa.Array, vectors: pa.Array, ids: pa.Array, table: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
-    keys, m, q = keys.to_numpy(), matrix(vectors), matrix(table)
+    """The k best rows of each query, and those level with the last of them, for some queries at a time."""
+    keys, m, q = keys.to_numpy(), matrix(vectors).T, matrix(table)
     own = ids.fill_null(-(2**63)).to_numpy()
-    for at in range(0, len(m), 65536):
-        cos = m[at : at + 65536] @ q.T
-        cos[keys[at : at + 65536, None] == own[None, :]] = -2
-        top = np.argpartition(-cos, min(k, len(cos)) - 1, axis=0)[:k] if len(cos) > k else np.tile(np.arange(len(cos))[:, None], len(own))
-        edge = np.take_along_axis(cos, top, axis=0).min(axis=0)
-        row, of = np.nonzero(cos >= edge[None, :])  # ties at the edge stay, so the final order decides
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(keys[at + row]), pa.array(cos[row, of])], ["q", "key", "cos"])
+    step = max(1, HELD // max(1, len(keys)))
+    for at in range(0, len(q), step):
+        cos = q[at : at + step] @ m
+        cos[own[at : at + step, None] == keys[None, :]] = -2
+        edge = np.partition(cos, len(keys) - k, axis=1)[:, len(keys) - k] if len(keys) > k else cos.min(axis=1)
+        of, row = np.nonzero(cos >= edge[:, None])  # ties at the edge stay, so the final order decides
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + of)), pa.array(keys[row]), pa.array(cos[of, row])], ["q", "key", "cos"])
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:

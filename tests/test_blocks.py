@@ -44,3 +44,19 @@ def test_cosines_of_vectors_of_length_1_are_their_dot_products(spark):
     m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32).astype(float)
     got = {(r.a, r.b): r.cos for r in near.pairs(table(spark, list(enumerate(m))), "id", "vec", 0.3).collect()}
     assert len(got) > 100 and all(abs(c - m[a] @ m[b]) < 1e-12 for (a, b), c in got.items())
+
+
+@pytest.mark.parametrize("values", [4_000_000, 400])
+def test_queries_are_not_copied_to_each_row(spark, monkeypatch, values):
+    monkeypatch.setattr(S, "BLOCK_VALUES", values)
+    monkeypatch.setattr(S, "in_blocks", None)
+    rng = np.random.default_rng(10)
+    m = rng.normal(size=(300, 8))
+    m[5] = m[6] = m[7]
+    df = table(spark, list(enumerate(m)))
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = {(r.q, r["rank"]): (r.key, r.cos) for r in S.per_query_matches(df, df.filter("id % 20 = 0 or id = 6"), "id", "vec", "id", 4).collect()}
+    for q in [*range(0, 300, 20), 6]:
+        want = sorted((-round(float(u[q] @ u[i]), 12), i) for i in range(300) if i != q)[:4]
+        assert [got[q, r + 1][0] for r in range(4)] == [i for _, i in want] and all(abs(got[q, r + 1][1] + c) < 1e-9 for r, (c, _) in enumerate(want))
+    assert len(got) == 4 * 16
