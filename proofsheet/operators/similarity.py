@@ -184,3 +184,8 @@ def near_points(df: DataFrame, key: str, lat: str, lon: str, km: Column, radius_
 def near_groups(df: DataFrame, key: str, lat: str, lon: str, km: Column, radius_km: float) -> DataFrame:
     """(a, b) edges whose components are those of all pairs within a radius: see operators.places."""
     return places.linked(df, key, lat, lon, km, radius_km)
+
+
+def near_places(df: DataFrame, key: str, lat: str, lon: str, km: Column, radius_km: float) -> DataFrame:
+    """(node, component) of each point with a position: the smallest key that steps within a radius reach."""
+    return places.placed(df, key, lat, lon, km, radius_km)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from proofsheet.functions.columns import haversine_km
 from proofsheet.operators import similarity as S
-from proofsheet.operators.graph import connected_components
 from proofsheet.operators.members import middles
 from proofsheet.plans.catalog import query
 from proofsheet.plans.views import PHOTO_SQL, VEC_SQL, photos, table, vectors
@@ -100,8 +99,7 @@ def geo(spark, sf):
 
 def places(spark, sf):
     g = geo(spark, sf)
-    edges = S.near_groups(g, "photo_id", "lat", "lon", haversine_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob")), 3.0)
-    named = connected_components(edges, "a", "b")
+    named = S.near_places(g, "photo_id", "lat", "lon", haversine_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob")), 3.0)
     return g.join(named, g["photo_id"] == named["node"], "left").select("photo_id", F.coalesce("component", "photo_id").alias("place_id"), "lat", "lon", "score_final")
 
 
@@ -131,6 +129,5 @@ def crowded_places(spark, sf):
     i = F.col("c_custkey")
     jitter = lambda k: (i * k % 1000 - 500) * 1e-7
     at = table(spark, sf, "customer").select(i.alias("photo_id"), (40 + (i % 50) * 0.02 + jitter(7919)).alias("lat"), (2 + (F.floor(i / 50) % 20) * 0.004 + jitter(104729)).alias("lon"))
-    edges = S.near_groups(at, "photo_id", "lat", "lon", haversine_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob")), 0.5)
-    named = connected_components(edges, "a", "b")
+    named = S.near_places(at, "photo_id", "lat", "lon", haversine_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob")), 0.5)
     return at.join(named, at["photo_id"] == named["node"], "left").select("photo_id", F.coalesce("component", "photo_id").alias("place_id"))
