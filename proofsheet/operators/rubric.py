@@ -58,19 +58,22 @@ def axis_score(axis: str, overrides: Column, emphasis: Column) -> Column:
     to a factor on the stars, 1 where there is none.
     """
     known = checks()
-    rows = []
+    passed, weighed, applied, names = F.lit(0.0), F.lit(0.0), F.lit(False), []
     for name, weight in AXES[axis]:
         if name not in known:
             continue
         way = F.try_element_at(overrides, F.lit(name))
         hit = F.when(way.eqNullSafe(F.lit("suppress")), None).when(way.eqNullSafe(F.lit("invert")), ~known[name]).otherwise(known[name])
-        rows.append(F.struct(F.lit(name).alias("name"), hit.alias("hit"), F.when(way.eqNullSafe(F.lit("boost")) & hit, 2 * weight).otherwise(weight).alias("w")))
-    applied = F.filter(F.array(*rows), lambda x: x["hit"].isNotNull())
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["w"])
-    share = F.when(F.size(applied) > 0, total(F.filter(applied, lambda x: x["hit"])) / total(applied))
+        w = F.when(way.eqNullSafe(F.lit("boost")) & hit, 2 * weight).otherwise(weight)
+        # plain sums instead of arrays of checks, which are compiled with the rest of the row
+        passed = passed + F.when(hit, w).otherwise(0.0)
+        weighed = weighed + F.when(hit.isNotNull(), w).otherwise(0.0)
+        applied = applied | hit.isNotNull()
+        names.append(F.when(~hit, name))
+    share = F.when(applied, passed / weighed)
     factor = F.coalesce(F.try_element_at(emphasis, F.lit(axis)), F.lit(1.0))
     stars = F.when(share.isNotNull(), F.least(F.greatest(F.round((1 + 4 * share) * factor, 2), F.lit(1.0)), F.lit(5.0)))
-    failed = F.transform(F.filter(applied, lambda x: ~x["hit"]), lambda x: x["name"])
+    failed = F.array_compact(F.array(*names))
     return F.struct(stars.alias("stars"), share.alias("share"), failed.alias("failed"))
 
 
