@@ -144,18 +144,45 @@ def divergence(p: DataFrame, q: DataFrame, keys: list[str], eps: float = 1e-9) -
     return known.groupBy(*keys).agg(F.sum(a * F.ln(a / b)).alias("divergence"))
 
 
-def tempo(df: DataFrame, keys: list[str], order: list[str], onset: str, hop: float) -> DataFrame:
-    """tempo (beats a minute) and strength by key: the lag of the highest autocorrelation of the onsets; 0 if there is none."""
-    lags = range(max(1, round(60 / BEATS[1] / hop)), round(60 / BEATS[0] / hop))
-    mean = df.groupBy(*keys).agg(F.avg(onset).alias("_mean"), F.count("*").alias("_n"))
-    rows = df.join(mean, keys).withColumn("_o", F.col(onset) - F.col("_mean"))
+def _there(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def _lags(hop: float) -> range:
+    return range(max(1, round(60 / BEATS[1] / hop)), round(60 / BEATS[0] / hop))
+
+
+def _onsets(df: DataFrame, keys: list[str], order: list[str], onset: str, hop: float) -> DataFrame:
+    """df with _n, the clip's rows, _o, the onset less the clip's mean, and the _o of so many rows before. One sort: no means are joined."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    rows = rows.select(*keys, "_n", "_o", *[F.lag("_o", k).over(w).alias(f"_{k}") for k in lags])
-    sums = rows.groupBy(*keys).agg(F.max("_n").alias("_n"), F.sum(F.col("_o") * F.col("_o")).alias("_s"), *[F.coalesce(F.sum(F.col("_o") * F.col(f"_{k}")), F.lit(0.0)).alias(f"_{k}") for k in lags])
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.filter(_there(keys)).withColumns({"_mean": F.avg(onset).over(whole), "_n": F.count("*").over(whole), **{f"_{k}": F.lag(onset, k).over(w) for k in _lags(hop)}})
+    return rows.withColumns({"_o": F.col(onset) - F.col("_mean"), **{f"_{k}": F.col(f"_{k}") - F.col("_mean") for k in _lags(hop)}})
+
+
+def _correlations(hop: float) -> dict[str, Column]:
+    return {"_s": F.sum(F.col("_o") * F.col("_o"))} | {f"_s{k}": F.sum(F.col("_o") * F.col(f"_{k}")) for k in _lags(hop)}
+
+
+def _tempo(hop: float) -> dict[str, Column]:
+    """tempo and strength from _n and the sums of _correlations."""
     # lags stay below the last one that the clip has
-    best = F.array_max(F.array_compact(F.array(*[F.when(F.lit(k) < F.col("_n") - 1, F.struct((F.col(f"_{k}") / F.col("_s")).alias("s"), F.lit(-k).alias("k"))) for k in lags])))
-    found = sums.withColumn("_b", F.when((F.col("_n") >= 16) & (F.col("_s") > 0), best))
-    return found.select(*keys, F.coalesce(F.round(60.0 / (-F.col("_b.k") * hop), 1), F.lit(0.0)).alias("tempo"), F.coalesce(clamp(F.col("_b.s")), F.lit(0.0)).alias("strength"))
+    best = F.array_max(F.array_compact(F.array(*[F.when(F.lit(k) < F.col("_n") - 1, F.struct((F.coalesce(F.col(f"_s{k}"), F.lit(0.0)) / F.col("_s")).alias("s"), F.lit(-k).alias("k"))) for k in _lags(hop)])))
+    found = F.when((F.col("_n") >= 16) & (F.col("_s") > 0), best)
+    return {"tempo": F.coalesce(F.round(60.0 / (-found["k"] * hop), 1), F.lit(0.0)), "strength": F.coalesce(clamp(found["s"]), F.lit(0.0))}
+
+
+def tempo(df: DataFrame, keys: list[str], order: list[str], onset: str, hop: float) -> DataFrame:
+    """tempo (beats a minute) and strength by key: the lag of the highest autocorrelation of the onsets; 0 if there is none."""
+    sums = _onsets(df.select(*dict.fromkeys([*keys, *order, onset])), keys, order, onset, hop).groupBy(*keys).agg(F.max("_n").alias("_n"), *[c.alias(n) for n, c in _correlations(hop).items()])
+    return sums.select(*keys, *[c.alias(n) for n, c in _tempo(hop).items()])
+
+
+def with_tempo(df: DataFrame, keys: list[str], order: list[str], onset: str, hop: float) -> DataFrame:
+    """df with the tempo and strength of each row's key: sums over the clip's rows where they stand sorted, instead of a join with `tempo`."""
+    whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = _onsets(df, keys, order, onset, hop).withColumns({n: c.over(whole) for n, c in _correlations(hop).items()})
+    return rows.withColumns(_tempo(hop)).select(*df.columns, "tempo", "strength")
 
 
 def beats(df: DataFrame, tempos: DataFrame, keys: list[str], time: str, onset: str, most: int = 2000) -> DataFrame:
@@ -169,12 +196,12 @@ def beats(df: DataFrame, tempos: DataFrame, keys: list[str], time: str, onset: s
 
 def loud_runs(df: DataFrame, keys: list[str], time: str, loudness: str, sounds: Column, confidence: Column, floor: float, hop: float, least: float) -> DataFrame:
     """Runs of rows that sound so and are louder than a share of the clip's peak: s, e, n and mean confidence. Silent clips have none."""
-    peak = df.groupBy(*keys).agg(F.max(loudness).alias("_peak"))
-    loud = F.col(loudness) > F.greatest(floor * F.col("_peak"), F.lit(0.5 * SILENT))
-    rows = df.join(peak.filter(F.col("_peak") >= SILENT), keys).withColumns({"_on": sounds & loud, "_conf": clamp(confidence)})
     w = Window.partitionBy(*keys).orderBy(time)
+    peak = F.max(loudness).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    loud = F.col(loudness) > F.greatest(floor * F.col("_peak"), F.lit(0.5 * SILENT))
+    # what is not needed behind the sort stays out of it
+    rows = df.filter(_there(keys)).select(*keys, time, loudness, sounds.alias("_sounds"), clamp(confidence).alias("_conf"))
+    rows = rows.withColumn("_peak", peak).filter(F.col("_peak") >= SILENT).withColumn("_on", F.col("_sounds") & loud)
     rows = rows.withColumn("_new", F.when(F.lag("_on").over(w).eqNullSafe(F.col("_on")), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
     runs = rows.filter("_on").groupBy(*keys, "_run").agg(F.min(time).alias("s"), (F.max(time) + hop).alias("e"), F.avg("_conf").alias("confidence")).drop("_run")
     return runs.filter(F.col("e") - F.col("s") + 1e-9 >= least)
-
-

@@ -206,8 +206,11 @@ def sound_events(spark, sf):
     """Applause is flat and loud; music is tonal, and its clip has a tempo or an even loudness. Sharpness stands in for loudness."""
     f = frames(spark, sf)
     flat = F.col("score_final")
-    even = f.groupBy("clip_id").agg((F.stddev_pop("sharp") < 0.5 * (F.avg("sharp") + 1e-9)).alias("even"))
-    musical = tempos(spark, sf).join(even, "clip_id").filter((F.col("strength") >= G.STRONG) | F.col("even")).select("clip_id")
+    # all statistics of a clip come from rows that are sorted once: nothing is joined back
+    whole = Window.partitionBy(*KEYS).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    even = F.stddev_pop("sharp").over(whole) < 0.5 * (F.avg("sharp").over(whole) + 1e-9)
+    paced = G.with_tempo(f.select(*KEYS, *ORDER, "k", "sharp", "score_final"), KEYS, ORDER, "k", 0.05).withColumn("even", even)
+    musical = paced.filter((F.col("strength") >= G.STRONG) | F.col("even"))
     applause = G.loud_runs(f, KEYS, "t", "sharp", flat > 0.30, (flat - 0.30) / 0.70, 0.35, 1.0, 0.6)
-    music = G.loud_runs(f.join(musical, "clip_id", "left_semi"), KEYS, "t", "sharp", flat < 0.12, (0.12 - flat) / 0.12, 0.12, 1.0, 3.0)
+    music = G.loud_runs(musical, KEYS, "t", "sharp", flat < 0.12, (0.12 - flat) / 0.12, 0.12, 1.0, 3.0)
     return applause.withColumn("kind", F.lit("applause")).unionByName(music.withColumn("kind", F.lit("music"))).select("kind", "clip_id", "s", "e", "confidence")
