@@ -28,14 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofsheet.llm import textkernel as tk
 from proofsheet.llm.common import documents, few, partitions, written
 
 #: Keys of one group (also the most documents that are counted together), and rows scored at once.
-GROUP, SLICE = 4096, 1024
+GROUP, SLICE = 2048, 1024
+#: Bytes of an Arrow batch, and of the texts that are counted together, unless one text has more.
+BYTES = 16 << 20
+#: N-grams whose bits are set at once.
+SET = 1 << 16
 #: A filter has SEGMENTS * 1024 bytes at least.
 BITS, PROBES, SEGMENTS = 12, 4, 64
 #: Groups with more rows that may be broadcast.
@@ -108,12 +112,20 @@ def count_rows(docs: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.full(len(own), grp), pa.int64()), pa.nulls(len(own), pa.list_(pa.int64())), lists[0], lists[1]], ["part", "grp", "words", "subs", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n, size = None, [], 0, 0  # a group's rows so far, over several batches
         for batch in batches:
             grp = batch.column("grp").to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]])) if len(grp) else []
             for a, b in zip(cuts, np.append(cuts[1:], len(grp)).astype(int), strict=True):
                 for at in range(a, b, GROUP):
-                    yield from counted(int(grp[a]), batch.slice(at, min(GROUP, b - at)))
+                    part = batch.slice(at, min(GROUP, b - at))
+                    more = part.column("text").nbytes
+                    if held and (grp[a] != now or n + len(part) > GROUP or size + more > BYTES):
+                        yield from counted(now, pa.concat_batches(held))
+                        held, n, size = [], 0, 0
+                    now, held, n, size = int(grp[a]), [*held, part], n + len(part), size + more
+        if held:
+            yield from counted(now, pa.concat_batches(held))
 
     return docs.mapInArrow(run, COUNTED)
 
@@ -170,7 +182,8 @@ def summed(rows: DataFrame, parts: int, least: int) -> DataFrame:
         if held:
             yield from totals(now, held)
 
-    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, SUMMED)
+    # a task for each part: by a hash of so few numbers some tasks would get several and others none
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(run, SUMMED)
 
 
 # -- the filter -----------------------------------------------------------------------------------------------------------
@@ -241,7 +254,8 @@ def segment(grams: list[tuple[int, np.ndarray, np.ndarray]]) -> Filter:
     for o, key, q in grams:
         for at in range(1, int(q.max(initial=0)) + 1):
             own = key[q >= at]
-            bits[Filter.places(own, np.full(len(own), at + 64 * o), size * 8).ravel()] = True
+            for i in range(0, len(own), SET):
+                bits[Filter.places(own[i : i + SET], np.uint64(at + 64 * o), size * 8).ravel()] = True
     return Filter(np.packbits(bits, bitorder="little")[None, :], (1, 1))
 
 
@@ -261,6 +275,13 @@ def model_scores(one: np.ndarray, two: np.ndarray, end: float, n: np.ndarray, to
     return np.add.reduceat(np.log10(np.minimum(p, 1.0)), np.cumsum(n) - n)
 
 
+def small_bytes(spark: SparkSession) -> None:
+    """Arrow batches of at most BYTES, unless the session has a setting of its own: a row of counts is long, and the JVM holds batches outside its heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BYTES))
+
+
 def split_groups(rows: DataFrame) -> DataFrame:
     """rows with groups of more than twice GROUP rows (null or repeated keys) split by their texts, so that no group grows with the table.
 
@@ -275,9 +296,16 @@ def split_groups(rows: DataFrame) -> DataFrame:
     return joined.withColumn("grp", F.when(F.col("_splits").isNull(), F.col("grp")).otherwise(own)).drop("_grp", "_splits")
 
 
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """rows by group: neighbouring groups go to different partitions, each run of `parts` groups turned by a hash, so that keys in even steps spread too."""
+    turn = F.xxhash64(F.floor(F.col("grp") / parts))
+    return rows.repartitionById(parts, F.pmod(F.pmod("grp", F.lit(parts)) + F.pmod(turn, F.lit(parts)), F.lit(parts)).cast("int"))
+
+
 def language_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", out: Column | None = None, least: int = 2) -> DataFrame:
     """Scores of all rows, learnt from those that are not held out; bigrams count from `least` times on (1: all)."""
     spark = docs.sparkSession
+    small_bytes(spark)
     parts = partitions(spark)
     rows = documents(docs, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("train", ~(held_out(F.col("doc_id")) if out is None else out)).withColumn("grp", F.coalesce(F.floor(F.col("doc_id") / GROUP), F.lit(-1)).cast("long"))
@@ -329,4 +357,4 @@ def language_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ou
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(~part.column("train").to_numpy(zero_copy_only=False)), pa.array(n, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(n), total), pa.int64()), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
                 i = j
 
-    return known.unionByName(texts).repartition(parts, "grp").sortWithinPartitions("grp", "kind").mapInArrow(run, SCORED)
+    return dealt(known.unionByName(texts), parts).sortWithinPartitions("grp", "kind").mapInArrow(run, SCORED)
