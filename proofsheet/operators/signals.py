@@ -1,6 +1,7 @@
 """Signals of clips in time order: salience, shake, blur, tempo, profiles of taste, and tracks on a map.
 
-Statistics of a clip (percentiles, medians, peaks) are aggregated and joined back, so that only neighbours need a window.
+Statistics of a clip (percentiles, medians) are aggregated and joined back, so that only neighbours need a window. Where rows are
+sorted by clip and time anyway (tempo, loud runs), they come from windows over the whole clip, since a join would sort once more.
 """
 
 from __future__ import annotations
