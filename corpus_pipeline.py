@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofsheet.llm import mixing, ordinal, partenum, secrets, templates
-from proofsheet.llm.common import few, free, written
+from proofsheet.llm.common import counted, free, written
 from proofsheet.llm.queries import rated_grade
 
-#: Document ids that may be broadcast.
-FEW = 2_000_000
+#: Document ids that may be broadcast: they pass through the driver, whose heap may be small.
+FEW = 500_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +38,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = found.filter("n_shingles > 0 and doc_id is not null")
     stays = keyed.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("component", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("least_hash"))
     own = keyed.join(stays, "component").filter((F.col("doc_id") != F.col("least")) | (F.col("text_hash") != F.col("least_hash")))
-    gone = written(own.select(F.col("doc_id").alias("key_"), F.col("text_hash").alias("hash_")).distinct(), "gone")
-    out = docs.join(F.broadcast(gone) if few(gone, FEW) else gone, _same(docs, gone), "left_anti")
+    gone, n = counted(own.select(F.col("doc_id").alias("key_"), F.col("text_hash").alias("hash_")).distinct(), "gone")
+    out = docs.join(F.broadcast(gone) if n <= FEW else gone, _same(docs, gone), "left_anti")
     again = found.groupBy(F.col("doc_id").alias("key_"), F.col("text_hash").alias("hash_")).count().filter("count > 1").select("key_", "hash_")
-    again = written(again, "again")
-    if again.limit(1).count():
+    again, n = counted(again, "again")
+    if n:
         least = F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.to_json(F.struct(*[docs[c] for c in docs.columns if c != "text"])))
         once = out.join(again, _same(docs, again)).groupBy("key_", "hash_").agg(least.alias("row_")).select("row_.*")
         out = out.join(again, _same(docs, again), "left_anti").unionByName(once)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from proofsheet.session import shared_folder
@@ -34,6 +34,13 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, of: Column | None = None) -> tuple[DataFrame, int]:
+    """As written, with the number of rows, or the aggregate `of`, observed while they are written: no query of its own."""
+    seen = Observation()
+    out = written(df.observe(seen, (F.count(F.lit(1)) if of is None else of).alias("n")), name)
+    return out, seen.get["n"] or 0
+
+
 def few(df: DataFrame, n: int) -> bool:
     """Whether df has at most n rows: the size check in front of a broadcast. Counts; no row comes to the driver."""
     return df.limit(n + 1).count() <= n

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.llm import textkernel as tk
-from proofsheet.llm.common import documents, few, partitions, written
+from proofsheet.llm.common import counted, documents, partitions, written
 from proofsheet.operators.graph import connected_components
 
 #: Jaccard similarity of at least NUM / DEN.
@@ -341,10 +341,10 @@ def buckets(rows: DataFrame, parts: int) -> DataFrame:
 # -- verification ---------------------------------------------------------------------------------------------------------
 
 
-def shingle_table(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes, read from one document of each; equal rows repeat."""
-    one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d"))
-    one = written(one.select(F.col("d.doc_id").alias("k_"), F.col("d.th").alias("t_")), "wanted")
+def shingle_table(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes, read from one document of each; equal rows repeat. nodes: node, d (that document)."""
+    one = nodes.join(wanted, "node", "left_semi")
+    one, n = counted(one.select(F.col("d.doc_id").alias("k_"), F.col("d.th").alias("t_")), "wanted")
     same = F.col("doc_id").eqNullSafe(F.col("k_")) & (F.col("th") == F.col("t_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,12 +352,12 @@ def shingle_table(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFr
             nodes = set_sizes_and_nodes(values, sizes).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), _list(values.view(np.int64), np.append(0, np.cumsum(sizes)), pa.int64())], ["node", "shingles"])
 
-    found = docs.join(F.broadcast(one) if few(one, FEW) else one, same, "left_semi").select("text")
+    found = docs.join(F.broadcast(one) if n <= FEW else one, same, "left_semi").select("text")
     return written(found.mapInArrow(run, "node bigint, shingles array<bigint>"), "sets")
 
 
-def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Those of the pairs (pivot, node) that sizes and sketches allow to link. known: node, n, sketch."""
+def likely(pairs: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
+    """Those of the pairs (pivot, node) that sizes and sketches allow to link, and how many. known: node, n, sketch."""
     both = pairs.join(known.select("node", "n", F.col("sketch").alias("s")), "node").join(known.select(F.col("node").alias("pivot"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "pivot")
 
     def folded(k: str) -> Column:
@@ -369,7 +369,7 @@ def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
     apart = F.aggregate(F.zip_with(ka, kb, lambda x, y: F.bit_count(F.coalesce(x, F.lit(0)).bitwiseXOR(F.coalesce(y, F.lit(0))))), F.lit(0), lambda t, x: t + x)
     near = DEN * F.least("na", "n") >= NUM * F.greatest("na", "n")
     maybe = F.when(near, (DEN + NUM) * apart <= (DEN - NUM) * (F.col("na") + F.col("n"))).otherwise(False)
-    return written(both.filter(maybe).select("pivot", "node"), "likely")
+    return counted(both.filter(maybe).select("pivot", "node"), "likely")
 
 
 def verified(pairs: DataFrame, sets) -> DataFrame:
@@ -440,17 +440,17 @@ def proposals(rows: DataFrame, failed: DataFrame | None, most: int) -> DataFrame
 
 def block_links(members: DataFrame, known: DataFrame, sets) -> DataFrame:
     """(pivot, node) of enough links between components of a unit."""
-    rows, links, failed, most = written(block_rows(members, known), "blocks"), None, None, 1
-    of = members.select("node", "c").distinct()
+    rows, links, failed, of, most = written(block_rows(members, known), "blocks"), None, None, None, 1
     task = ["unit", "i", "j"]
     while True:
         asked = written(proposals(rows, failed, most), "proposals")
         found = verified(asked.select("pivot", "node").distinct(), sets)
         links = found if links is None else links.union(found)
-        wrong = asked.join(found, ["pivot", "node"], "left_anti")
-        if not wrong.limit(1).count():
+        wrong, n = counted(asked.join(found, ["pivot", "node"], "left_anti"), "failed")
+        if not n:
             return links
-        failed = written(wrong if failed is None else failed.join(wrong.select(*task).distinct(), task, "left_semi").unionByName(wrong), "failed")
+        failed = wrong if failed is None else written(failed.join(wrong.select(*task).distinct(), task, "left_semi").unionByName(wrong), "failed")
+        of = written(members.select("node", "c").distinct(), "labels") if of is None else of
         # what the links have joined is one component from now on; only tasks with a failed proposal go on
         ends = links.join(of, "node").select("pivot", F.col("c").alias("b")).join(of.withColumnsRenamed({"node": "pivot", "c": "a"}), "pivot")
         joined = connected_components(ends, "a", "b").withColumnsRenamed({"node": "c", "component": "now"})
@@ -473,27 +473,31 @@ def all_links(found: DataFrame, rows: DataFrame, sets) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "pivot"))
     pairs = shared.withColumn("rank", best).filter(F.col("rank") <= PIVOTS)
     pairs = written(pairs.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct(), "pairs")
-    links = verified(likely(pairs, known), sets)
+    links = verified(likely(pairs, known)[0], sets)
 
     # buckets whose members are in several components
     labels = connected_components(links, "pivot", "node")
-    members = found.select("bucket", "node").union(found.select("bucket", F.col("pivot").alias("node"))).distinct()
-    members = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
-    mixed = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min("node").alias("a"), F.max("node").alias("b")).filter("lo < hi")
-    mixed = written(mixed.select("bucket", "size", "a", "b"), "mixed")
+
+    def members() -> DataFrame:
+        both = found.select("bucket", "node").union(found.select("bucket", F.col("pivot").alias("node"))).distinct()
+        return both.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+
+    mixed = members().groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min("node").alias("a"), F.max("node").alias("b")).filter("lo < hi")
+    mixed, larger = counted(mixed.select("bucket", "size", "a", "b"), "mixed", F.count_if(F.col("size") > 2))
     # those of two have one pair, which was held against each other unless the pivot ranked too low
     rest = mixed.filter("size = 2").select(F.col("a").alias("pivot"), F.col("b").alias("node")).distinct().join(pairs, ["pivot", "node"], "left_anti")
-    rest = likely(written(rest, "rest"), known)
-    if rest.limit(1).count():
+    rest, n = counted(rest, "rest")
+    rest, n = likely(rest, known) if n else (rest, 0)
+    if n:
         links = links.union(verified(rest, sets))
-    mixed = mixed.filter("size > 2").select("bucket")
-    if not mixed.limit(1).count():
+    if not larger:
         return links
-    edges = found.join(mixed, "bucket", "left_semi").select("pivot", "node").distinct()
-    groups = connected_components(edges, "pivot", "node")
+    mixed = mixed.filter("size > 2").select("bucket")
+    found = written(found.join(mixed, "bucket", "left_semi"), "open")
+    groups = connected_components(found.select("pivot", "node").distinct(), "pivot", "node")
     large = groups.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE).select("component")
     groups = groups.join(large.withColumn("large", F.lit(True)), "component", "left")
-    held = members.join(mixed, "bucket", "left_semi").join(groups, "node")
+    held = members().join(groups, "node")
     unit = F.when(F.col("large"), F.col("bucket")).otherwise(F.col("component"))
     held = written(held.select(unit.alias("unit"), "node", "c").distinct(), "held")
     return links.union(block_links(held, known, sets))
@@ -510,30 +514,27 @@ def components_by_text(docs: DataFrame, key: str = "doc_id", text: str = "text")
     component, a hash, tells components apart even where keys are null or stand for several texts; null without shingles.
     """
     source = documents(docs, key, text).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    first = written(nodes_and_frequent(source), "nodes")
+    first, shingles = counted(nodes_and_frequent(source), "nodes", F.sum(F.when(~F.col("frequent"), F.col("n"))))
     rows = first.filter("not frequent").drop("frequent")
     top = first.filter("frequent").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).select("node").collect()
     frequent = np.sort(np.array([r[0] for r in top], np.int64)).view(np.uint64)
 
     # a part of the signature space is one task's: their number follows from what was counted, not from the session alone
-    shingles = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(partitions(docs.sparkSession), -(-shingles // PART_SHINGLES))
 
-    nodes = written(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "least")
+    nodes = written(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("d"), F.count("*").alias("copies")), "least")
     # a copy needs no signatures; where copies are many, each slice signs its own, to the same end
     copied = rows.join(nodes.filter("copies > 1").select("node", "least"), "node").filter("doc_id != least").select(F.col("doc_id").alias("k_"), F.col("th").alias("t_")).distinct()
-    copied = written(copied, "copies")
-    signed = source.join(F.broadcast(copied), (F.col("doc_id") == F.col("k_")) & (F.col("th") == F.col("t_")), "left_anti") if few(copied, FEW) else source
+    copied, n = counted(copied, "copies")
+    signed = source.join(F.broadcast(copied), (F.col("doc_id") == F.col("k_")) & (F.col("th") == F.col("t_")), "left_anti") if n <= FEW else source
 
     found = written(buckets(signature_rows(signed, frequent, parts), parts).filter("pivot != node"), "buckets")
     some = rows.filter("n > 0")
-    links = all_links(found, some.select("node", "n", "sketch"), lambda wanted: shingle_table(source, some, wanted))
+    links = all_links(found, some.select("node", "n", "sketch"), lambda wanted: shingle_table(source, nodes.select("node", "d"), wanted))
     labels = connected_components(links, "pivot", "node")
 
-    least = nodes.select("node", "least")
-    grouped = labels.join(least, "node")
-    component = grouped.join(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component", "component_id")
-    named = least.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.join(named, "node", "left")
+    named = written(nodes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "named")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = rows.join(named.join(ids, "component").select("node", "component", "component_id"), "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     return out.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), own, F.when(F.col("n") > 0, F.col("component")).alias("component"))

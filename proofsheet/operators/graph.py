@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from proofsheet.session import shared_folder
@@ -23,25 +23,32 @@ def _kept(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _counted(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, dict]:
+    """As _kept, with the number of edges (n) and a hash of their set (h), observed while they are written."""
+    seen = Observation()
+    df = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    return _kept(df, name, rows), seen.get
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): component is the smallest node that can be reached. Nodes are those of the edges.
 
     Each round links every neighbour of a node that is larger than it to the node's smallest neighbour, then every
     smaller one: the edges become stars in O(log^2 n) rounds, and never grow in number. Sums per node combine before the
     shuffle; a star's centre is a hot key, whose join side adaptive execution splits. Self loops and nulls are ignored.
+
+    The driver keeps the plan and the metrics of every query, and more for each exchange of a plan; so each half of a round is
+    a short query of its own, joins aren't turned into broadcasts, and tables are counted as they are written.
     """
-    now = _kept(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now, state = _counted(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = None
-    while True:  # each round either moves an edge nearer to its smallest node or ends the loop
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if not state["n"] or state == last:
-            break
+    while state["n"] and state != last:  # each round either moves an edge nearer to its smallest node or ends the loop
         last = state
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = _kept(both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large", state["n"])
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        now = _kept(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges", state["n"])
+        small = large.join(low.hint("merge"), "u")
+        now, state = _counted(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges", state["n"])
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return _kept(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "stars", state["n"])
