@@ -9,9 +9,11 @@ vocabulary allows. The last sequence of a file is filled up with the end id unde
 doc_id, start and n_tokens of each document of the first one. A file that holds ROLL tokens ends with its document.
 
 Encoding. Before it merges, a byte-level BPE tokenizer cuts a text into pieces by a pattern; each piece is merged by itself.
-Pieces repeat, so a worker remembers the ids that the library's merges gave them. Texts of Latin characters are cut by a
-pattern of plain classes, others of AGREED characters by the vocabulary's own, both as the library cuts them (tests ask it
-about each character); texts with any other character, or with an added token, go to the library whole.
+A text is cut into chunks where a piece begins whatever stands beside: before a space, and around a line break, but for longer
+runs of white space (`chunks`). Chunks and pieces repeat, so a worker remembers the ids that the library's merges gave them: one
+lookup gives a word with its punctuation. A new chunk of Latin characters is cut into pieces by a pattern of plain classes, one of
+AGREED characters by the vocabulary's own, both as the library cuts them (tests ask it about each character); a chunk with
+any other character, and a text with an added token, goes to the library whole.
 
 Commit is that of operator 4: files get temporary names unique to the attempt, Spark keeps the manifest rows of the attempts
 that count, those files are renamed, and MANIFEST.json comes last. Rows should come from a table, so that a task that runs
@@ -24,6 +26,7 @@ never cut.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
@@ -47,10 +50,10 @@ from proofsheet.llm.warc import _open, commit
 LENGTH, BATCH = 2048, 64
 #: Bytes of text of a shard, about; tokens after which a file ends with its document.
 SHARD, ROLL = 16 << 20, 64 << 20
-#: Pieces that a worker remembers, about (twice: those before are looked at too).
-REMEMBERED = 500_000
-#: Characters of a text that are cut into pieces at once.
-PIECE = 1 << 20
+#: Chunks and pieces that a worker remembers, about (twice: those before are looked at too).
+REMEMBERED = 1_000_000
+#: Characters of a text that are cut into pieces at once, and of the longest chunk that is remembered.
+PIECE, LONG = 1 << 20, 32
 END = 2
 
 MANIFEST = "kind string, shard int, seq int, temporary string, name string, records bigint, tokens bigint, first_key bigint, last_key bigint, bytes bigint, sha1 string"
@@ -60,12 +63,32 @@ GROUP = 1024
 #: A space between two printed characters of these ranges: a new piece begins there.
 SPACE = re.compile(r" (?<=[!-~¡-ӿ] )(?=[!-~¡-ӿ])")
 
-#: Letters, numbers and white space among the first characters, up to the last of LATIN.
+#: Letters, numbers and white space among the first characters, up to the last of LATIN; all white space.
 LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBER, _WHITE = "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+_OTHER = "\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = _OTHER + " "
 #: The vocabulary's pattern in these classes.
 LATIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[{_NUMBER}]+| ?[^{_WHITE}{LATIN}{_NUMBER}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+").findall
 
+#: White space other than a space beside more white space.
+PAIR = re.compile(f"[{_OTHER}](?:(?<=[{WHITE}].)|(?=[{WHITE}]))", re.DOTALL).search
+#: A run of white space that is a piece of two characters or more: all but the last before a printed character, or all at the end.
+RUNS = re.compile(rf"([{WHITE}][{WHITE}]+(?:(?=[{WHITE}][^{WHITE}])|\Z))").split
+
+
+def chunks(text: str) -> list[str]:
+    """The text, cut where the vocabulary's pattern begins a piece: before spaces and on both sides of line breaks, but not within RUNS."""
+    if "\0" in text:
+        return [text]
+    if "  " in text or PAIR(text):
+        return [x for i, part in enumerate(RUNS(text)) for x in ([part] if i % 2 else _marked(part))]
+    return _marked(text)
+
+
+def _marked(text: str) -> list[str]:
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
 
 class Encoder:
     """In a worker: ids of texts, as bytes of `dtype`."""
@@ -75,45 +98,60 @@ class Encoder:
 
         self.tok = _tokenizer(path)
         self.model, self.dtype = self.tok.model, id_type(self.tok)
-        added = [regex.escape(x["content"]) for x in json.loads(self.tok.to_str())["added_tokens"]]
-        self.odd = regex.compile("|".join([*added, f"[^{AGREED}]"])).search
+        self.code = "<%d" + {"u2": "H", "u4": "I"}[self.dtype.str[1:]]
+        self.added = [x["content"] for x in json.loads(self.tok.to_str())["added_tokens"]]
+        self.odd = regex.compile(f"[^{AGREED}]").search
         self.wide, self.any = re.compile(f"[^\0-{LATIN[-1]}]").search, regex.compile(PATTERN).findall
-        self.letters = {b: c for c, b in _byte_letters().items()}
+        self.letters = "".join(sorted(_byte_letters(), key=_byte_letters().get))
+        # plain dicts of strings: the garbage collector does not walk through them
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The text's ids, in one or more pieces."""
-        if self.odd(text):
-            yield np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+        if any(x in text for x in self.added):
+            yield self.whole(text)
             return
-        split, at = self.any if self.wide(text) else LATIN_PIECES, 0
+        at = 0
         while at < len(text):
             cut = SPACE.search(text, at + PIECE) if len(text) - at > PIECE else None
             end = cut.start() if cut else len(text)
-            yield self.joined(split(text[at:end]))
+            yield self.joined(chunks(text[at:end]))
             at = end
 
-    def joined(self, pieces: list[str]) -> bytes:
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+
+    def joined(self, parts: list[str]) -> bytes:
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
-        known = self.known
-        missing = [p for p in set(pieces) if p not in known]
-        if missing:
-            self.learn(missing)
-        return b"".join(map(self.known.__getitem__, pieces))
-
-    def learn(self, missing: list[str]) -> None:
-        """Know the ids of these pieces: from before, or by the library's merges."""
-        known, before, tokenize, letters = self.known, self.before, self.model.tokenize, self.letters
-        code = "<%d" + {"u2": "H", "u4": "I"}[self.dtype.str[1:]]
-        for piece in missing:
-            ids = before.get(piece)
-            if ids is None:
-                # printed ASCII stands for itself in the vocabulary, but for the space
-                found = tokenize(piece.replace(" ", letters[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(letters))
-                ids = struct.pack(code % len(found), *[t.id for t in found])
-            known[piece] = ids
+        known, found = self.known, list(map(self.known.get, parts))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    part = parts[i]
+                    found[i] = known[part] if part in known else self.learn(part)
+        return b"".join(found)
+
+    def learn(self, part: str) -> bytes:
+        """The ids of a chunk or piece: from before, of its pieces, or by the library's merges."""
+        ids = self.before.get(part)
+        if ids is None:
+            plain = part.isascii()
+            if not plain and self.odd(part):
+                ids = self.whole(part)
+            elif (part[1:] if part[:1] == " " else part).isalpha() and (plain or not self.wide(part)):
+                ids = self.merged(part)
+            else:
+                pieces = (LATIN_PIECES if plain or not self.wide(part) else self.any)(part)
+                ids = self.merged(part) if len(pieces) == 1 else self.joined(pieces)
+        if len(part) <= LONG:
+            self.known[part] = ids
+        return ids
+
+    def merged(self, piece: str) -> bytes:
+        found = self.model.tokenize(codecs.charmap_decode(piece.encode(), "strict", self.letters)[0])
+        return struct.pack(self.code % len(found), *[t.id for t in found])
 
 
 def id_type(tok) -> np.dtype:
@@ -259,11 +297,12 @@ class TokenFile:
         source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("ids").type.list_size
-        self.at, self.batch = -1, None
+        self.at, self.batch, self.flat = -1, None, None
 
     def _of(self, k: int) -> pa.RecordBatch:
         if k != self.at:
             self.at, self.batch = k, self.file.get_batch(k)
+            self.flat = self.batch.column("ids").flatten().to_numpy(zero_copy_only=True)
         return self.batch
 
     def __len__(self) -> int:
@@ -276,14 +315,14 @@ class TokenFile:
             raise IndexError(i)
         batch, row = self._of(i // BATCH), i % BATCH
         cut = slice(row * self.length, (row + 1) * self.length)
-        return batch.column("ids").flatten().to_numpy(zero_copy_only=True)[cut], batch.column("mask").flatten()[cut]
+        return self.flat[cut], batch.column("mask").flatten()[cut]
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids start .. start + n of the file, as views of its batches."""
         unit = self.length * BATCH
         while n > 0:
-            flat = self._of(start // unit).column("ids").flatten().to_numpy(zero_copy_only=True)
-            part = flat[start % unit : start % unit + n]
+            self._of(start // unit)
+            part = self.flat[start % unit : start % unit + n]
             if not len(part):
                 raise EOFError("the file ends within a document")
             yield part

@@ -46,6 +46,30 @@ def test_latin_pieces_are_the_library_s():
             assert [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)] == op.LATIN_PIECES(text), hex(c)
 
 
+def test_chunks_begin_where_pieces_do():
+    pre, rnd = _tokenizer(PATH).pre_tokenizer, random.Random(2)
+    pieces = lambda text: [p for p, _ in pre.pre_tokenize_str(text)]
+    every = [*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)]
+    texts = ["".join(f"a{chr(c)}{chr(c)} {chr(c)}\n{chr(c)}b {chr(c)}  '{chr(c)}s\n " for c in every[i : i + 64]) for i in range(0, len(every), 64)]
+    texts += ["".join(rnd.choice([" ", " ", "\n", "\t", "\u3000", "\x1c", "\0", "a", "1", "!", "'s"]) for _ in range(rnd.randrange(12))) for _ in range(20_000)]
+    for text in texts:
+        assert "".join(op.chunks(text)) == text
+        assert [p for x in op.chunks(text) for p in pieces(x)] == pieces(text), repr(text)
+
+
+def test_known_words_are_only_looked_up(monkeypatch):
+    coder, tok = op.Encoder(PATH), _tokenizer(PATH)
+    list(coder.encode("Many words, it's known. \u0378 \U0001f9ff! été,\nMany"))
+
+    def never(*_):
+        raise AssertionError("cut or merged again")
+
+    monkeypatch.setattr(op, "LATIN_PIECES", never)
+    coder.any = coder.whole = coder.model = never
+    for text in ("Many \u0378 words, known.\nMany", "Many \U0001f9ff! été, it's words,"):
+        assert np.frombuffer(b"".join(coder.encode(text)), coder.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize(("shard", "roll", "length"), [(16 << 20, 64 << 20, 2048), (4000, 700, 8)])
 def test_files_round_trip(spark, tmp_path, monkeypatch, shard, roll, length):
     monkeypatch.setattr(op, "SHARD", shard)
