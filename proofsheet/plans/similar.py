@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofsheet.functions.columns import haversine_km
 from proofsheet.operators import similarity as S
 from proofsheet.operators.members import middles
+from proofsheet.operators.places import summary
 from proofsheet.plans.catalog import query
 from proofsheet.plans.views import PHOTO_SQL, VEC_SQL, photos, table, vectors
 
@@ -111,8 +112,8 @@ def gps_clusters(spark, sf):
 
 @query()
 def location_summary(spark, sf):
-    placed = places(spark, sf)
-    return placed.groupBy("place_id").agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.max_by("photo_id", F.struct("score_final", -F.col("photo_id"))).alias("best"))
+    """Photos stand for their names."""
+    return summary(places(spark, sf), "place_id", "photo_id", "lat", "lon", "score_final")
 
 
 @query(f"WITH {_GEO}, o AS (SELECT photo_id % 5 AS track, photo_id, lat, lon, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM geo WINDOW w AS (PARTITION BY photo_id % 5 ORDER BY photo_id)) SELECT track, sum({_KM.replace('b.lat', 'lat').replace('a.lat', 'la').replace('b.lon', 'lon').replace('a.lon', 'lo')}) AS km FROM o WHERE la IS NOT NULL GROUP BY track")
