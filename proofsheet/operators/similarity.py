@@ -186,6 +186,6 @@ def near_groups(df: DataFrame, key: str, lat: str, lon: str, km: Column, radius_
     return places.linked(df, key, lat, lon, km, radius_km)
 
 
-def near_places(df: DataFrame, key: str, lat: str, lon: str, km: Column, radius_km: float) -> DataFrame:
-    """(node, component) of each point with a position: the smallest key that steps within a radius reach."""
-    return places.placed(df, key, lat, lon, km, radius_km)
+def near_places(df: DataFrame, key: str, lat: str, lon: str, km: Column, radius_km: float, more: list[str] | None = None) -> DataFrame:
+    """(node, component) of each point with a position, and more of its columns: the smallest key that steps within a radius reach."""
+    return places.placed(df, key, lat, lon, km, radius_km, more)

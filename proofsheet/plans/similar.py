@@ -98,9 +98,13 @@ def geo(spark, sf):
     return photos(spark, sf).select("photo_id", (40 + (i * 7 % 97) * 0.01).alias("lat"), (2 + (i * 13 % 101) * 0.01).alias("lon"), "score_final")
 
 
+def _near(g, more=None):
+    return S.near_places(g, "photo_id", "lat", "lon", haversine_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob")), 3.0, more)
+
+
 def places(spark, sf):
     g = geo(spark, sf)
-    named = S.near_places(g, "photo_id", "lat", "lon", haversine_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("lob")), 3.0)
+    named = _near(g)
     return g.join(named, g["photo_id"] == named["node"], "left").select("photo_id", F.coalesce("component", "photo_id").alias("place_id"), "lat", "lon", "score_final")
 
 
@@ -112,8 +116,9 @@ def gps_clusters(spark, sf):
 
 @query()
 def location_summary(spark, sf):
-    """Photos stand for their names."""
-    return summary(places(spark, sf), "place_id", "photo_id", "lat", "lon", "score_final")
+    """Photos stand for their names; those without a position are in no place."""
+    placed = _near(geo(spark, sf), ["lat", "lon", "score_final"])
+    return summary(placed, "component", "node", "lat", "lon", "score_final").withColumnRenamed("component", "place_id")
 
 
 @query(f"WITH {_GEO}, o AS (SELECT photo_id % 5 AS track, photo_id, lat, lon, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM geo WINDOW w AS (PARTITION BY photo_id % 5 ORDER BY photo_id)) SELECT track, sum({_KM.replace('b.lat', 'lat').replace('a.lat', 'la').replace('b.lon', 'lon').replace('a.lon', 'lo')}) AS km FROM o WHERE la IS NOT NULL GROUP BY track")
