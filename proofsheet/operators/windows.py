@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 DIGITS = 12
 
 
-def steady_mean(value: str) -> Column:
+def in_places(value: str) -> Column:
+    """The value in 18 places; null for NaN, infinities, and 1e20 and above."""
+    return F.col(value).try_cast("decimal(38,18)")
+
+
+def steady_mean(value: str, places: Column) -> Column:
     """The mean, summed in 18 places without rounding, so that its last digits don't depend on how rows are dealt; for scores, not for values near 0 alone.
 
-    Where a value is no such decimal (NaN, infinities, 1e20 and above) or the sum is none, the plain mean.
+    places: the value by in_places. Where a value has none, or the sum is too large, the plain mean.
     """
-    places = F.col(value).try_cast("decimal(38,18)")
     return F.when(F.count(value) == F.count(places), F.coalesce(F.try_avg(places).cast("double"), F.avg(value))).otherwise(F.avg(value))
 
 

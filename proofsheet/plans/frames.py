@@ -67,8 +67,9 @@ def sliding_windows(spark, sf):
 
 
 def slid(spark, sf):
-    rows = W.sliding(frames(spark, sf), KEYS, "t", 72.0, 24.0)
-    return rows.groupBy("clip_id", "window_no").agg(F.count("*").alias("n"), W.steady_mean("score_final").alias("mean_final"), F.max("sharp").alias("peak"), W.confidence("score_final", "sharp", F.lit(1.0)).alias("confidence"), F.min("scene").alias("scene"))
+    # each frame's score is put in places once, not in each of its windows
+    rows = W.sliding(frames(spark, sf).withColumn("places", W.in_places("score_final")), KEYS, "t", 72.0, 24.0)
+    return rows.groupBy("clip_id", "window_no").agg(F.count("*").alias("n"), W.steady_mean("score_final", F.col("places")).alias("mean_final"), F.max("sharp").alias("peak"), W.confidence("score_final", "sharp", F.lit(1.0)).alias("confidence"), F.min("scene").alias("scene"))
 
 
 @query(f"""WITH {FRAME_SQL}, c AS (SELECT *, CAST(1 + k % 4 AS DOUBLE) AS dur FROM v_frame) SELECT clip_id, frame, dur FROM (SELECT *, coalesce(sum(dur) OVER (PARTITION BY clip_id ORDER BY score_final DESC, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY clip_id ORDER BY score_final DESC, frame) AS rn FROM c) WHERE before < 12 AND rn <= 6""")

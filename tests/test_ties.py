@@ -27,10 +27,10 @@ def test_a_mean_of_copies_is_the_mean_of_one(spark):
     scores = [10.94, 44.84, 150.0, 68.17, 84.95, 43.14, 31.47, 41.27]
     copies = [(x / 150.0,) for _ in range(6) for x in scores]
     df = spark.createDataFrame(copies, "score double")
-    means = [df.repartition(n).agg(W.steady_mean("score")).first()[0] for n in (1, 5)] + [df.coalesce(1).agg(W.steady_mean("score")).first()[0]]
+    means = [df.repartition(n).agg(W.steady_mean("score", W.in_places("score"))).first()[0] for n in (1, 5)] + [df.coalesce(1).agg(W.steady_mean("score", W.in_places("score"))).first()[0]]
     assert means == [0.39565] * 3
     odd = spark.createDataFrame([(1, 0.5), (1, None), (2, None), (3, float("nan")), (3, 1.0), (4, 1e25), (4, 3e25), (5, 9e19), (5, 9e19)], "k int, score double")
-    got = {r.k: r.m for r in odd.groupBy("k").agg(W.steady_mean("score").alias("m")).collect()}
+    got = {r.k: r.m for r in odd.groupBy("k").agg(W.steady_mean("score", W.in_places("score")).alias("m")).collect()}
     assert (got[1], got[2], got[4], got[5]) == (0.5, None, 2e25, 9e19) and got[3] != got[3]
 
 
